@@ -75,6 +75,8 @@ class PropertyGraph:
     edges: DataFrame
     endpoints_ok: bool = False
     limits: Limits = DEFAULT_LIMITS
+    #: The edges stored in two parts, without and with hub sources; see ``split_edges``.
+    parts: tuple[DataFrame, DataFrame] | None = field(default=None, repr=False, compare=False)
     _hubs: dict = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
@@ -88,13 +90,30 @@ class PropertyGraph:
             self._hubs[key] = hub_table(self.edges, key, self.limits)
         return self._hubs[key]
 
+    def cold_and_hot(self) -> tuple[DataFrame, DataFrame]:
+        """The edges of ordinary sources and the edges of hub sources."""
+        if self.parts is not None:
+            return self.parts
+        hubs = F.broadcast(self.hubs("src"))
+        is_hub = F.col("src") == F.col("hub")
+        return (
+            self.edges.join(hubs, is_hub, "left_anti"),
+            self.edges.join(hubs, is_hub, "left_semi"),
+        )
+
     def with_edges(self, edges: DataFrame) -> PropertyGraph:
         """The same nodes with other edges."""
-        return replace(self, edges=edges, _hubs={})
+        return replace(self, edges=edges, parts=None, _hubs={})
 
     def where_edges(self, condition: Column) -> PropertyGraph:
-        """The subgraph of the edges that meet ``condition``."""
-        return self.with_edges(self.edges.where(condition))
+        """The subgraph of the edges that meet ``condition``.
+
+        Parts stored apart stay apart: a source is no heavier in the subgraph.
+        """
+        if self.parts is None:
+            return self.with_edges(self.edges.where(condition))
+        cold, hot = (part.where(condition) for part in self.parts)
+        return replace(self, edges=self.edges.where(condition), parts=(cold, hot))
 
     def reversed(self) -> PropertyGraph:
         """The graph with every edge turned round."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopline.model import PropertyGraph
@@ -13,9 +13,13 @@ def point_lookup(graph: PropertyGraph, node_id: int) -> DataFrame:
     return graph.nodes.where(F.col("id") == F.lit(node_id))
 
 
+def between(ts_lo: int, ts_hi: int) -> Column:
+    """``ts_lo <= ts <= ts_hi``, both ends included."""
+    return F.col("ts").between(ts_lo, ts_hi)
+
+
 def edges_between(graph: PropertyGraph, ts_lo: int, ts_hi: int) -> DataFrame:
-    """Edges with ``ts_lo <= ts <= ts_hi``, both ends included."""
-    return graph.edges.where(F.col("ts").between(ts_lo, ts_hi))
+    return graph.edges.where(between(ts_lo, ts_hi))
 
 
 def nodes_in_category(graph: PropertyGraph, category: str) -> DataFrame:

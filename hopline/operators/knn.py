@@ -52,41 +52,39 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / length[:, None]
 
 
-def _best(ids: np.ndarray, units: np.ndarray, queries: np.ndarray, k: int):
-    """Per query the ``k`` smallest ``(distance, id)`` of one block of corpus rows."""
-    order = np.argsort(ids, kind="stable")
-    ids, units = ids[order], units[order]
-    scale = 10.0**DISTANCE_DECIMALS
-    distance = np.rint((1.0 - queries @ units.T) * scale)
-    unusable = np.iinfo(np.int64).max // (len(ids) + 1)
-    steps = np.where(np.isnan(distance), unusable, distance).astype(np.int64)
-    # One integer orders by distance, then by id: no ties are left at the k-th place.
+#: Distance, in units of the last reported decimal, of rows that cannot be compared.
+_NONE = np.iinfo(np.int32).max
+
+
+def _block_best(ids: np.ndarray, units: np.ndarray, queries: np.ndarray, k: int):
+    """Per query, distances and ids of the ``k`` nearest rows of one block.
+
+    ``ids`` must be sorted: one integer then orders by distance and by id, and no
+    ties are left at the k-th place.
+    """
+    distance = np.rint((1.0 - queries @ units.T) * 10.0**DISTANCE_DECIMALS)
+    steps = np.where(np.isnan(distance), _NONE, distance).astype(np.int64)
     keys = steps * len(ids) + np.arange(len(ids))
-    keep = min(k, len(ids))
-    picked = np.argpartition(keys, keep - 1, axis=1)[:, :keep]
-    taken = np.take_along_axis(steps, picked, axis=1)
-    query_at, slot = np.nonzero(taken < unusable)
-    return query_at, ids[picked[query_at, slot]], taken[query_at, slot]
+    if k < len(ids):
+        picked = np.argpartition(keys, k - 1, axis=1)[:, :k]
+    else:
+        picked = np.broadcast_to(np.arange(len(ids)), keys.shape)
+    return np.take_along_axis(steps, picked, axis=1), ids[picked]
 
 
 class _Tops:
-    """The ``k`` best rows seen so far for each query, inside one task."""
+    """The ``k`` best rows one task has seen so far for each query."""
 
-    def __init__(self, k: int):
-        self.k = k
-        self.query_at = np.empty(0, dtype=np.int64)
-        self.ids = np.empty(0, dtype=np.int64)
-        self.steps = np.empty(0, dtype=np.int64)
+    def __init__(self, queries: int, k: int):
+        self.steps = np.full((queries, k), _NONE, dtype=np.int64)
+        self.ids = np.zeros((queries, k), dtype=np.int64)
 
-    def add(self, query_at: np.ndarray, ids: np.ndarray, steps: np.ndarray) -> None:
-        query_at = np.concatenate([self.query_at, query_at])
-        ids = np.concatenate([self.ids, ids])
-        steps = np.concatenate([self.steps, steps])
-        order = np.lexsort((ids, steps, query_at))
-        query_at, ids, steps = query_at[order], ids[order], steps[order]
-        starts = np.searchsorted(query_at, query_at, side="left")
-        keep = np.arange(len(query_at)) - starts < self.k
-        self.query_at, self.ids, self.steps = query_at[keep], ids[keep], steps[keep]
+    def add(self, at: np.ndarray, steps: np.ndarray, ids: np.ndarray) -> None:
+        steps = np.concatenate([self.steps[at], steps], axis=1)
+        ids = np.concatenate([self.ids[at], ids], axis=1)
+        order = np.lexsort((ids, steps), axis=-1)[:, : self.steps.shape[1]]
+        self.steps[at] = np.take_along_axis(steps, order, axis=1)
+        self.ids[at] = np.take_along_axis(ids, order, axis=1)
 
 
 def _task_tops(query_ids, query_units, k, dim, cells):
@@ -95,33 +93,34 @@ def _task_tops(query_ids, query_units, k, dim, cells):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, units_of = query_ids.value, query_units.value
         probes = cells.value if cells is not None else None
-        tops = _Tops(k)
+        everyone = np.arange(len(ids_of))
+        tops = _Tops(len(ids_of), k)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            units = _unit(_matrix(batch.column(1), dim))
+            order = np.argsort(ids, kind="stable")
+            ids, units = ids[order], _unit(_matrix(batch.column(1), dim))[order]
             if probes is None:
-                parts = [(slice(None), np.arange(len(ids_of)))]
+                parts = [(slice(None), everyone)]
             else:
-                cell = batch.column(2).to_numpy(zero_copy_only=False)
+                cell = batch.column(2).to_numpy(zero_copy_only=False)[order]
                 parts = [(cell == c, probes[c]) for c in np.unique(cell) if c in probes]
             for rows, asking in parts:
                 part_ids, part_units = ids[rows], units[rows]
-                width = max(1, BLOCK // max(1, len(part_ids)))
-                for at in range(0, len(asking), width):
-                    block = asking[at : at + width]
-                    query_at, found, steps = _best(part_ids, part_units, units_of[block], k)
-                    tops.add(block[query_at], found, steps)
-        if len(tops.ids):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids_of[tops.query_at]),
-                    pa.array(tops.ids),
-                    pa.array(tops.steps / 10.0**DISTANCE_DECIMALS),
-                ],
-                names=["query_id", "id", "distance"],
-            )
+                if not len(part_ids):
+                    continue
+                width = max(1, BLOCK // len(part_ids))
+                for start in range(0, len(asking), width):
+                    at = asking[start : start + width]
+                    tops.add(at, *_block_best(part_ids, part_units, units_of[at], k))
+        query_at, slot = np.nonzero(tops.steps < _NONE)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids_of[query_at]),
+                pa.array(tops.ids[query_at, slot]),
+                pa.array(tops.steps[query_at, slot] / 10.0**DISTANCE_DECIMALS),
+            ],
+            names=["query_id", "id", "distance"],
+        )
 
     return run
 

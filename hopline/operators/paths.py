@@ -29,10 +29,6 @@ def _start(spark: SparkSession, node: int) -> Settled:
     return Settled(df, 1, [Row(root=int(node), node=int(node))])
 
 
-def _checked_broadcast(settled: Settled, bound: int) -> DataFrame:
-    return F.broadcast(settled.df) if settled.rows <= bound else settled.df
-
-
 def _unseen(arrivals: DataFrame, seen: list[Settled], bound: int) -> DataFrame:
     """Arrivals at ``(root, node)`` pairs that no earlier level holds."""
     if not seen:
@@ -45,15 +41,15 @@ def _unseen(arrivals: DataFrame, seen: list[Settled], bound: int) -> DataFrame:
 
 def _next_level(graph: PropertyGraph, frontier: Settled, seen: list[Settled]) -> DataFrame:
     """``(root, node, parent)`` first reached one edge beyond the frontier."""
-    step = expand(graph.edges, frontier, lambda: graph.hubs("src"), graph.limits)
+    step = expand(graph, frontier)
     arrivals = step.groupBy("root", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
     return graph.existing(_unseen(arrivals, seen, graph.limits.broadcast_rows))
 
 
 def reach(graph: PropertyGraph, source: int, max_hops: int = MAX_HOPS) -> DataFrame:
     """``(node, distance)`` for every node within ``max_hops`` edges of ``source``."""
-    frontier = _start(graph.nodes.sparkSession, source)
-    levels = [settle(graph.existing(frontier.df), graph.limits)]
+    here = graph.nodes.where(F.col("id") == source)
+    levels = [settle(here.select(F.col("id").alias("root"), F.col("id").alias("node")), graph.limits)]
     for _ in range(max_hops):
         if levels[-1].rows == 0:
             break
@@ -176,7 +172,7 @@ def search_pair(
     here = Settled(meet, common.rows, common.head)
     levels = list(forward)
     for nearer in reversed(backward[:-1]):
-        step = expand(graph.edges, here, lambda: graph.hubs("src"), graph.limits)
+        step = expand(graph, here)
         arrivals = step.groupBy("root", F.col("dst").alias("node")).agg(
             F.min("src").alias("parent")
         )
@@ -286,7 +282,9 @@ def broken_steps(graph: PropertyGraph, routes: DataFrame) -> DataFrame:
     steps = (
         routes.alias("here")
         .join(
-            routes.select("source", "target", (F.col("step") - 1).alias("step"), F.col("node").alias("dst")),
+            routes.select(
+                "source", "target", (F.col("step") - 1).alias("step"), F.col("node").alias("dst")
+            ),
             ["source", "target", "step"],
         )
         .select("source", "target", "step", F.col("node").alias("src"), "dst")

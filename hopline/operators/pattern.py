@@ -24,14 +24,43 @@ def _middles(graph: PropertyGraph, category: str) -> Settled:
     return settle(chosen.join(starts, F.col("node") == F.col("src"), "left_semi"), graph.limits)
 
 
-def _first_edges(graph: PropertyGraph, middles: Settled) -> DataFrame:
-    """``(a, b)``: edges into the middle nodes."""
-    incoming = keep_keys(
-        graph.edges.select("src", "dst"), "dst", middles, lambda: graph.hubs("dst"), graph.limits
-    )
+def _first_edges(graph: PropertyGraph, edges: DataFrame, middles: Settled) -> DataFrame:
+    """``(a, b)``: those of ``edges`` that lead into the middle nodes."""
+    incoming = keep_keys(graph, edges.select("src", "dst"), "dst", middles)
     return graph.existing(incoming, "src").select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
+def _leading_pairs(
+    graph: PropertyGraph, middles: Settled, limit: int, distinct: bool
+) -> DataFrame:
+    """Pairs among which the first ``limit`` by ``(a, b)`` are found.
+
+    A broadcast of the middle nodes filters the edges where they are. More middle
+    nodes than that would mean shuffling all edges, so only those of the first
+    start nodes are tried, then of more, until they hold enough pairs.
+    """
+    every = graph.edges.select("src", "dst")
+    if middles.rows > graph.limits.broadcast_rows:
+        starts = every.select("src").distinct().orderBy("src")
+        for wider in (1, 16, 256):
+            first = starts.limit(limit * wider)
+            last, n = first.agg(F.max("src"), F.count("*")).first()
+            if n < limit * wider:
+                break
+            pairs = _first_edges(graph, every.where(F.col("src") <= last), middles)
+            pairs = pairs.distinct() if distinct else pairs
+            found = settle(pairs.orderBy("a", "b").limit(limit), graph.limits)
+            if found.rows == limit:
+                return found.df
+    pairs = _first_edges(graph, every, middles)
+    if not distinct:
+        return pairs
+    # The first start nodes already give enough different pairs. Finding them takes
+    # a shuffle of start nodes, not of edges.
+    last = pairs.select("a").distinct().orderBy("a").limit(limit).agg(F.max("a")).first()[0]
+    return pairs.where(F.col("a") <= last).distinct() if last is not None else pairs
+
+
 def _finish(graph: PropertyGraph, pairs: DataFrame, limit: int, distinct: bool) -> DataFrame:
     """Join the second edge to the first ``limit`` pairs.
 
@@ -42,47 +71,34 @@ def _finish(graph: PropertyGraph, pairs: DataFrame, limit: int, distinct: bool)
     kept = settle(pairs.orderBy("a", "b").limit(limit), graph.limits)
     if kept.rows == 0:
         return kept.df.select("a", "b", F.lit(0).cast("long").alias("c"))
-    nodes = Settled(
-        kept.df.select(F.col("b").alias("node")).distinct(), kept.rows, None
-    )
-    literals = kept.literals("b")
-    second = graph.edges.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    if literals is not None:
-        second = second.where(F.col("b").isin(literals))
-    second = second.join(F.broadcast(nodes.df), F.col("b") == F.col("node"), "left_semi")
-    second = graph.existing(second, "c")
+    middles = kept.df.select(F.col("b").alias("node")).distinct()
+    chosen = settle(middles, graph.limits)
+    second = keep_keys(graph, graph.edges.select("src", "dst"), "src", chosen)
+    second = graph.existing(second, "dst").select(F.col("src").alias("b"), F.col("dst").alias("c"))
     if distinct:
         second = second.distinct()
     nth = F.row_number().over(Window.partitionBy("b").orderBy("c"))
     ends = second.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
-    triples = ends.join(F.broadcast(kept.df), "b").select("a", "b", "c")
-    return triples.orderBy("a", "b", "c").limit(limit)
+    matches = ends.join(F.broadcast(kept.df), "b").select("a", "b", "c")
+    return matches.orderBy("a", "b", "c").limit(limit)
 
 
 def triples(graph: PropertyGraph, category: str, limit: int) -> DataFrame:
     """``(a, b, c)``: the first ``limit`` matches, parallel edges matching apart."""
-    return _finish(graph, _first_edges(graph, _middles(graph, category)), limit, distinct=False)
+    pairs = _leading_pairs(graph, _middles(graph, category), limit, distinct=False)
+    return _finish(graph, pairs, limit, distinct=False)
 
 
 def distinct_triples(graph: PropertyGraph, category: str, limit: int) -> DataFrame:
-    """``(a, b, c)``: the first ``limit`` different matches.
-
-    The first ``limit`` start nodes already give that many pairs. Finding them takes
-    a shuffle of start nodes, not of edges, and the pairs are looked for only up to
-    the last of them.
-    """
-    pairs = _first_edges(graph, _middles(graph, category))
-    starts = settle(pairs.select("a").distinct().orderBy("a").limit(limit), graph.limits)
-    last = starts.df.agg(F.max("a")).first()[0]
-    if last is not None:
-        pairs = pairs.where(F.col("a") <= last)
-    return _finish(graph, pairs.distinct(), limit, distinct=True)
+    """``(a, b, c)``: the first ``limit`` different matches."""
+    pairs = _leading_pairs(graph, _middles(graph, category), limit, distinct=True)
+    return _finish(graph, pairs, limit, distinct=True)
 
 
 def any_triples(graph: PropertyGraph, category: str, limit: int) -> DataFrame:
     """Some ``limit`` matches, in no order."""
     middles = _middles(graph, category)
-    pairs = settle(_first_edges(graph, middles).limit(limit), graph.limits)
+    pairs = settle(_first_edges(graph, graph.edges, middles).limit(limit), graph.limits)
     return _finish(graph, pairs.df, limit, distinct=False)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopline.model import PropertyGraph
-from hopline.operators.filters import edges_between
+from hopline.operators.filters import between
 from hopline.plans.lineage import settle
 from hopline.plans.skew import expand, repeat_rows
 
@@ -32,7 +32,7 @@ def walk_ends(graph: PropertyGraph, source: int, hops: int, simple: bool = False
     ends = graph.existing(ends)
     for _ in range(hops - 1):
         frontier = settle(ends, graph.limits)
-        step = expand(graph.edges, frontier, lambda: graph.hubs("src"), graph.limits)
+        step = expand(graph, frontier)
         if simple:
             step = step.groupBy("src", "dst").agg(F.max("walks").alias("walks"))
             arriving = F.sum("walks")
@@ -62,7 +62,7 @@ def ends(graph: PropertyGraph, source: int, hops: int) -> DataFrame:
     reached = graph.existing(reached)
     for _ in range(hops - 1):
         frontier = settle(reached, graph.limits)
-        step = expand(graph.edges, frontier, lambda: graph.hubs("src"), graph.limits)
+        step = expand(graph, frontier)
         reached = graph.existing(step.select(F.col("dst").alias("node")).distinct())
     return reached
 
@@ -78,4 +78,4 @@ def time_slice(graph: PropertyGraph, ts_lo: int, ts_hi: int) -> PropertyGraph:
     Every hop of a traversal over it obeys the window; timestamps need not rise
     along a walk.
     """
-    return graph.with_edges(edges_between(graph, ts_lo, ts_hi))
+    return graph.where_edges(between(ts_lo, ts_hi))

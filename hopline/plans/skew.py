@@ -24,58 +24,55 @@ def hub_table(edges: DataFrame, key: str, limits: Limits = DEFAULT_LIMITS) -> Da
     return cut(hubs.select("hub", F.ceil(F.col("n") / threshold).cast("int").alias("splits")))
 
 
-def expand(edges: DataFrame, frontier: Settled, hubs, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def expand(graph, frontier: Settled) -> DataFrame:
     """Edges leaving the frontier's ``node`` column, with the frontier's columns.
 
-    ``copies`` says how many identical ``(src, dst)`` edges a row stands for.
-    ``hubs`` is a function giving the hub table; it is called only when the
-    frontier is too large to broadcast.
+    ``copies`` says how many identical ``(src, dst)`` edges a row stands for. The
+    graph's hubs are looked up only when the frontier is too large to broadcast.
     """
-    pairs = edges.select("src", "dst")
-    if frontier.rows <= limits.broadcast_rows:
+    if frontier.rows <= graph.limits.broadcast_rows:
+        pairs = graph.edges.select("src", "dst")
         literals = frontier.literals("node")
         if literals is not None:
             pairs = pairs.where(F.col("src").isin(literals))
         joined = pairs.join(F.broadcast(frontier.df), F.col("src") == F.col("node"))
         return joined.withColumn("copies", F.lit(1).cast("long"))
 
-    hub = F.broadcast(hubs())
+    hub = F.broadcast(graph.hubs("src"))
+    cold_edges, hot_edges = graph.cold_and_hot()
     cold = (
-        pairs.join(hub, F.col("src") == F.col("hub"), "left_anti")
+        cold_edges.select("src", "dst")
         .join(frontier.df, F.col("src") == F.col("node"))
         .withColumn("copies", F.lit(1).cast("long"))
     )
     # Copies of one hub edge collapse map-side; what is left is spread by dst.
-    hot_edges = (
-        pairs.join(hub, F.col("src") == F.col("hub"))
-        .groupBy("src", "dst", "splits")
+    hot_pairs = (
+        hot_edges.select("src", "dst")
+        .groupBy("src", "dst")
         .agg(F.count("*").alias("copies"))
+        .join(hub, F.col("src") == F.col("hub"))
         .withColumn("salt", F.expr("pmod(xxhash64(dst), splits)"))
-        .drop("splits")
+        .drop("hub", "splits")
     )
-    hot_frontier = frontier.df.join(hub, F.col("node") == F.col("hub")).withColumn(
-        "salt", F.explode(F.expr("sequence(0L, splits - 1L)"))
+    hot_frontier = (
+        frontier.df.join(hub, F.col("node") == F.col("hub"))
+        .withColumn("salt", F.explode(F.expr("sequence(0L, splits - 1L)")))
+        .drop("hub", "splits")
     )
-    hot = hot_edges.alias("e").join(
-        hot_frontier.drop("hub", "splits").alias("f"),
-        (F.col("e.src") == F.col("f.node")) & (F.col("e.salt") == F.col("f.salt")),
-    )
-    hot = hot.select(
-        "e.src", "e.dst", *[F.col(f"f.{c}") for c in frontier.df.columns], "e.copies"
-    )
-    return cold.unionByName(hot)
+    e, f = hot_pairs.alias("e"), hot_frontier.alias("f")
+    same = (F.col("e.src") == F.col("f.node")) & (F.col("e.salt") == F.col("f.salt"))
+    carried = [F.col(f"f.{c}") for c in frontier.df.columns]
+    return cold.unionByName(e.join(f, same).select("e.src", "e.dst", *carried, "e.copies"))
 
 
-def keep_keys(
-    edges: DataFrame, key: str, keys: Settled, hubs, limits: Limits = DEFAULT_LIMITS
-) -> DataFrame:
-    """Edges whose ``key`` occurs in the ``node`` column of ``keys``, unchanged otherwise."""
-    if keys.rows <= limits.broadcast_rows:
+def keep_keys(graph, edges: DataFrame, key: str, keys: Settled) -> DataFrame:
+    """Rows of ``edges`` whose ``key`` occurs in the ``node`` column of ``keys``."""
+    if keys.rows <= graph.limits.broadcast_rows:
         literals = keys.literals("node")
         if literals is not None:
             return edges.where(F.col(key).isin(literals))
         return edges.join(F.broadcast(keys.df), F.col(key) == F.col("node"), "left_semi")
-    hub = hubs()
+    hub = graph.hubs(key)
     hot_keys = keys.df.join(F.broadcast(hub), F.col("node") == F.col("hub"), "left_semi")
     hot = edges.join(F.broadcast(hot_keys), F.col(key) == F.col("node"), "left_semi")
     cold = edges.join(F.broadcast(hub), F.col(key) == F.col("hub"), "left_anti").join(

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopline.model import EDGE_SCHEMA, NODE_SCHEMA, VECTOR_NODE_SCHEMA, conform
+from hopline.model import (
+    EDGE_SCHEMA,
+    NODE_SCHEMA,
+    VECTOR_NODE_SCHEMA,
+    PropertyGraph,
+    conform,
+)
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -46,12 +53,39 @@ def materialise_clustered(
     """:func:`materialise`, range-partitioned and sorted by ``order``.
 
     A filter or an ``IN`` list on the leading column then skips all row groups but
-    a few. Name every column in ``order``, leading key first: a heavy key is then
-    split over files by the later columns, where bucketing would give it one task.
+    a few. Name further columns after it: a heavy key is then split over files by
+    them, where bucketing would give it one task. Identical rows are told apart by
+    the partition they come from, so many copies of one row are split as well.
     """
     columns = [F.col(c) for c in order]
-    spread = df.repartitionByRange(files, *columns) if files else df.repartitionByRange(*columns)
-    return materialise(spread.sortWithinPartitions(*columns), path)
+    marked = df.withColumn("_from", F.spark_partition_id())
+    keys = [*columns, F.col("_from")]
+    spread = marked.repartitionByRange(files, *keys) if files else marked.repartitionByRange(*keys)
+    return materialise(spread.sortWithinPartitions(*columns).drop("_from"), path)
+
+
+def split_edges(graph: PropertyGraph, path: str, name: str, buckets: int) -> PropertyGraph:
+    """Store the edges of ordinary sources bucketed by source, and those of hubs apart.
+
+    Hops from a large frontier then read the bucketed part in place, without
+    shuffling it. Hubs would overload a bucket; their edges are range-partitioned
+    by target instead. ``name`` becomes a table of the session's catalogue.
+    """
+    spark = graph.nodes.sparkSession
+    cold, hot = replace(graph, parts=None).cold_and_hot()
+    (
+        cold.repartition(buckets, "src")
+        .write.mode("overwrite")
+        .option("path", f"{path}/cold")
+        .bucketBy(buckets, "src")
+        .sortBy("src")
+        .saveAsTable(name)
+    )
+    parts = (
+        spark.table(name),
+        materialise_clustered(hot, f"{path}/hot", ["src", "dst", "edge_type", "ts"]),
+    )
+    return replace(graph, edges=parts[0].unionByName(parts[1]), parts=parts)
 
 
 def append(df: DataFrame, path: str) -> None:
