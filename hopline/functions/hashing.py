@@ -10,20 +10,10 @@ HEX_DIGITS = 12
 DRAW_SPAN = 1 << 48
 
 
-def digest(key: Column, seed: int, stream: str | Column) -> Column:
-    stream = F.lit(stream) if isinstance(stream, str) else stream
-    return F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed)), stream))
-
-
-def draw_from(hex_digest: Column, position: int = 0) -> Column:
-    """One uniform 48-bit integer out of a digest; positions 0 and 1 are independent."""
-    start = 1 + position * HEX_DIGITS
-    return F.conv(F.substring(hex_digest, start, HEX_DIGITS), 16, 10).cast("long")
-
-
 def uniform_int(key: Column, seed: int, stream: str) -> Column:
     """A uniform integer in ``[0, 2**48)`` for each key."""
-    return draw_from(digest(key, seed, stream))
+    text = F.concat_ws("|", key.cast("string"), F.lit(str(seed)), F.lit(stream))
+    return F.conv(F.substring(F.md5(text), 1, HEX_DIGITS), 16, 10).cast("long")
 
 
 def uniform_real(key: Column, seed: int, stream: str) -> Column:

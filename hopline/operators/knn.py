@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopline.functions.vectors import DISTANCE_DECIMALS, rounded_distance, vector_literal
+from hopline.operators.kernels import matrix, task_tops, unit_rows
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
 
-#: Distances formed at a time inside a task.
-BLOCK = 4_000_000
-
 
 def nearest(
     corpus: DataFrame,
@@ -28,108 +24,21 @@ def nearest(
     Rows whose vector is zero, has another length or misses an element are left
     out. Every task keeps its own ``k`` best before anything moves.
     """
-    distance = rounded_distance(F.col(vector_column), vector_literal(query)).alias("distance")
-    scored = corpus.where(F.size(vector_column) == len(query)).select(
-        F.col(id_column).cast("long").alias("id"), distance
+    dim = len(query)
+    rows = corpus.where(F.size(vector_column) == dim).select(
+        F.col(id_column).cast("long").alias("id"), vector_column
     )
-    return scored.where(F.col("distance").isNotNull()).orderBy("distance", "id").limit(k)
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """List column of ``dim``-long vectors as a double matrix, missing elements as NaN."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten()
-    if flat.null_count:
-        flat = flat.cast(pa.float64())
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-
-
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; zero rows become NaN."""
-    length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-    length[length == 0] = np.nan
-    return matrix / length[:, None]
-
-
-#: Distance, in units of the last reported decimal, of rows that cannot be compared.
-_NONE = np.iinfo(np.int32).max
-
-
-def _block_best(ids: np.ndarray, units: np.ndarray, queries: np.ndarray, k: int):
-    """Per query, distances and ids of the ``k`` nearest rows of one block.
-
-    ``ids`` must be sorted: one integer then orders by distance and by id, and no
-    ties are left at the k-th place.
-    """
-    distance = np.rint((1.0 - queries @ units.T) * 10.0**DISTANCE_DECIMALS)
-    steps = np.where(np.isnan(distance), _NONE, distance).astype(np.int64)
-    keys = steps * len(ids) + np.arange(len(ids))
-    if k < len(ids):
-        picked = np.argpartition(keys, k - 1, axis=1)[:, :k]
-    else:
-        picked = np.broadcast_to(np.arange(len(ids)), keys.shape)
-    return np.take_along_axis(steps, picked, axis=1), ids[picked]
-
-
-class _Tops:
-    """The ``k`` best rows one task has seen so far for each query."""
-
-    def __init__(self, queries: int, k: int):
-        self.steps = np.full((queries, k), _NONE, dtype=np.int64)
-        self.ids = np.zeros((queries, k), dtype=np.int64)
-
-    def add(self, at: np.ndarray, steps: np.ndarray, ids: np.ndarray) -> None:
-        steps = np.concatenate([self.steps[at], steps], axis=1)
-        ids = np.concatenate([self.ids[at], ids], axis=1)
-        order = np.lexsort((ids, steps), axis=-1)[:, : self.steps.shape[1]]
-        self.steps[at] = np.take_along_axis(steps, order, axis=1)
-        self.ids[at] = np.take_along_axis(ids, order, axis=1)
-
-
-def _task_tops(query_ids, query_units, k, dim, cells):
-    """The function a task runs: corpus batches in, its best rows per query out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, units_of = query_ids.value, query_units.value
-        probes = cells.value if cells is not None else None
-        everyone = np.arange(len(ids_of))
-        tops = _Tops(len(ids_of), k)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            order = np.argsort(ids, kind="stable")
-            ids, units = ids[order], _unit(_matrix(batch.column(1), dim))[order]
-            if probes is None:
-                parts = [(slice(None), everyone)]
-            else:
-                cell = batch.column(2).to_numpy(zero_copy_only=False)[order]
-                parts = [(cell == c, probes[c]) for c in np.unique(cell) if c in probes]
-            for rows, asking in parts:
-                part_ids, part_units = ids[rows], units[rows]
-                if not len(part_ids):
-                    continue
-                width = max(1, BLOCK // len(part_ids))
-                for start in range(0, len(asking), width):
-                    at = asking[start : start + width]
-                    tops.add(at, *_block_best(part_ids, part_units, units_of[at], k))
-        query_at, slot = np.nonzero(tops.steps < _NONE)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids_of[query_at]),
-                pa.array(tops.ids[query_at, slot]),
-                pa.array(tops.steps[query_at, slot] / 10.0**DISTANCE_DECIMALS),
-            ],
-            names=["query_id", "id", "distance"],
-        )
-
-    return run
+    unit = unit_rows(np.asarray(query, dtype=np.float64)[None, :])
+    tops = block_tops(rows, np.zeros(1, dtype=np.int64), unit, k, dim)
+    distance = (F.col("distance") + 0.0).alias("distance")
+    return tops.select("id", distance).orderBy("distance", "id").limit(k)
 
 
 def collect_queries(queries: DataFrame, dim: int):
     """Ids and unit vectors of a bounded block of queries, as arrays."""
     table = queries.toArrow()
     ids = table.column(0).to_numpy().astype(np.int64)
-    units = _unit(_matrix(table.column(1), dim)) if len(ids) else np.empty((0, dim))
+    units = unit_rows(matrix(table.column(1), dim)) if len(ids) else np.empty((0, dim))
     return ids, units
 
 
@@ -173,7 +82,7 @@ def block_tops(rows: DataFrame, ids, units, k: int, dim: int, probes=None) -> Da
     """
     context = rows.sparkSession.sparkContext
     cells = context.broadcast(probes) if probes is not None else None
-    run = _task_tops(context.broadcast(ids), context.broadcast(units), k, dim, cells)
+    run = task_tops(context.broadcast(ids), context.broadcast(units), k, dim, cells)
     return rows.mapInArrow(run, "query_id long, id long, distance double")
 
 

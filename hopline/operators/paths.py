@@ -13,10 +13,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from hopline.model import PropertyGraph
+from hopline.plans.limits import Limits
 from hopline.plans.lineage import Settled, settle
 from hopline.plans.skew import expand
 
@@ -123,12 +125,20 @@ class PathSearch:
         ).select("source", "target", F.col("step").cast("long").alias("step"), "node")
 
 
-def _meeting(new: Settled, other: Settled) -> DataFrame:
-    """Nodes two opposite frontiers have in common."""
-    known = other.literals("node")
-    if known is not None:
-        return new.df.where(F.col("node").isin(known))
-    return new.df.join(other.df.select("node"), "node", "left_semi")
+def _common(new: Settled, other: Settled, limits: Limits) -> Settled:
+    """``(node)``: what two opposite frontiers share; no job when both are short lists."""
+    spark = new.df.sparkSession
+    ours, theirs = new.literals("node"), other.literals("node")
+    if ours is None and theirs is None:
+        return settle(new.df.join(other.df.select("node"), "node", "left_semi"), limits)
+    if ours is not None and theirs is not None:
+        shared = sorted(set(ours) & set(theirs))
+    else:
+        (known, frontier) = (theirs, new) if ours is None else (ours, other)
+        rows = frontier.df.where(F.col("node").isin(known)).select("node").distinct().collect()
+        shared = sorted(r.node for r in rows)
+    relation = spark.createDataFrame(pa.table({"node": pa.array(shared, pa.int64())}))
+    return Settled(relation, len(shared), [Row(node=n) for n in shared])
 
 
 def search_pair(
@@ -144,8 +154,10 @@ def search_pair(
     spark = graph.nodes.sparkSession
     turned = graph.reversed()
     forward, backward = [_start(spark, source)], [_start(spark, target)]
-    if settle(graph.existing(forward[0].df.unionByName(backward[0].df)), graph.limits).rows < 2:
-        return PathSearch(forward, [0])
+    if not graph.endpoints_ok:
+        known = graph.nodes.where(F.col("id").isin(source, target)).select("id").distinct()
+        if known.count() < len({source, target}):
+            return PathSearch(forward, [0])
     while True:
         if len(forward) + len(backward) - 2 >= max_hops:
             return PathSearch(forward, [0] * len(forward), bound_hit=True)
@@ -155,7 +167,7 @@ def search_pair(
         side.append(level)
         if level.rows == 0:
             return PathSearch(forward, [0] * len(forward))
-        common = settle(_meeting(level, other[-1]), graph.limits)
+        common = _common(level, other[-1], graph.limits)
         if common.rows:
             break
     depth = len(forward) + len(backward) - 2
@@ -176,7 +188,9 @@ def search_pair(
         arrivals = step.groupBy("root", F.col("dst").alias("node")).agg(
             F.min("src").alias("parent")
         )
-        here = settle(_meeting(Settled(arrivals, -1, None), nearer), graph.limits)
+        near = nearer.df.select("node")
+        near = F.broadcast(near) if nearer.rows <= graph.limits.broadcast_rows else near
+        here = settle(arrivals.join(near, "node", "left_semi"), graph.limits)
         levels.append(here)
     last = levels[-1].df.where(F.col("node") == target).select("root", "node", "parent", found)
     levels[-1] = Settled(last, 1, None)

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hopline.functions.hashing import DRAW_SPAN, digest, draw_from, uniform_int, uniform_real
-from hopline.functions.vectors import l2_normalize
+from hopline.functions.hashing import uniform_int, uniform_real
+from hopline.operators.kernels import task_vectors
 
 # The domains of the generated columns.
 SEED = 42
@@ -60,31 +61,18 @@ def edges_for(keys: DataFrame, nodes: int, seed: int = SEED, key: str = "id") ->
     )
 
 
-def vectors_for(
-    keys: DataFrame, dim: int = EMBED_DIM, seed: int = SEED, key: str = "id"
+def with_vectors(
+    df: DataFrame, dim: int = EMBED_DIM, seed: int = SEED, key: str = "id"
 ) -> DataFrame:
-    """``(id, embedding)``: a standard normal direction per key, scaled to length one.
+    """``df`` with an ``embedding``: a standard normal direction per key, of length one.
 
-    One digest gives two uniforms, and those a pair of normals (Box-Muller).
+    Keys are 64-bit integers. The draws are counter-based: key, seed and place in
+    the vector decide each of them.
     """
-    pairs = -(-dim // 2)
-    hashes = F.transform(
-        F.sequence(F.lit(1), F.lit(pairs)),
-        lambda i: digest(F.col(key), seed, F.concat(F.lit("embedding"), i.cast("string"))),
+    schema = T.StructType(
+        [*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]
     )
-    span = F.lit(float(DRAW_SPAN))
-
-    def normals(h):
-        radius = F.sqrt(-2.0 * F.log((draw_from(h, 0) + 1) / span))
-        angle = F.lit(2.0) * F.pi() * draw_from(h, 1) / span
-        return F.array(radius * F.cos(angle), radius * F.sin(angle))
-
-    drawn = keys.select(
-        F.col(key).cast("long").alias("id"),
-        F.slice(F.flatten(F.transform(hashes, normals)), 1, dim).alias("drawn"),
-    )
-    unit = l2_normalize(F.col("drawn")).cast("array<float>")
-    return drawn.select("id", unit.alias("embedding"))
+    return df.mapInArrow(task_vectors(df.columns.index(key), dim, seed), schema)
 
 
 def generate_nodes(spark: SparkSession, n: int, seed: int = SEED) -> DataFrame:
@@ -101,6 +89,4 @@ def generate_vector_nodes(
     spark: SparkSession, n: int, dim: int = EMBED_DIM, seed: int = SEED
 ) -> DataFrame:
     """Nodes ``0 … n - 1`` with a unit vector each."""
-    keys = spark.range(n)
-    nodes = nodes_for(keys, seed)
-    return nodes.join(vectors_for(keys, dim, seed), "id")
+    return with_vectors(nodes_for(spark.range(n), seed), dim, seed)

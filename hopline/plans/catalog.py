@@ -653,7 +653,7 @@ def _(spark, sf_dir):
 @query("gen_03")
 def _(spark, sf_dir):
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    vectors = synth.vectors_for(keys)
+    vectors = synth.with_vectors(keys)
     unit = F.col("embedding").cast("array<double>")
     return vectors.select(
         "id",

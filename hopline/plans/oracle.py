@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hopline.functions.hashing import DRAW_SPAN, HEX_DIGITS
+from hopline.operators.kernels import INCREMENT, MULTIPLIERS
 from hopline.operators.synth import CATEGORIES, EDGE_TYPES, EMBED_DIM, SEED, TS_BASE, TS_SPAN
 from hopline.plans.catalog import (
     DIM,
@@ -152,10 +153,9 @@ def _pivot(stat: str) -> str:
     return f"{SUMMARY} SELECT size, query, {cells} FROM m GROUP BY ALL"
 
 
-def _draw(key: str, stream: str, position: int = 0) -> str:
-    start = 1 + position * HEX_DIGITS
+def _draw(key: str, stream: str) -> str:
     text = f"md5(concat_ws('|', CAST({key} AS VARCHAR), '{SEED}', {stream}))"
-    return f"CAST('0x' || substr({text}, {start}, {HEX_DIGITS}) AS BIGINT)"
+    return f"CAST('0x' || substr({text}, 1, {HEX_DIGITS}) AS BIGINT)"
 
 
 def _choice(values: list[str], key: str, stream: str) -> str:
@@ -163,8 +163,36 @@ def _choice(values: list[str], key: str, stream: str) -> str:
     return f"[{names}][{_draw(key, stream)} % {len(values)} + 1]"
 
 
-_U = _draw("c_custkey", "'embedding' || CAST(i AS VARCHAR)", 0)
-_V = _draw("c_custkey", "'embedding' || CAST(i AS VARCHAR)", 1)
+def _mixed(source: str, column: str, name: str) -> str:
+    """CTEs for SplitMix64's output function; products are taken modulo 2^64."""
+
+    def product(x: str, factor: int) -> str:
+        return f"CAST((CAST({x} AS UHUGEINT) * {factor}::UHUGEINT) % {2**64}::UHUGEINT AS UBIGINT)"
+
+    first = product(f"xor({column}, {column} >> 30)", MULTIPLIERS[0])
+    second = product("xor(m1, m1 >> 27)", MULTIPLIERS[1])
+    return f"""{name}1 AS (SELECT *, {first} AS m1 FROM {source}),
+  {name}2 AS (SELECT *, {second} AS m2 FROM {name}1),
+  {name} AS (SELECT * EXCLUDE (m1, m2, {column}), xor(m2, m2 >> 31) AS {column} FROM {name}2)"""
+
+
+def _sum64(*terms: str) -> str:
+    added = " + ".join(f"CAST({t} AS UHUGEINT)" for t in terms)
+    return f"CAST(({added}) % {2**64}::UHUGEINT AS UBIGINT)"
+
+
+NORMALS = f"""WITH k AS (SELECT c_custkey AS id,
+    {_sum64(f"(c_custkey::UHUGEINT * {INCREMENT}::UHUGEINT) % {2**64}::UHUGEINT", str(SEED))} AS x FROM customer),
+  {_mixed("k", "x", "start")},
+  lanes AS (SELECT id, x, unnest(range(1, {EMBED_DIM} + 1)) AS lane FROM start),
+  laned AS (SELECT id, lane,
+    {_sum64("x", f"(lane::UHUGEINT * {INCREMENT}::UHUGEINT) % {2**64}::UHUGEINT")} AS x FROM lanes),
+  {_mixed("laned", "x", "bits")},
+  pairs AS (SELECT id, (lane - 1) // 2 AS pair,
+    max(CASE WHEN lane % 2 = 1 THEN CAST(x >> 11 AS DOUBLE) END) AS u,
+    max(CASE WHEN lane % 2 = 0 THEN CAST(x >> 11 AS DOUBLE) END) AS v FROM bits GROUP BY ALL),
+  polar AS (SELECT id, pair, sqrt(-2.0 * ln((u + 1.0) / {2**53})) AS radius,
+    2.0 * pi() * v / {2**53} AS angle FROM pairs)"""
 
 ORACLE: dict[str, str] = {
     "ing_01": f"{GRAPH} SELECT * FROM n",
@@ -311,14 +339,11 @@ FROM l GROUP BY size""",
          {_draw("event_id", "'dst'")} % (n - 1) AS step FROM events CROSS JOIN c)
 SELECT src, (src + 1 + step) % n AS dst, {_choice(EDGE_TYPES, "event_id", "'edge_type'")} AS edge_type,
   {TS_BASE} + {_draw("event_id", "'edge_ts'")} % {TS_SPAN} AS ts FROM d""",
-    "gen_03": f"""WITH p AS (SELECT c_custkey, unnest(range(1, {EMBED_DIM // 2 + 1})) AS i FROM customer),
-  d AS (SELECT c_custkey, i, sqrt(-2.0 * ln(({_U} + 1) / {float(DRAW_SPAN)!r}::DOUBLE)) AS radius,
-    2.0 * pi() * {_V} / {float(DRAW_SPAN)!r}::DOUBLE AS angle FROM p),
-  l AS (SELECT c_custkey, sqrt(sum(radius * radius)) AS len FROM d GROUP BY ALL),
-  x AS (SELECT c_custkey, max(CASE WHEN i = 1 THEN radius * cos(angle) END) AS first,
-    max(CASE WHEN i = {EMBED_DIM // 2} THEN radius * sin(angle) END) AS last FROM d GROUP BY ALL)
-SELECT c_custkey AS id, CAST({EMBED_DIM} AS BIGINT) AS dim, CAST(1.0 AS DOUBLE) AS norm,
-  round(first / len, 5) + 0.0 AS first, round(last / len, 5) + 0.0 AS last FROM x JOIN l USING (c_custkey)""",
+    "gen_03": f"""{NORMALS}
+SELECT id, CAST({EMBED_DIM} AS BIGINT) AS dim, CAST(1.0 AS DOUBLE) AS norm,
+  round(max(CASE WHEN pair = 0 THEN radius * cos(angle) END) / sqrt(sum(radius * radius)), 5) + 0.0 AS first,
+  round(max(CASE WHEN pair = {EMBED_DIM // 2 - 1} THEN radius * sin(angle) END) / sqrt(sum(radius * radius)), 5)
+    + 0.0 AS last FROM polar GROUP BY id""",
     "srt_01": f"""SELECT l_orderkey, l_partkey, l_suppkey,
   round(l_extendedprice * (1 - l_discount), 4) AS revenue FROM lineitem
 ORDER BY revenue DESC, l_orderkey, l_partkey, l_suppkey LIMIT {LIMIT}""",
