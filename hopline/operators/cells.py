@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.functions.vectors import norm
+from hopline.operators.kernels import task_cells, unit_rows
 from hopline.operators.knn import block_tops, collect_queries, nearest, ranked
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
 
@@ -44,9 +44,10 @@ class CellIndex:
         return np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")[:, :nprobe]
 
 
-def _usable(vector: str, dim: int):
+def _trainable(vector: str, dim: int):
+    """Whether a vector is complete and has a direction."""
     complete = ~F.exists(vector, lambda x: x.isNull())
-    return (F.size(vector) == dim) & complete & (norm(F.col(vector)) > 0)
+    return (F.size(vector) == dim) & complete & F.exists(vector, lambda x: x != 0)
 
 
 def build_cells(
@@ -68,31 +69,24 @@ def build_cells(
     rows = corpus.select(
         F.col(id_column).cast("long").alias("id"),
         F.col(vector_column).cast("array<float>").alias("embedding"),
-    ).withColumn("usable", F.coalesce(_usable("embedding", dim), F.lit(False)))
-    features = rows.where("usable").withColumn(
-        "features", array_to_vector(F.col("embedding").cast("array<double>"))
     )
-    training = features.select("features")
-    if train_fraction < 1.0:
-        training = training.sample(train_fraction, seed=seed)
-    means = KMeans(
-        k=cells, distanceMeasure="cosine", initMode="random", maxIter=max_iter, seed=seed,
-        predictionCol="cell",
+    training = rows.sample(train_fraction, seed=seed) if train_fraction < 1.0 else rows
+    features = training.where(_trainable("embedding", dim)).select(
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
-    model = means.fit(training)
-    assigned = model.transform(features).select("id", "embedding", "cell")
-    apart = rows.where(~F.col("usable")).select(
-        "id", "embedding", F.lit(NO_CELL).alias("cell")
+    means = KMeans(
+        k=cells, distanceMeasure="cosine", initMode="random", maxIter=max_iter, seed=seed
     )
+    centroids = unit_rows(np.array(means.fit(features).clusterCenters(), dtype=np.float64))
+    context = corpus.sparkSession.sparkContext
+    run = task_cells(context.broadcast(centroids), dim, NO_CELL)
+    assigned = rows.mapInArrow(run, "id long, embedding array<float>, cell int")
     (
-        assigned.unionByName(apart)
-        .hint("rebalance", "cell")
+        assigned.hint("rebalance", "cell")
         .write.mode("overwrite")
         .partitionBy("cell")
         .parquet(path)
     )
-    centroids = np.array(model.clusterCenters(), dtype=np.float64)
-    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
     return CellIndex(path, centroids, dim)
 
 

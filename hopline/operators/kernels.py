@@ -114,6 +114,26 @@ def task_tops(query_ids, query_units, k: int, dim: int, cells):
     return run
 
 
+def task_cells(centroids, dim: int, no_cell: int):
+    """The function a task runs: ``(id, vector)`` batches in, the same with a cell appended."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ways = centroids.value.T
+        for batch in batches:
+            ids, vectors = batch.columns
+            length = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            fitting = np.flatnonzero(length == dim)
+            units = unit_rows(matrix(vectors.take(pa.array(fitting)), dim))
+            usable = ~np.isnan(units).any(axis=1)
+            cell = np.full(batch.num_rows, no_cell, dtype=np.int32)
+            cell[fitting[usable]] = np.argmax(units[usable] @ ways, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [ids, vectors, pa.array(cell)], names=[*batch.schema.names, "cell"]
+            )
+
+    return run
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """SplitMix64's output function on unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MULTIPLIERS[0])
