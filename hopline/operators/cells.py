@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopline.operators.kernels import task_cells, unit_rows
-from hopline.operators.knn import block_tops, collect_queries, nearest, ranked
+from hopline.operators.knn import block_tops, nearest, query_blocks, ranked
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
 
 #: Cell of rows that have no direction: zero vectors and vectors of another length.
@@ -110,23 +110,16 @@ def nearest_many_in_cells(
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """``(query_id, id, distance, rank)``: each query against its ``nprobe`` nearest cells."""
-    usable = queries.where(F.size(query_vector) == index.dim).select(
-        F.col(query_id).cast("long"), query_vector
-    )
-    passes = max(1, -(-usable.count() // limits.query_rows))
-    found = None
-    for turn in range(passes):
-        block = usable.where(F.expr(f"pmod(xxhash64({query_id}), {passes}) = {turn}"))
-        ids, units = collect_queries(block, index.dim)
+    corpus = index.corpus(spark).select("id", "embedding", "cell")
+    tops = []
+    for ids, units in query_blocks(queries, query_id, query_vector, index.dim, limits):
         choice = index.probe(units, nprobe)
-        at = np.repeat(np.arange(len(ids)), choice.shape[1])
-        flat = choice.ravel()
-        probes = {int(c): at[flat == c] for c in np.unique(flat)}
-        rows = index.corpus(spark).where(F.col("cell").isin(list(probes)))
-        rows = rows.select("id", "embedding", "cell")
-        tops = block_tops(rows, ids, units, k, index.dim, probes)
-        found = tops if found is None else found.unionByName(tops)
-    return ranked(found, k)
+        asking = np.repeat(np.arange(len(ids)), choice.shape[1])
+        probed = choice.ravel()
+        probes = {int(c): asking[probed == c] for c in np.unique(probed)}
+        rows = corpus.where(F.col("cell").isin(list(probes)))
+        tops.append(block_tops(rows, ids, units, k, index.dim, probes))
+    return ranked(spark, tops, k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hopline.model import PropertyGraph
 from hopline.operators.knn import nearest
 from hopline.plans.lineage import settle
+from hopline.plans.skew import keep_keys
 
 
 def neighbours_of_nearest(
@@ -24,15 +25,10 @@ def neighbours_of_nearest(
 
     The ``k`` ids become a literal list, so the edges are filtered in the scan.
     """
-    hits = settle(nearest(corpus, query, k, id_column, vector_column).select("id"), graph.limits)
-    edges = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbour"))
-    ids = hits.literals("id")
-    edges = (
-        edges.where(F.col("id").isin(ids))
-        if ids is not None
-        else edges.join(F.broadcast(hits.df), "id", "left_semi")
-    )
-    return graph.existing(edges, "neighbour")
+    hits = nearest(corpus, query, k, id_column, vector_column).select(F.col("id").alias("node"))
+    edges = graph.edges.select("src", "dst")
+    leaving = graph.existing(keep_keys(graph, edges, "src", settle(hits, graph.limits)), "dst")
+    return leaving.select(F.col("src").alias("id"), F.col("dst").alias("neighbour"))
 
 
 def distinct_neighbour_count(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopline.operators.kernels import matrix, task_tops, unit_rows
@@ -34,12 +35,26 @@ def nearest(
     return tops.select("id", distance).orderBy("distance", "id").limit(k)
 
 
-def collect_queries(queries: DataFrame, dim: int):
-    """Ids and unit vectors of a bounded block of queries, as arrays."""
-    table = queries.toArrow()
-    ids = table.column(0).to_numpy().astype(np.int64)
-    units = unit_rows(matrix(table.column(1), dim)) if len(ids) else np.empty((0, dim))
-    return ids, units
+def query_blocks(
+    queries: DataFrame, query_id: str, query_vector: str, dim: int, limits: Limits
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the queries, a bounded block at a time.
+
+    Ids must be unique: they spread the queries over the blocks.
+    """
+    usable = queries.where(F.size(query_vector) == dim).select(
+        F.col(query_id).cast("long").alias("query_id"), query_vector
+    )
+    blocks = max(1, -(-usable.count() // limits.query_rows))
+    bound = 2 * limits.query_rows + 100
+    for turn in range(blocks):
+        block = usable.where(F.expr(f"pmod(xxhash64(query_id), {blocks}) = {turn}"))
+        table = block.limit(bound + 1).toArrow()
+        if table.num_rows > bound:
+            raise ValueError("query ids are not unique")
+        if table.num_rows:
+            units = unit_rows(matrix(table.column(1), dim))
+            yield table.column(0).to_numpy().astype(np.int64), units
 
 
 def nearest_many(
@@ -59,19 +74,12 @@ def nearest_many(
     a task multiplies it with its share of the corpus and keeps ``k`` rows per
     query, so distances never leave the task. More queries take more passes.
     """
-    usable = queries.where(F.size(query_vector) == dim).select(
-        F.col(query_id).cast("long"), query_vector
-    )
     rows = corpus.where(F.size(vector_column) == dim).select(
         F.col(id_column).cast("long").alias("id"), vector_column
     )
-    passes = max(1, -(-usable.count() // limits.query_rows))
-    found = None
-    for turn in range(passes):
-        block = usable.where(F.expr(f"pmod(xxhash64({query_id}), {passes}) = {turn}"))
-        tops = block_tops(rows, *collect_queries(block, dim), k, dim)
-        found = tops if found is None else found.unionByName(tops)
-    return ranked(found, k)
+    blocks = query_blocks(queries, query_id, query_vector, dim, limits)
+    tops = [block_tops(rows, ids, units, k, dim) for ids, units in blocks]
+    return ranked(corpus.sparkSession, tops, k)
 
 
 def block_tops(rows: DataFrame, ids, units, k: int, dim: int, probes=None) -> DataFrame:
@@ -86,10 +94,12 @@ def block_tops(rows: DataFrame, ids, units, k: int, dim: int, probes=None) -> Da
     return rows.mapInArrow(run, "query_id long, id long, distance double")
 
 
-def ranked(tops: DataFrame, k: int) -> DataFrame:
+def ranked(spark: SparkSession, tops: list[DataFrame], k: int) -> DataFrame:
     """Merge per-task best rows into the ``k`` best per query."""
+    if not tops:
+        return spark.createDataFrame([], "query_id long, id long, distance double, rank long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    best = tops.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = reduce(DataFrame.unionByName, tops).withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select(
         "query_id", "id", (F.col("distance") + 0.0).alias("distance"), F.col("rank").cast("long")
     )

@@ -79,7 +79,8 @@ def _finish(graph: PropertyGraph, pairs: DataFrame, limit: int, distinct: bool)
         second = second.distinct()
     nth = F.row_number().over(Window.partitionBy("b").orderBy("c"))
     ends = second.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
-    matches = ends.join(F.broadcast(kept.df), "b").select("a", "b", "c")
+    first = F.broadcast(kept.df) if kept.rows <= graph.limits.broadcast_rows else kept.df
+    matches = ends.join(first, "b").select("a", "b", "c")
     return matches.orderBy("a", "b", "c").limit(limit)
 
 

@@ -36,6 +36,7 @@ START = node_id("customer", 0)
 PART = node_id("part", 7)
 TARGET = node_id("customer", 1)
 TS_LO, TS_HI = 820454400000, 946684800000  # 1996-01-01 and 2000-01-01 UTC
+PERIOD_MS = 365 * 24 * 3600 * 1000
 LIMIT = 1_000
 K = 10
 DIM = 64
@@ -330,6 +331,13 @@ def _(spark, sf_dir):
     return _slice(spark, sf_dir).edges
 
 
+@query("tmp_01_by_period")
+def _(spark, sf_dir):
+    path = scratch_path(spark, "edges_by_period")
+    tables.materialise_by_period(_graph(spark, sf_dir).edges, path, PERIOD_MS)
+    return tables.read_window(spark, path, PERIOD_MS, TS_LO, TS_HI)
+
+
 @query("tmp_02")
 def _(spark, sf_dir):
     return _long(traverse.walk_count(_slice(spark, sf_dir), START, 3), "walks")

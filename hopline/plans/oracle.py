@@ -247,6 +247,7 @@ SELECT node FROM r WHERE d = 5""",
     "trv_07": f"""{_levels([START])}
 SELECT node, CAST(min(d) AS BIGINT) AS distance FROM levels GROUP BY node""",
     "tmp_01": f"{SLICE} SELECT * FROM f",
+    "tmp_01_by_period": f"{SLICE} SELECT * FROM f",
     "tmp_02": f"{SLICE} {_walks('f', 3, 'count(*) AS walks')}",
     "tmp_03": f"{SLICE} {_walks('f', 3, 'count(DISTINCT {last}.dst) AS ends')}",
     "tmp_04": f"{SLICE}, g AS (SELECT DISTINCT src, dst FROM f) {_walks('g', 3, 'count(*) AS walks')}",

@@ -64,6 +64,27 @@ def materialise_clustered(
     return materialise(spread.sortWithinPartitions(*columns).drop("_from"), path)
 
 
+def materialise_by_period(df: DataFrame, path: str, period_ms: int, ts: str = "ts") -> DataFrame:
+    """:func:`materialise`, one folder per stretch of ``period_ms`` milliseconds.
+
+    A crowded period is split over writing tasks.
+    """
+    period = F.floor(F.col(ts) / period_ms).cast("long")
+    by_period = df.withColumn("period", period).hint("rebalance", "period")
+    by_period.write.mode("overwrite").partitionBy("period").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def read_window(
+    spark: SparkSession, path: str, period_ms: int, ts_lo: int, ts_hi: int
+) -> DataFrame:
+    """Edges of a closed time window; folders of other periods are not opened."""
+    stored = spark.read.parquet(path)
+    periods = F.col("period").between(ts_lo // period_ms, ts_hi // period_ms)
+    inside = F.col("ts").between(ts_lo, ts_hi)
+    return conform(stored.where(periods & inside), EDGE_SCHEMA)
+
+
 def split_edges(graph: PropertyGraph, path: str, name: str, buckets: int) -> PropertyGraph:
     """Store the edges of ordinary sources bucketed by source, and those of hubs apart.
 

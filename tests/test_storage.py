@@ -33,6 +33,16 @@ def test_clustered_files_skip_and_split_a_hub(spark, tmp_path):
     assert "PushedFilters: [In(src, [3,4])]" in plan
 
 
+def test_window_opens_only_its_periods(spark, tmp_path):
+    path = str(tmp_path / "periods")
+    graph = graph_of(spark, [1], [(1, i, "a", i * 10) for i in range(-5, 50)])
+    tables.materialise_by_period(graph.edges, path, 100)
+    got = tables.read_window(spark, path, 100, -20, 210)
+    assert bag(got) == sorted((1, i, "a", i * 10) for i in range(-2, 22))
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(period" in plan
+
+
 def test_redelivered_batches_collapse(spark, tmp_path):
     path = str(tmp_path / "appended")
     graph = graph_of(spark, [1, 2], [(1, 2, "a", 1), (2, 1, "a", 2)])

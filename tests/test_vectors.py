@@ -87,6 +87,12 @@ def test_fewer_rows_than_k(spark):
     assert knn.nearest(df, [1.0] * DIM, 10).count() == 3
 
 
+def test_repeated_query_ids_are_refused(spark):
+    queries = spark.createDataFrame([(1, [1.0] * DIM)] * 300, "query_id long, query_vector array<float>")
+    with pytest.raises(ValueError, match="not unique"):
+        knn.nearest_many(corpus(spark, random_rows(3)), queries, 1, DIM, limits=Limits(query_rows=10))
+
+
 def test_wrong_length(spark):
     df = corpus(spark, ODD)
     assert {r.id for r in checks.wrong_vectors(df, "embedding", DIM).collect()} == {901, 902}
