@@ -340,11 +340,13 @@ FROM l GROUP BY size""",
          {_draw("event_id", "'dst'")} % (n - 1) AS step FROM events CROSS JOIN c)
 SELECT src, (src + 1 + step) % n AS dst, {_choice(EDGE_TYPES, "event_id", "'edge_type'")} AS edge_type,
   {TS_BASE} + {_draw("event_id", "'edge_ts'")} % {TS_SPAN} AS ts FROM d""",
-    "gen_03": f"""{NORMALS}
+    "gen_03": f"""{NORMALS}, ends AS (
+  SELECT id, max(CASE WHEN pair = 0 THEN radius * cos(angle) END) / sqrt(sum(radius * radius)) AS a,
+    max(CASE WHEN pair = {EMBED_DIM // 2 - 1} THEN radius * sin(angle) END) / sqrt(sum(radius * radius)) AS z
+  FROM polar GROUP BY id)
 SELECT id, CAST({EMBED_DIM} AS BIGINT) AS dim, CAST(1.0 AS DOUBLE) AS norm,
-  round(max(CASE WHEN pair = 0 THEN radius * cos(angle) END) / sqrt(sum(radius * radius)), 5) + 0.0 AS first,
-  round(max(CASE WHEN pair = {EMBED_DIM // 2 - 1} THEN radius * sin(angle) END) / sqrt(sum(radius * radius)), 5)
-    + 0.0 AS last FROM polar GROUP BY id""",
+  round(CAST(CAST(a AS FLOAT) AS DOUBLE), 5) + 0.0 AS first,
+  round(CAST(CAST(z AS FLOAT) AS DOUBLE), 5) + 0.0 AS last FROM ends""",
     "srt_01": f"""SELECT l_orderkey, l_partkey, l_suppkey,
   round(l_extendedprice * (1 - l_discount), 4) AS revenue FROM lineitem
 ORDER BY revenue DESC, l_orderkey, l_partkey, l_suppkey LIMIT {LIMIT}""",
