@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
-from hopline.plans.skew import hub_table
+from hopline.plans.lineage import settle
+from hopline.plans.skew import hub_table, match_keys
 
 NODE_SCHEMA = T.StructType(
     [
@@ -127,3 +128,39 @@ class PropertyGraph:
         if self.endpoints_ok:
             return ids
         return ids.join(self.nodes.select("id"), F.col(key) == F.col("id"), "left_semi")
+
+    def checked(self) -> PropertyGraph:
+        """The graph without the edges that lead from or to a missing node.
+
+        Missing nodes are looked for once, counted per endpoint; usually there are
+        none and the edges are used as they are.
+        """
+        if self.endpoints_ok:
+            return self
+        used = missing_ids(self.edges, self.nodes).select("node")
+        missing = settle(used.where(F.col("node").isNotNull()), self.limits)
+        edges = self.edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+        if missing.rows:
+            for side in ("src", "dst"):
+                edges = match_keys(self, edges, side, missing, "left_anti")
+            return replace(self.with_edges(edges), endpoints_ok=True)
+        return replace(self, endpoints_ok=True)
+
+
+def missing_ids(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, src, dst)``: endpoints that are no node, with their edges on either side.
+
+    One scan of the edges. They are counted per endpoint before any join, so a hub
+    contributes one row per task, and the anti-join reuses that partitioning.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = edges.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("src").alias("node"), one.alias("as_src"), none.alias("as_dst")),
+                F.struct(F.col("dst").alias("node"), none.alias("as_src"), one.alias("as_dst")),
+            )
+        )
+    )
+    counted = ends.groupBy("node").agg(F.sum("as_src").alias("src"), F.sum("as_dst").alias("dst"))
+    return counted.join(nodes.select("id"), F.col("node") == F.col("id"), "left_anti")

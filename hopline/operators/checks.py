@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopline.model import PropertyGraph
+from hopline.model import PropertyGraph, missing_ids
 
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -19,24 +19,10 @@ def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def missing_endpoints(graph: PropertyGraph) -> DataFrame:
-    """``(side, node, n)``: endpoints that are no node, and how many edges use them.
-
-    One scan of the edges. They are counted per endpoint before any join, so a hub
-    contributes one row per task, and the anti-join reuses that partitioning.
-    """
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    ends = graph.edges.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("src").alias("node"), one.alias("as_src"), none.alias("as_dst")),
-                F.struct(F.col("dst").alias("node"), none.alias("as_src"), one.alias("as_dst")),
-            )
-        )
-    )
-    counted = ends.groupBy("node").agg(F.sum("as_src").alias("src"), F.sum("as_dst").alias("dst"))
-    missing = counted.join(graph.nodes.select("id"), F.col("node") == F.col("id"), "left_anti")
+    """``(side, node, n)``: endpoints that are no node, and how many edges use them."""
     return (
-        missing.unpivot("node", ["src", "dst"], "side", "n")
+        missing_ids(graph.edges, graph.nodes)
+        .unpivot("node", ["src", "dst"], "side", "n")
         .where(F.col("n") > 0)
         .select("side", "node", "n")
     )

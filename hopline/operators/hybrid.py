@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hopline.model import PropertyGraph
 from hopline.operators.knn import nearest
 from hopline.plans.lineage import settle
-from hopline.plans.skew import keep_keys
+from hopline.plans.skew import leaving, repeat_rows
 
 
 def neighbours_of_nearest(
@@ -26,9 +26,11 @@ def neighbours_of_nearest(
     The ``k`` ids become a literal list, so the edges are filtered in the scan.
     """
     hits = nearest(corpus, query, k, id_column, vector_column).select(F.col("id").alias("node"))
-    edges = graph.edges.select("src", "dst")
-    leaving = graph.existing(keep_keys(graph, edges, "src", settle(hits, graph.limits)), "dst")
-    return leaving.select(F.col("src").alias("id"), F.col("dst").alias("neighbour"))
+    edges = leaving(graph, settle(hits, graph.limits))
+    if not graph.endpoints_ok:
+        counted = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+        edges = repeat_rows(graph.existing(counted, "dst"), "n")
+    return edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbour"))
 
 
 def distinct_neighbour_count(rows: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hopline.model import PropertyGraph
 from hopline.plans.limits import Limits
 from hopline.plans.lineage import Settled, settle
-from hopline.plans.skew import expand
+from hopline.plans.skew import expand, leaving
 
 #: Search bound when none is given.
 MAX_HOPS = 30
@@ -41,11 +41,28 @@ def _unseen(arrivals: DataFrame, seen: list[Settled], bound: int) -> DataFrame:
     return arrivals.join(visited, ["root", "node"], "left_anti")
 
 
-def _next_level(graph: PropertyGraph, frontier: Settled, seen: list[Settled]) -> DataFrame:
-    """``(root, node, parent)`` first reached one edge beyond the frontier."""
-    step = expand(graph, frontier)
-    arrivals = step.groupBy("root", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-    return graph.existing(_unseen(arrivals, seen, graph.limits.broadcast_rows))
+def _next_level(
+    graph: PropertyGraph, frontier: Settled, seen: list[Settled], root: int | None = None
+) -> DataFrame:
+    """``(root, node, parent)`` first reached one edge beyond the frontier.
+
+    With a single ``root`` the frontier is only a list of sources, and while all
+    that was seen is a short list too, the scan alone does the work.
+    """
+    bound = graph.limits.broadcast_rows
+    parent = F.min("src").alias("parent")
+    if root is None:
+        step = expand(graph, frontier)
+        arrivals = step.groupBy("root", F.col("dst").alias("node")).agg(parent)
+        return graph.existing(_unseen(arrivals, seen, bound))
+    step = leaving(graph, frontier)
+    known = [level.literals("node") for level in seen]
+    listed = None not in known and sum(map(len, known)) <= graph.limits.literal_rows
+    if listed and known:
+        step = step.where(~F.col("dst").isin(sorted(set().union(*known))))
+    arrivals = step.groupBy(F.col("dst").alias("node")).agg(parent)
+    arrivals = arrivals.select(F.lit(root).cast("long").alias("root"), "node", "parent")
+    return graph.existing(arrivals if listed else _unseen(arrivals, seen, bound))
 
 
 def reach(graph: PropertyGraph, source: int, max_hops: int = MAX_HOPS) -> DataFrame:
@@ -55,7 +72,7 @@ def reach(graph: PropertyGraph, source: int, max_hops: int = MAX_HOPS) -> DataFr
     for _ in range(max_hops):
         if levels[-1].rows == 0:
             break
-        levels.append(settle(_next_level(graph, levels[-1], levels), graph.limits))
+        levels.append(settle(_next_level(graph, levels[-1], levels, source), graph.limits))
     found = [
         level.df.select("node", F.lit(depth).cast("long").alias("distance"))
         for depth, level in enumerate(levels)
@@ -163,7 +180,8 @@ def search_pair(
             return PathSearch(forward, [0] * len(forward), bound_hit=True)
         ahead = forward[-1].rows <= backward[-1].rows
         side, other, g = (forward, backward, graph) if ahead else (backward, forward, turned)
-        level = settle(_next_level(g, side[-1], side[1:]), graph.limits)
+        start = source if ahead else target
+        level = settle(_next_level(g, side[-1], side[1:], start), graph.limits)
         side.append(level)
         if level.rows == 0:
             return PathSearch(forward, [0] * len(forward))
@@ -180,14 +198,9 @@ def search_pair(
         return PathSearch([blank] * depth + [Settled(pair, 1, None)], [0] * depth + [1])
     # Second half of the route: from the common nodes to the target, through the
     # backward levels, keeping only nodes that lie on a shortest path.
-    meet = common.df.select(F.lit(source).cast("long").alias("root"), "node")
-    here = Settled(meet, common.rows, common.head)
-    levels = list(forward)
+    here, levels = common, list(forward)
     for nearer in reversed(backward[:-1]):
-        step = expand(graph, here)
-        arrivals = step.groupBy("root", F.col("dst").alias("node")).agg(
-            F.min("src").alias("parent")
-        )
+        arrivals = _next_level(graph, here, [], source)
         near = nearer.df.select("node")
         near = F.broadcast(near) if nearer.rows <= graph.limits.broadcast_rows else near
         here = settle(arrivals.join(near, "node", "left_semi"), graph.limits)

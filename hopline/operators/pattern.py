@@ -11,96 +11,111 @@ from pyspark.sql import functions as F
 from hopline.model import PropertyGraph
 from hopline.operators.filters import nodes_in_category
 from hopline.plans.lineage import Settled, settle
-from hopline.plans.skew import keep_keys
+from hopline.plans.skew import leaving, match_keys
+
+#: Factors by which a search among the first rows is widened before it takes all.
+WIDER = (1, 16, 256)
 
 
 def _middles(graph: PropertyGraph, category: str) -> Settled:
-    """``(node)``: nodes of the category that have an outgoing edge to a node."""
-    starts = graph.edges.select("src", "dst")
-    if not graph.endpoints_ok:
-        starts = graph.existing(starts, "dst")
-    starts = starts.select("src").distinct()
+    """``(node)``: nodes of the category."""
     chosen = nodes_in_category(graph, category).select(F.col("id").alias("node"))
-    return settle(chosen.join(starts, F.col("node") == F.col("src"), "left_semi"), graph.limits)
+    return settle(chosen.distinct(), graph.limits)
 
 
-def _first_edges(graph: PropertyGraph, edges: DataFrame, middles: Settled) -> DataFrame:
-    """``(a, b)``: those of ``edges`` that lead into the middle nodes."""
-    incoming = keep_keys(graph, edges.select("src", "dst"), "dst", middles)
-    return graph.existing(incoming, "src").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+def _leading_on(graph: PropertyGraph, middles: Settled) -> Settled:
+    """``(node)``: the middle nodes with an outgoing edge."""
+    starts = graph.edges.select("src").distinct()
+    onward = middles.df.join(starts, F.col("node") == F.col("src"), "left_semi")
+    return settle(onward, graph.limits)
 
 
-def _leading_pairs(
-    graph: PropertyGraph, middles: Settled, limit: int, distinct: bool
+def _first_edges(
+    graph: PropertyGraph, edges: DataFrame, middles: Settled, distinct: bool
 ) -> DataFrame:
-    """Pairs among which the first ``limit`` by ``(a, b)`` are found.
+    """``(a, b)``: those of ``edges`` that lead into the middle nodes."""
+    incoming = match_keys(graph, edges.select("src", "dst"), "dst", middles)
+    pairs = incoming.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return pairs.distinct() if distinct else pairs
+
+
+def _first_pairs(graph: PropertyGraph, middles: Settled, n: int, distinct: bool) -> Settled:
+    """The first ``n`` pairs by ``(a, b)``.
 
     A broadcast of the middle nodes filters the edges where they are. More middle
     nodes than that would mean shuffling all edges, so only those of the first
     start nodes are tried, then of more, until they hold enough pairs.
     """
-    every = graph.edges.select("src", "dst")
+    edges = graph.edges.select("src", "dst")
     if middles.rows > graph.limits.broadcast_rows:
-        starts = every.select("src").distinct().orderBy("src")
-        for wider in (1, 16, 256):
-            first = starts.limit(limit * wider)
-            last, n = first.agg(F.max("src"), F.count("*")).first()
-            if n < limit * wider:
+        starts = edges.select("src").distinct().orderBy("src")
+        for factor in WIDER:
+            last, found = starts.limit(n * factor).agg(F.max("src"), F.count("*")).first()
+            if found < n * factor:
                 break
-            pairs = _first_edges(graph, every.where(F.col("src") <= last), middles)
-            pairs = pairs.distinct() if distinct else pairs
-            found = settle(pairs.orderBy("a", "b").limit(limit), graph.limits)
-            if found.rows == limit:
-                return found.df
-    pairs = _first_edges(graph, every, middles)
-    if not distinct:
-        return pairs
-    # The first start nodes already give enough different pairs. Finding them takes
-    # a shuffle of start nodes, not of edges.
-    last = pairs.select("a").distinct().orderBy("a").limit(limit).agg(F.max("a")).first()[0]
-    return pairs.where(F.col("a") <= last).distinct() if last is not None else pairs
-
-
-def _finish(graph: PropertyGraph, pairs: DataFrame, limit: int, distinct: bool) -> DataFrame:
-    """Join the second edge to the first ``limit`` pairs.
-
-    Every pair has a second edge, so these pairs give at least ``limit`` rows and no
-    later pair can contribute. No middle node needs more than its first ``limit``
-    ends, which are picked before the join.
-    """
-    kept = settle(pairs.orderBy("a", "b").limit(limit), graph.limits)
-    if kept.rows == 0:
-        return kept.df.select("a", "b", F.lit(0).cast("long").alias("c"))
-    middles = kept.df.select(F.col("b").alias("node")).distinct()
-    chosen = settle(middles, graph.limits)
-    second = keep_keys(graph, graph.edges.select("src", "dst"), "src", chosen)
-    second = graph.existing(second, "dst").select(F.col("src").alias("b"), F.col("dst").alias("c"))
+            pairs = _first_edges(graph, edges.where(F.col("src") <= last), middles, distinct)
+            kept = settle(pairs.orderBy("a", "b").limit(n), graph.limits)
+            if kept.rows == n:
+                return kept
     if distinct:
-        second = second.distinct()
+        # The first n start nodes already give enough different pairs. Finding them
+        # takes a shuffle of start nodes, not of edges.
+        starts = _first_edges(graph, edges, middles, False).select("a").distinct()
+        last = starts.orderBy("a").limit(n).agg(F.max("a")).first()[0]
+        if last is not None:
+            edges = edges.where(F.col("src") <= last)
+    pairs = _first_edges(graph, edges, middles, distinct)
+    return settle(pairs.orderBy("a", "b").limit(n), graph.limits)
+
+
+def _extended(graph: PropertyGraph, pairs: Settled, limit: int, distinct: bool) -> DataFrame:
+    """The first ``limit`` triples that begin with ``pairs``.
+
+    No middle node needs more than its first ``limit`` ends; they are picked before
+    the join, by each task for itself first.
+    """
+    chosen = settle(pairs.df.select(F.col("b").alias("node")).distinct(), graph.limits)
+    second = leaving(graph, chosen).select(F.col("src").alias("b"), F.col("dst").alias("c"))
+    second = second.distinct() if distinct else second
     nth = F.row_number().over(Window.partitionBy("b").orderBy("c"))
     ends = second.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
-    first = F.broadcast(kept.df) if kept.rows <= graph.limits.broadcast_rows else kept.df
-    matches = ends.join(first, "b").select("a", "b", "c")
-    return matches.orderBy("a", "b", "c").limit(limit)
+    first = F.broadcast(pairs.df) if pairs.rows <= graph.limits.broadcast_rows else pairs.df
+    return ends.join(first, "b").select("a", "b", "c").orderBy("a", "b", "c").limit(limit)
+
+
+def _first_triples(graph: PropertyGraph, category: str, limit: int, distinct: bool) -> DataFrame:
+    """Extend the first pairs; a full result is exact, as later pairs sort behind it.
+
+    Pairs whose middle node leads nowhere can leave it short. Then more pairs are
+    taken, in the end only such that lead on, of which ``limit`` are always enough.
+    """
+    graph = graph.checked()
+    middles = _middles(graph, category)
+    for factor in WIDER:
+        pairs = _first_pairs(graph, middles, limit * factor, distinct)
+        found = settle(_extended(graph, pairs, limit, distinct), graph.limits)
+        if found.rows == limit or pairs.rows < limit * factor:
+            return found.df.orderBy("a", "b", "c")
+    pairs = _first_pairs(graph, _leading_on(graph, middles), limit, distinct)
+    return _extended(graph, pairs, limit, distinct)
 
 
 def triples(graph: PropertyGraph, category: str, limit: int) -> DataFrame:
     """``(a, b, c)``: the first ``limit`` matches, parallel edges matching apart."""
-    pairs = _leading_pairs(graph, _middles(graph, category), limit, distinct=False)
-    return _finish(graph, pairs, limit, distinct=False)
+    return _first_triples(graph, category, limit, distinct=False)
 
 
 def distinct_triples(graph: PropertyGraph, category: str, limit: int) -> DataFrame:
     """``(a, b, c)``: the first ``limit`` different matches."""
-    pairs = _leading_pairs(graph, _middles(graph, category), limit, distinct=True)
-    return _finish(graph, pairs, limit, distinct=True)
+    return _first_triples(graph, category, limit, distinct=True)
 
 
 def any_triples(graph: PropertyGraph, category: str, limit: int) -> DataFrame:
     """Some ``limit`` matches, in no order."""
-    middles = _middles(graph, category)
-    pairs = settle(_first_edges(graph, graph.edges, middles).limit(limit), graph.limits)
-    return _finish(graph, pairs.df, limit, distinct=False)
+    graph = graph.checked()
+    middles = _leading_on(graph, _middles(graph, category))
+    pairs = _first_edges(graph, graph.edges, middles, distinct=False).limit(limit)
+    return _extended(graph, settle(pairs, graph.limits), limit, distinct=False)
 
 
 def triple_count(graph: PropertyGraph, category: str) -> DataFrame:
@@ -109,9 +124,7 @@ def triple_count(graph: PropertyGraph, category: str) -> DataFrame:
     A middle node has in-degree times out-degree matches. Both degrees are
     aggregated before the join and share its partitioning.
     """
-    edges = graph.edges
-    if not graph.endpoints_ok:
-        edges = graph.existing(graph.existing(edges, "src"), "dst")
+    edges = graph.checked().edges
     incoming = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
     outgoing = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
     chosen = nodes_in_category(graph, category).select(F.col("id").alias("node")).distinct()

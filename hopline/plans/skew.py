@@ -65,19 +65,39 @@ def expand(graph, frontier: Settled) -> DataFrame:
     return cold.unionByName(e.join(f, same).select("e.src", "e.dst", *carried, "e.copies"))
 
 
-def keep_keys(graph, edges: DataFrame, key: str, keys: Settled) -> DataFrame:
-    """Rows of ``edges`` whose ``key`` occurs in the ``node`` column of ``keys``."""
+def leaving(graph, keys: Settled) -> DataFrame:
+    """``(src, dst)`` of every edge whose source is in the ``node`` column of ``keys``."""
+    if keys.rows <= graph.limits.broadcast_rows:
+        return match_keys(graph, graph.edges.select("src", "dst"), "src", keys)
+    cold, hot = (part.select("src", "dst") for part in graph.cold_and_hot())
+    is_key = F.col("src") == F.col("node")
+    hot_keys = keys.df.join(F.broadcast(graph.hubs("src")), F.col("node") == F.col("hub"), "left_semi")
+    return cold.join(keys.df, is_key, "left_semi").unionByName(
+        hot.join(F.broadcast(hot_keys.select("node").distinct()), is_key, "left_semi")
+    )
+
+
+def match_keys(
+    graph, edges: DataFrame, key: str, keys: Settled, how: str = "left_semi"
+) -> DataFrame:
+    """Rows of ``edges`` whose ``key`` is (``left_semi``) or is not (``left_anti``) in ``keys``.
+
+    ``keys`` has a ``node`` column without nulls. Hub keys of a large list are
+    compared with a broadcast of the hubs in it, all others in a shuffled join.
+    """
+    is_key = F.col(key) == F.col("node")
     if keys.rows <= graph.limits.broadcast_rows:
         literals = keys.literals("node")
-        if literals is not None:
-            return edges.where(F.col(key).isin(literals))
-        return edges.join(F.broadcast(keys.df), F.col(key) == F.col("node"), "left_semi")
+        if literals is None:
+            return edges.join(F.broadcast(keys.df), is_key, how)
+        found = F.col(key).isin(literals)
+        return edges.where(found if how == "left_semi" else ~found)
     hub = graph.hubs(key)
+    is_hub = F.col(key) == F.col("hub")
     hot_keys = keys.df.join(F.broadcast(hub), F.col("node") == F.col("hub"), "left_semi")
-    hot = edges.join(F.broadcast(hot_keys), F.col(key) == F.col("node"), "left_semi")
-    cold = edges.join(F.broadcast(hub), F.col(key) == F.col("hub"), "left_anti").join(
-        keys.df, F.col(key) == F.col("node"), "left_semi"
-    )
+    hot_keys = F.broadcast(hot_keys.select("node").distinct())
+    cold = edges.join(F.broadcast(hub), is_hub, "left_anti").join(keys.df, is_key, how)
+    hot = edges.join(F.broadcast(hub), is_hub, "left_semi").join(hot_keys, is_key, how)
     return cold.unionByName(hot)
 
 
