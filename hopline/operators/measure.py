@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hopline.functions.text import round_stat
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
-from hopline.plans.lineage import fits_broadcast
+from hopline.plans.lineage import cut, settle
 
 # What the reports are built on.
 SERIES = ("engine", "size", "query")
@@ -70,8 +70,10 @@ def _ranks_by_range(
     ranged = Bucketizer(splits=edges, inputCol="v", outputCol="range").transform(
         samples.select(*by, F.col(value).alias("v"))
     )
-    tallies = ranged.groupBy(*by, "range").agg(
-        F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    tallies = cut(
+        ranged.groupBy(*by, "range").agg(
+            F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        )
     )
     series = Window.partitionBy(*by)
     running = series.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,14 +99,14 @@ def _ranks_by_range(
         ),
     ).where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("c")))
     wanted = wanted.drop("c")
-    in_range = wanted.select(*by, "range").distinct()
     keys = [*by, "range"]
-    if fits_broadcast(in_range, limits):
-        values = ranged.join(F.broadcast(in_range), keys, "left_semi")
+    in_range = settle(wanted.select(*keys).distinct(), limits)
+    if in_range.rows <= limits.broadcast_rows:
+        values = ranged.join(F.broadcast(in_range.df), keys, "left_semi")
         values = values.groupBy(*keys, "v").agg(F.count("*").alias("c"))
     else:
         values = ranged.groupBy(*keys, "v").agg(F.count("*").alias("c"))
-        values = values.join(in_range, keys, "left_semi")
+        values = values.join(in_range.df, keys, "left_semi")
     upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("v"))
     picked = (
         values.withColumn("upto", upto)
@@ -163,15 +165,12 @@ def without_warmup(
     first samples, so a long series is never sorted in one place.
     """
     nth = F.row_number().over(Window.partitionBy(*by).orderBy(sequence))
-    dropped = (
-        samples.select(*by, sequence)
-        .withColumn("nth", nth)
-        .where(F.col("nth") <= warmup)
-        .drop("nth")
+    first = samples.select(*by, sequence).withColumn("nth", nth).where(F.col("nth") <= warmup)
+    dropped = settle(first.drop("nth"), limits)
+    small = dropped.rows <= limits.broadcast_rows
+    return samples.join(
+        F.broadcast(dropped.df) if small else dropped.df, [*by, sequence], "left_anti"
     )
-    if fits_broadcast(dropped, limits):
-        dropped = F.broadcast(dropped)
-    return samples.join(dropped, [*by, sequence], "left_anti")
 
 
 def engine_ratios(

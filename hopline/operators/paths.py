@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hopline.model import PropertyGraph
 from hopline.plans.limits import Limits
 from hopline.plans.lineage import Settled, settle
-from hopline.plans.skew import expand, leaving
+from hopline.plans.skew import expand, in_list, leaving
 
 #: Search bound when none is given.
 MAX_HOPS = 30
@@ -46,23 +46,15 @@ def _next_level(
 ) -> DataFrame:
     """``(root, node, parent)`` first reached one edge beyond the frontier.
 
-    With a single ``root`` the frontier is only a list of sources, and while all
-    that was seen is a short list too, the scan alone does the work.
+    With a single ``root`` the frontier is only a list of sources.
     """
-    bound = graph.limits.broadcast_rows
-    parent = F.min("src").alias("parent")
     if root is None:
         step = expand(graph, frontier)
-        arrivals = step.groupBy("root", F.col("dst").alias("node")).agg(parent)
-        return graph.existing(_unseen(arrivals, seen, bound))
-    step = leaving(graph, frontier)
-    known = [level.literals("node") for level in seen]
-    listed = None not in known and sum(map(len, known)) <= graph.limits.literal_rows
-    if listed and known:
-        step = step.where(~F.col("dst").isin(sorted(set().union(*known))))
-    arrivals = step.groupBy(F.col("dst").alias("node")).agg(parent)
-    arrivals = arrivals.select(F.lit(root).cast("long").alias("root"), "node", "parent")
-    return graph.existing(arrivals if listed else _unseen(arrivals, seen, bound))
+    else:
+        step = leaving(graph, frontier).withColumn("root", F.lit(root).cast("long"))
+    parent = F.min("src").alias("parent")
+    arrivals = step.groupBy("root", F.col("dst").alias("node")).agg(parent)
+    return graph.existing(_unseen(arrivals, seen, graph.limits.broadcast_rows))
 
 
 def reach(graph: PropertyGraph, source: int, max_hops: int = MAX_HOPS) -> DataFrame:
@@ -152,7 +144,7 @@ def _common(new: Settled, other: Settled, limits: Limits) -> Settled:
         shared = sorted(set(ours) & set(theirs))
     else:
         (known, frontier) = (theirs, new) if ours is None else (ours, other)
-        rows = frontier.df.where(F.col("node").isin(known)).select("node").distinct().collect()
+        rows = frontier.df.where(in_list("node", known)).select("node").distinct().collect()
         shared = sorted(r.node for r in rows)
     relation = spark.createDataFrame(pa.table({"node": pa.array(shared, pa.int64())}))
     return Settled(relation, len(shared), [Row(node=n) for n in shared])
@@ -321,7 +313,7 @@ def broken_steps(graph: PropertyGraph, routes: DataFrame) -> DataFrame:
     edges = graph.edges.select("src", "dst")
     sources = wanted.literals("src")
     if sources is not None:
-        edges = edges.where(F.col("src").isin(sources))
+        edges = edges.where(in_list("src", sources))
     if wanted.rows <= graph.limits.broadcast_rows:
         present = edges.join(F.broadcast(pairs), ["src", "dst"], "left_semi").distinct()
     else:

@@ -64,8 +64,3 @@ def settle(df: DataFrame, limits: Limits = DEFAULT_LIMITS) -> Settled:
     if len(head) <= limits.literal_rows:
         return Settled(done, len(head), head)
     return Settled(done, done.count(), None)
-
-
-def fits_broadcast(df: DataFrame, limits: Limits = DEFAULT_LIMITS) -> bool:
-    """Whether ``df`` is small enough to broadcast; counts no further than the bound."""
-    return df.limit(limits.broadcast_rows + 1).count() <= limits.broadcast_rows

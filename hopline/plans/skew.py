@@ -9,7 +9,7 @@ always be broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopline.plans.lineage import Settled, cut
@@ -24,6 +24,11 @@ def hub_table(edges: DataFrame, key: str, limits: Limits = DEFAULT_LIMITS) -> Da
     return cut(hubs.select("hub", F.ceil(F.col("n") / threshold).cast("int").alias("splits")))
 
 
+def in_list(key: str, ids: list[int]) -> Column:
+    """``key IN (ids)``, parsed in one go instead of built value by value."""
+    return F.expr(f"`{key}` in ({', '.join(f'{i}L' for i in ids)})") if ids else F.lit(False)
+
+
 def expand(graph, frontier: Settled) -> DataFrame:
     """Edges leaving the frontier's ``node`` column, with the frontier's columns.
 
@@ -34,7 +39,7 @@ def expand(graph, frontier: Settled) -> DataFrame:
         pairs = graph.edges.select("src", "dst")
         literals = frontier.literals("node")
         if literals is not None:
-            pairs = pairs.where(F.col("src").isin(literals))
+            pairs = pairs.where(in_list("src", literals))
         joined = pairs.join(F.broadcast(frontier.df), F.col("src") == F.col("node"))
         return joined.withColumn("copies", F.lit(1).cast("long"))
 
@@ -90,7 +95,7 @@ def match_keys(
         literals = keys.literals("node")
         if literals is None:
             return edges.join(F.broadcast(keys.df), is_key, how)
-        found = F.col(key).isin(literals)
+        found = in_list(key, literals)
         return edges.where(found if how == "left_semi" else ~found)
     hub = graph.hubs(key)
     is_hub = F.col(key) == F.col("hub")

@@ -150,7 +150,8 @@ def test_latest_row_per_key_wins(spark):
 
 
 def test_declared_schema_rejects_bad_values(spark):
-    good = spark.createDataFrame([("1", "x", "0.5", "7")], "id string, category string, value string, ts string")
+    fields = "id string, category string, value string, ts string"
+    good = spark.createDataFrame([("1", "x", "0.5", "7")], fields)
     assert conform(good, NODE_SCHEMA).collect() == [(1, "x", 0.5, 7)]
     bad = good.withColumn("id", F.lit("one"))
     for ansi in ("true", "false"):

@@ -100,6 +100,44 @@ def test_time_slice(case):
     assert pairs(traverse.walk_ends(window, 1, 3)) == Brute(kept).walks(1, 3)
 
 
+@pytest.mark.parametrize("limits", [Limits(), TINY])
+@pytest.mark.parametrize("gone", [[], [9], [1, 2, 11, 20]])
+def test_edges_to_missing_nodes_are_dropped(spark, limits, gone):
+    edges = hub_edges(seed=8)
+    kept = [n for n in range(NODES) if n not in gone]
+    graph = graph_of(spark, [(n, "abc"[n % 3]) for n in kept], edges, limits=limits)
+    sound = [e for e in edges if e[0] in kept and e[1] in kept]
+    brute = Brute(sound)
+    checked = graph.checked()
+    assert checked.endpoints_ok
+    got = sorted(tuple(r) for r in checked.edges.collect())
+    assert got == sorted(sound)
+    assert pairs(traverse.walk_ends(graph, 3, 3)) == brute.walks(3, 3)
+    assert int(traverse.walk_count(graph, 3, 3).first()[0]) == sum(brute.walks(3, 3).values())
+    rows = sorted(r.node for r in traverse.walk_rows(graph, 3, 2).collect())
+    assert rows == sorted(brute.walks(3, 2).elements())
+    assert pairs(paths.reach(graph, 3)) == brute.distances(3) | {3: 0}
+    matches = sorted(
+        (a, b, c) for a, b, *_ in sound if b % 3 == 0 for src, c, *_ in sound if src == b
+    )
+    assert [tuple(r) for r in pattern.triples(graph, "a", 40).collect()] == matches[:40]
+    assert int(pattern.triple_count(graph, "a").first()[0]) == len(matches)
+
+
+def test_pairs_that_lead_nowhere_do_not_shorten_the_result(spark):
+    # Hundreds of early pairs end in a sink; the matches come after them.
+    edges = [(a, 1_000) for a in range(400)] + [(500 + a, 2_000) for a in range(5)]
+    edges += [(2_000, 7), (2_000, 8)]
+    nodes = [(1_000, "q"), (2_000, "q")]
+    graph = graph_of(spark, nodes, edges, endpoints_ok=True)
+    want = [(500 + a, 2_000, c) for a in range(5) for c in (7, 8)]
+    for limit in (1, 3, 100):
+        got = [tuple(r) for r in pattern.triples(graph, "q", limit).collect()]
+        assert got == want[:limit]
+        got = [tuple(r) for r in pattern.distinct_triples(graph, "q", limit).collect()]
+        assert got == want[:limit]
+
+
 def test_hub_list_is_bounded(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), 0) for _ in range(2_000)] + [(5, i) for i in range(1_000)]

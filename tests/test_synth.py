@@ -47,7 +47,10 @@ def test_window_thirds():
 
 
 def test_epoch_does_not_depend_on_the_session_zone(spark):
-    df = spark.sql("select timestamp_ntz'2024-03-31 02:30:00.123456' as t, timestamp_ntz'1969-12-31 23:59:59.9995' as u")
+    df = spark.sql(
+        "select timestamp_ntz'2024-03-31 02:30:00.123456' as t,"
+        " timestamp_ntz'1969-12-31 23:59:59.9995' as u"
+    )
     try:
         for zone in ("UTC", "Europe/Paris"):
             spark.conf.set("spark.sql.session.timeZone", zone)
