@@ -32,12 +32,11 @@ def _first_step(graph: PropertyGraph, source: int, simple: bool) -> DataFrame:
 
 def _step(graph: PropertyGraph, frontier: Settled, simple: bool) -> DataFrame:
     """``(node, walks)`` one edge beyond the frontier, not yet merged per node."""
-    step = expand(graph, frontier)
     if simple:
-        step = step.groupBy("src", "dst").agg(F.max("walks").alias("walks"))
+        step = expand(graph, frontier).groupBy("src", "dst").agg(F.max("walks").alias("walks"))
     else:
-        step = step.withColumn("walks", F.col("walks") * F.col("copies").cast("decimal(19,0)"))
-    return step.select(F.col("dst").alias("node"), F.col("walks").cast(WALKS).alias("walks"))
+        step = expand(graph, frontier, weight="walks")
+    return step.select(F.col("dst").alias("node"), "walks")
 
 
 def _merged(graph: PropertyGraph, step: DataFrame) -> DataFrame:

@@ -29,32 +29,28 @@ def in_list(key: str, ids: list[int]) -> Column:
     return F.expr(f"`{key}` in ({', '.join(f'{i}L' for i in ids)})") if ids else F.lit(False)
 
 
-def expand(graph, frontier: Settled) -> DataFrame:
-    """Edges leaving the frontier's ``node`` column, with the frontier's columns.
+def expand(graph, frontier: Settled, weight: str | None = None) -> DataFrame:
+    """``(src, dst)`` edges leaving the frontier's ``node`` column, with its columns.
 
-    ``copies`` says how many identical ``(src, dst)`` edges a row stands for. The
-    graph's hubs are looked up only when the frontier is too large to broadcast.
+    A hub's identical ``(src, dst)`` edges may come as one row, which then has their
+    number multiplied into the ``weight`` column. The graph's hubs are looked up only
+    when the frontier is too large to broadcast.
     """
     if frontier.rows <= graph.limits.broadcast_rows:
         pairs = graph.edges.select("src", "dst")
         literals = frontier.literals("node")
         if literals is not None:
             pairs = pairs.where(in_list("src", literals))
-        joined = pairs.join(F.broadcast(frontier.df), F.col("src") == F.col("node"))
-        return joined.withColumn("copies", F.lit(1).cast("long"))
+        return pairs.join(F.broadcast(frontier.df), F.col("src") == F.col("node"))
 
     hub = F.broadcast(graph.hubs("src"))
     cold_edges, hot_edges = graph.cold_and_hot()
-    cold = (
-        cold_edges.select("src", "dst")
-        .join(frontier.df, F.col("src") == F.col("node"))
-        .withColumn("copies", F.lit(1).cast("long"))
-    )
+    cold = cold_edges.select("src", "dst").join(frontier.df, F.col("src") == F.col("node"))
     # Copies of one hub edge collapse map-side; what is left is spread by dst.
     hot_pairs = (
         hot_edges.select("src", "dst")
         .groupBy("src", "dst")
-        .agg(F.count("*").alias("copies"))
+        .agg(F.count("*").cast("decimal(19,0)").alias("copies"))
         .join(hub, F.col("src") == F.col("hub"))
         .withColumn("salt", F.expr("pmod(xxhash64(dst), splits)"))
         .drop("hub", "splits")
@@ -66,8 +62,13 @@ def expand(graph, frontier: Settled) -> DataFrame:
     )
     e, f = hot_pairs.alias("e"), hot_frontier.alias("f")
     same = (F.col("e.src") == F.col("f.node")) & (F.col("e.salt") == F.col("f.salt"))
-    carried = [F.col(f"f.{c}") for c in frontier.df.columns]
-    return cold.unionByName(e.join(f, same).select("e.src", "e.dst", *carried, "e.copies"))
+    carried = []
+    for name, kind in frontier.df.dtypes:
+        value = F.col(f"f.{name}")
+        if name == weight:
+            value = (value * F.col("e.copies")).cast(kind).alias(name)
+        carried.append(value)
+    return cold.unionByName(e.join(f, same).select("e.src", "e.dst", *carried))
 
 
 def leaving(graph, keys: Settled) -> DataFrame:
@@ -76,7 +77,8 @@ def leaving(graph, keys: Settled) -> DataFrame:
         return match_keys(graph, graph.edges.select("src", "dst"), "src", keys)
     cold, hot = (part.select("src", "dst") for part in graph.cold_and_hot())
     is_key = F.col("src") == F.col("node")
-    hot_keys = keys.df.join(F.broadcast(graph.hubs("src")), F.col("node") == F.col("hub"), "left_semi")
+    hub = F.broadcast(graph.hubs("src"))
+    hot_keys = keys.df.join(hub, F.col("node") == F.col("hub"), "left_semi")
     return cold.join(keys.df, is_key, "left_semi").unionByName(
         hot.join(F.broadcast(hot_keys.select("node").distinct()), is_key, "left_semi")
     )
