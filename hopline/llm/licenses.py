@@ -167,7 +167,7 @@ def scan(
 
             def result(measured: Column) -> Column:
                 best = [
-                    F.coalesce(F.array_max(F.transform(F.filter(measured, lambda m, k=k: m["k"] == k), lambda m: m["share"])), F.lit(0.0))
+                    F.coalesce(F.array_max(F.transform(F.filter(measured, lambda m: m["k"] == k), lambda m: m["share"])), F.lit(0.0))
                     for k in range(len(templates))
                 ]
                 passed = []
