@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -35,11 +35,25 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def _newer_letters() -> regex.Pattern | None:
-    """Letters and numbers that ``regex`` knows and Python's Unicode, like the library's, does not."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    odd = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
-    return regex.compile("[" + "".join(odd) + "]") if odd else None
+#: Letters and numbers that the pattern engine knows and the tokenizers library does not yet (fixed values).
+NEWER_LETTERS = (
+    "\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a"
+    "\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686"
+    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda"
+    "\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128"
+    "\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff"
+    "\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
+    "\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 #: Neither letter, number nor white space.
@@ -87,7 +101,7 @@ class Encoder:
             raise ValueError("added tokens that take in their surroundings are not supported")
         self.tokens = dict(self.bytes_of) | {i: t.encode() for t, i in self.added.items()}
         self.pre = regex.compile(PRE_TOKEN)
-        self.newer = _newer_letters()
+        self.newer = re.compile(f"[{NEWER_LETTERS}]")
         marks = sorted(self.added, key=len, reverse=True)
         self.marks = regex.compile("|".join(map(regex.escape, marks))) if marks else None
         self.cache: dict[str, bytes] = {}
@@ -220,7 +234,7 @@ class Encoder:
 
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text without added tokens."""
-        if self.newer is None or text.isascii() or not self.newer.search(text):
+        if _latin(text) or not self.newer.search(text):
             return self.pre.findall(text)
         return [text[m.start() : m.end()] for m in self.pre.finditer(self.newer.sub(_PRIVATE, text))]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import bpe, chat, licenses, quality, url_filter
+from hopline.llm import bpe, chat, jaccard, licenses, quality, url_filter
 from hopline.llm.common import table
 
 URL_RULES = [
@@ -40,6 +40,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_bpe, op8_license_scan, op9_chat_format, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_bpe, op7_jaccard_join, op8_license_scan, op9_chat_format, op10_url_filter)}
 
 ORACLE: dict[str, str] = {}
