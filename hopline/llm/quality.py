@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopline.llm.common import SPACE, let, let_all, text_of, total, words_of
+from hopline.llm.common import let, let_all, text_of, total, words_of
 
 #: Frequent words by language (fixed values).
 COMMON = {
@@ -17,10 +17,10 @@ COMMON = {
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a"),
 }
 
-#: Character classes in the order they are taken off the text; what remains is not ASCII.
-CLASSES = ("[a-z]+", SPACE, "[A-Z]+", "[0-9]+", r"[.,;:!?'\"()-]+", "[#*$%&|<>]+", r"[\x00-\x7F]+")
-#: Where white space and the symbols #*$%&|<> stand among the classes.
-SPACES_AT, SYMBOLS_AT = 1, 5
+#: Character classes after a-z and white space, in the order they are taken off the text; what remains is not ASCII.
+CLASSES = ("[A-Z]+", "[0-9]+", r"[.,;:!?'\"()-]+", "[#*$%&|<>]+", r"[\x00-\x7F]+")
+#: Where white space and the symbols #*$%&|<> stand among the classes, and how many classes there are.
+SPACES_AT, SYMBOLS_AT, N_CLASSES = 1, 5, 8
 
 #: Words that are a mark alone, counted as one of the word bins (fixed values).
 MARKS = ("|", "-", "*", "#", "&", "<", ">", "/", "\\", "+", "=", "~", "_", "\u2013", "\u2014", "\u2022", "\u00b7", "\u00bb", "\u00ab")
@@ -51,32 +51,45 @@ class Rules:
 References = dict[str, tuple[list[float], list[float]]]
 
 
-def class_counts(text: Column) -> Column:
-    """Code points per class, each taken off what the classes before it have left."""
+def class_counts(text: Column, spaces: Column) -> Column:
+    """Code points per class; ``spaces`` of them are white space.
+
+    a-z and white space, most of a text, go in one replacement of long runs; each
+    class after them is taken off the little that the classes before have left.
+    """
 
     def take(sizes: list[Column], rest: Column, classes: tuple[str, ...]) -> Column:
         sizes = [*sizes, F.length(rest)]
         if classes:
             return let(F.regexp_replace(rest, classes[0], ""), lambda r: take(sizes, r, classes[1:]))
-        return F.array(*[a - b for a, b in zip(sizes, sizes[1:], strict=False)], sizes[-1])
+        counts = [a - b for a, b in zip(sizes, sizes[1:], strict=False)]
+        return F.array(F.length(text) - sizes[0] - spaces, spaces, *counts, sizes[-1])
+
+    return let(F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", ""), lambda r: take([], r, CLASSES))
 
-    return take([], text, CLASSES)
+
+def space_count(text: Column, words: Column) -> Column:
+    return F.length(text) - F.length(F.array_join(words, ""))
 
 
 def word_counts(words: Column, lang: Column, rules: Rules) -> Column:
-    """Counts of the language's common words, padded to one length, of bare marks, and of all other words.
+    """Counts of the language's common words (in lower case or capitalised), padded to one length,
+    of bare marks, and of all other words.
 
     An unknown language has no common words.
     """
 
     def counts(common: tuple[str, ...]) -> Column:
         def split(hits: Column) -> Column:
-            own = [F.size(F.filter(hits, lambda w: w == c)) for c in common]
+            own = [F.size(hits) - F.size(F.array_remove(hits, c)) for c in common]
             pad = [F.lit(0)] * (rules.bins() - len(own))
-            marks = F.size(hits) - sum(own) if own else F.size(hits)
-            return F.array(*own, *pad, marks, F.size(words) - F.size(hits))
+            return let(
+                F.array(*own, *pad),
+                lambda bins: F.concat(bins, F.array(F.size(hits) - total(bins).cast("int"), F.size(words) - F.size(hits))),
+            )
 
-        return let(F.filter(F.transform(words, F.lower), lambda w: w.isin(*common, *MARKS)), split)
+        written = [*common, *(c.capitalize() for c in common), *MARKS]
+        return let(F.transform(F.filter(words, lambda w: w.isin(*written)), F.lower), split)
 
     out = F.when(F.lit(False), F.array(*[F.lit(0)] * (rules.bins() + 2)))
     for name, common in sorted(rules.common.items()):
@@ -100,30 +113,31 @@ def repeat_words(words: Column) -> Column:
     def cover(starts: Column) -> Column:
         return total(F.transform(starts, lambda s, k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - s, F.lit(3)))))
 
-    def marked(order: Column, place, same) -> Column:
-        """Places whose window equals a neighbour's in ``order``."""
-        seen = F.transform(
-            order,
-            lambda x, k: F.when(
-                F.coalesce(same(x, F.get(order, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(order, k + 1)), F.lit(False)),
-                place(x),
-            ).otherwise(F.lit(-1).cast("int")),
-        )
-        return F.sort_array(F.array_remove(seen, -1))
-
     heads = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+    place = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
+    gram = lambda x: F.concat_ws(" ", *_window(words, place(x)))
+
+    def twice(order: Column, same, at) -> Column:
+        """Words covered by the windows that equal their neighbour in ``order``."""
+        return let(where_next(order, same), lambda ks: let(F.sort_array(F.array_distinct(F.flatten(F.transform(ks, lambda k: F.array(at(F.get(order, k)), at(F.get(order, k + 1))))))), cover))
+
+    def where_next(order: Column, same) -> Column:
+        marked = F.transform(order, lambda x, k: F.when(same(x, F.get(order, k + 1)), k).otherwise(F.lit(-1)))
+        return F.array_remove(marked, -1)
 
     def fast(order: Column) -> Column:
-        place = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
-        near = lambda x, y: F.shiftright(x, _INDEX_BITS) == F.shiftright(y, _INDEX_BITS)
-        equal = lambda x, y: F.concat_ws(" ", *_window(words, place(x))) == F.concat_ws(" ", *_window(words, place(y)))
-        clash = F.exists(F.transform(order, lambda x, k: F.when(near(x, F.get(order, k + 1)), ~equal(x, F.get(order, k + 1)))), lambda c: F.coalesce(c, F.lit(False)))
-        starts = marked(order, place, near)
-        return F.when(clash, slow()).otherwise(let(starts, cover))
+        near = lambda x, y: x.bitwiseXOR(y).between(0, low)
+
+        def check(ks: Column) -> Column:
+            clash = F.exists(ks, lambda k: gram(F.get(order, k)) != gram(F.get(order, k + 1)))
+            starts = F.flatten(F.transform(ks, lambda k: F.array(place(F.get(order, k)), place(F.get(order, k + 1)))))
+            return F.when(F.size(ks) == 0, F.lit(0).cast("long")).when(clash, slow()).otherwise(let(F.sort_array(F.array_distinct(starts)), cover))
+
+        return let(where_next(order, near), check)
 
     def slow() -> Column:
         grams = F.transform(heads, lambda w, i: F.struct(F.concat_ws(" ", *_window(words, i)).alias("g"), i.alias("i")))
-        return let(F.array_sort(grams), lambda order: let(marked(order, lambda x: x["i"], lambda x, y: x["g"] == y["g"]), cover))
+        return let(F.array_sort(grams), lambda order: twice(order, lambda x, y: x["g"] == y["g"], lambda x: x["i"]))
 
     packed = F.transform(
         heads,
@@ -188,9 +202,12 @@ def fit_references(documents: DataFrame, rules: Rules = Rules(), text: str = "te
             F.struct(classes.alias("c"), word_counts(words, F.col("l"), rules).alias("w")),
         )
 
-    given = [F.col("t"), words_of(F.col("t")), class_counts(F.col("t"))]
-    rows = known.select("l", let_all(given, histograms).alias("h")).filter("h is not null")
-    sizes = {"c": len(CLASSES) + 1, "w": rules.bins() + 2}
+    measured = let(
+        words_of(F.col("t")),
+        lambda w: let(class_counts(F.col("t"), space_count(F.col("t"), w)), lambda c: histograms(F.col("t"), w, c)),
+    )
+    rows = known.select("l", measured.alias("h")).filter("h is not null")
+    sizes = {"c": N_CLASSES, "w": rules.bins() + 2}
     shares = [
         F.avg(F.col(f"h.{k}")[i] / total(F.col(f"h.{k}"))).alias(f"{k}{i}") for k, n in sizes.items() for i in range(n)
     ]
@@ -223,12 +240,12 @@ def measure(t: Column, lang: Column, references: References, rules: Rules) -> Co
                 F.size(words).cast("long"),
                 repeat_words(words),
                 F.round(nearest(chars, lang, references, 0), 6),
-                F.round(nearest(word_counts(words, lang, rules), lang, references, 1), 6),
+                F.round(let(word_counts(words, lang, rules), lambda c: nearest(c, lang, references, 1)), 6),
             ],
             verdict,
         )
 
-    return let(t, lambda t: let_all([words_of(t), class_counts(t)], lambda w, c: build(t, w, c)))
+    return let(t, lambda t: let(words_of(t), lambda w: let(class_counts(t, space_count(t, w)), lambda c: build(t, w, c))))
 
 
 def judge(documents: DataFrame, references: References | None = None, rules: Rules = Rules()) -> DataFrame:
