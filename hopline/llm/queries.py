@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import bpe, chat, jaccard, licenses, quality, url_filter
+from hopline.llm import bpe, chat, jaccard, licenses, pii, quality, url_filter
 from hopline.llm.common import table
 
 URL_RULES = [
@@ -40,6 +40,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listed(spans: str):
+    """kind:start:end, comma-joined, in the order of the array."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]  # noqa: B023
+    return found.select(
+        "doc_id", *counts, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("spans").alias("spans")
+    )
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,6 +73,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_bpe, op7_jaccard_join, op8_license_scan, op9_chat_format, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_bpe, op5_personal_data, op7_jaccard_join, op8_license_scan, op9_chat_format, op10_url_filter)}
 
 ORACLE: dict[str, str] = {}
