@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import bpe, chat, jaccard, licenses, pii, quality, url_filter
+from hopline.llm import bpe, chat, decontaminate, jaccard, licenses, pii, quality, url_filter
 from hopline.llm.common import table
 
 URL_RULES = [
@@ -53,6 +53,11 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("row_key")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_bpe, op5_personal_data, op7_jaccard_join, op8_license_scan, op9_chat_format, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_bpe, op5_personal_data, op6_decontaminate, op7_jaccard_join, op8_license_scan, op9_chat_format, op10_url_filter)}
 
 ORACLE: dict[str, str] = {}
