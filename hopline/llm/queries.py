@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import bpe, chat, decontaminate, html_extract, jaccard, licenses, pii, quality, url_filter
+from hopline.llm import bpe, chat, decontaminate, html_extract, jaccard, language_model, licenses, pii, quality, url_filter
 from hopline.llm.common import table
 
 URL_RULES = [
@@ -34,6 +34,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
     return done.select(
@@ -82,6 +86,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_rules, op4_bpe, op5_personal_data, op6_decontaminate, op7_jaccard_join, op8_license_scan, op9_chat_format, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_rules, op3_lm_score, op4_bpe, op5_personal_data, op6_decontaminate, op7_jaccard_join, op8_license_scan, op9_chat_format, op10_url_filter)}
 
 ORACLE: dict[str, str] = {}
