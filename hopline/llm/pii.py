@@ -452,6 +452,33 @@ def find(documents: DataFrame, model: Model | None = None, windows: Windows = Wi
     return given.mapInArrow(run, f"doc_id long, text string, base {span}, spans {span}")
 
 
+def redacted(documents: DataFrame, model: Model | None = None, windows: Windows = Windows(), chars: int = 500_000) -> DataFrame:
+    """The documents with their personal data replaced by its kind, and all other columns as they are.
+
+    ``n_chars``, if there is one, follows the new text. Null texts stay null.
+    """
+    trained = model or fit()
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(at).to_pylist()
+            texts = [t or "" for t in given]
+            for i, j in slices(texts, chars):
+                part = texts[i:j]
+                more = model_spans(part, trained, windows)
+                new = [redact(t, all_spans(t, base_spans(t), m)) for t, m in zip(part, more, strict=True)]
+                columns = [c.slice(i, j - i) for c in batch.columns]
+                columns[at] = pa.array([None if g is None else n for g, n in zip(given[i:j], new, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    out = documents.withColumn("text", F.col("text").cast("string"))
+    out = out.mapInArrow(run, out.schema)
+    if "n_chars" not in out.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType))
+
+
 def _array(spans: list[list[Span]]) -> pa.Array:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     order = lambda s: (KINDS.index(s[0]), s[1], s[2])
