@@ -38,7 +38,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def rounded_distance(a: Column, b: Column) -> Column:
     """Distance to the reported precision, with -0.0 folded into 0.0."""
-    return F.round(cosine_distance(a, b), DISTANCE_DECIMALS) + 0.0
+    scale = 10.0**DISTANCE_DECIMALS
+    return F.rint(cosine_distance(a, b) * scale) / scale + 0.0
 
 
 def l2_normalize(vector: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
-from hopline.plans.lineage import settle
+from hopline.plans.lineage import cut, settle
 from hopline.plans.skew import hub_table, match_keys
 
 NODE_SCHEMA = T.StructType(
@@ -91,6 +91,20 @@ class PropertyGraph:
             self._hubs[key] = hub_table(self.edges, key, self.limits)
         return self._hubs[key]
 
+    def split_hubs(self) -> DataFrame:
+        """``(hub, splits)`` of the hubs by which the edges are split.
+
+        Stored parts bring their own: a hub is whatever source the hot part holds,
+        whatever the bounds of this graph say.
+        """
+        if self.parts is None:
+            return self.hubs("src")
+        if "parts" not in self._hubs:
+            counted = self.parts[1].groupBy(F.col("src").alias("hub")).agg(F.count("*").alias("n"))
+            splits = F.ceil(F.col("n") / self.limits.hub_rows).cast("int").alias("splits")
+            self._hubs["parts"] = cut(counted.select("hub", splits))
+        return self._hubs["parts"]
+
     def cold_and_hot(self) -> tuple[DataFrame, DataFrame]:
         """The edges of ordinary sources and the edges of hub sources."""
         if self.parts is not None:
@@ -114,7 +128,7 @@ class PropertyGraph:
         if self.parts is None:
             return self.with_edges(self.edges.where(condition))
         cold, hot = (part.where(condition) for part in self.parts)
-        return replace(self, edges=self.edges.where(condition), parts=(cold, hot))
+        return replace(self, edges=self.edges.where(condition), parts=(cold, hot), _hubs={})
 
     def reversed(self) -> PropertyGraph:
         """The graph with every edge turned round."""

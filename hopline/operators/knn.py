@@ -45,6 +45,8 @@ def query_blocks(
     usable = queries.where(F.size(query_vector) == dim).select(
         F.col(query_id).cast("long").alias("query_id"), query_vector
     )
+    if not usable.groupBy("query_id").count().where("count > 1").isEmpty():
+        raise ValueError("query ids are not unique")
     blocks = max(1, -(-usable.count() // limits.query_rows))
     bound = 2 * limits.query_rows + 100
     for turn in range(blocks):

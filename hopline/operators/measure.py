@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from hopline.functions.text import round_stat
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
 from hopline.plans.lineage import cut, settle
+from hopline.plans.skew import first_rows
 
 # What the reports are built on.
 SERIES = ("engine", "size", "query")
@@ -67,9 +68,11 @@ def _ranks_by_range(
     """
     cuts = samples.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    ranged = Bucketizer(splits=edges, inputCol="v", outputCol="range").transform(
-        samples.select(*by, F.col(value).alias("v"))
-    )
+    # Not-a-number sorts behind all else, as in a sort; the extra range holds it.
+    ranged = Bucketizer(
+        splits=edges, inputCol="v", outputCol="range", handleInvalid="keep"
+    ).transform(samples.select(F.struct(*by).alias("series"), F.col(value).cast("double").alias("v")))
+    by_names, by = list(by), ["series"]  # a struct of nulls equals itself in a join
     tallies = cut(
         ranged.groupBy(*by, "range").agg(
             F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")
@@ -122,7 +125,9 @@ def _ranks_by_range(
     extremes = tallies.groupBy(*by).agg(
         F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("c").alias("n")
     )
-    return extremes.join(stats, list(by))
+    return extremes.join(stats, "series").select(
+        *[F.col(f"series.{c}").alias(c) for c in by_names], "min", "max", "n", "low", "high", "p95"
+    )
 
 
 def summarise(
@@ -164,13 +169,15 @@ def without_warmup(
     ``sequence`` must be unique within a series. Each task proposes only its own
     first samples, so a long series is never sorted in one place.
     """
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(sequence))
-    first = samples.select(*by, sequence).withColumn("nth", nth).where(F.col("nth") <= warmup)
-    dropped = settle(first.drop("nth"), limits)
+    # Keys as one struct: a series with a null in its key equals itself.
+    key = F.struct(*by, sequence).alias("_key")
+    first = first_rows(samples.select(*by, sequence), by, [sequence], warmup)
+    dropped = settle(first.select(key), limits)
     small = dropped.rows <= limits.broadcast_rows
-    return samples.join(
-        F.broadcast(dropped.df) if small else dropped.df, [*by, sequence], "left_anti"
-    )
+    marked = samples.withColumn("_key", key)
+    return marked.join(
+        F.broadcast(dropped.df) if small else dropped.df, "_key", "left_anti"
+    ).drop("_key")
 
 
 def engine_ratios(
@@ -254,6 +261,8 @@ def rank_engines(summary: DataFrame, sizes: Sequence[str] = RANKED_SIZES) -> Dat
     Rows without a median (errors) do not count. One row per engine is ranked.
     """
     usable = summary.where(F.col("size").isin(list(sizes)) & F.col("median_ms").isNotNull())
+    if "error" in summary.columns:
+        usable = usable.where(F.col("error").isNull())
     means = usable.groupBy("engine").agg(
         F.avg("median_ms").alias("avg_ms"), F.count("*").alias("pairs")
     )

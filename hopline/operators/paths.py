@@ -19,11 +19,33 @@ from pyspark.sql import functions as F
 
 from hopline.model import PropertyGraph
 from hopline.plans.limits import Limits
-from hopline.plans.lineage import Settled, settle
+from hopline.plans.lineage import Settled, cut, settle
 from hopline.plans.skew import expand, in_list, leaving
 
-#: Search bound when none is given.
-MAX_HOPS = 30
+#: Earlier levels are kept as one table once there are more than this many.
+LEVELS_APART = 8
+
+
+class Visited:
+    """``(root, node)`` pairs already reached, as a few tables however many rounds there were."""
+
+    def __init__(self, limits: Limits):
+        self.limits, self.tables, self.rows = limits, [], 0
+
+    def add(self, level: Settled) -> None:
+        self.tables.append(level.df.select("root", "node"))
+        self.rows += level.rows
+        if len(self.tables) > LEVELS_APART:
+            self.tables = [cut(reduce(DataFrame.unionByName, self.tables))]
+
+    def unseen(self, arrivals: DataFrame) -> DataFrame:
+        """Arrivals at pairs that no level holds."""
+        if not self.tables:
+            return arrivals
+        visited = reduce(DataFrame.unionByName, self.tables)
+        if self.rows <= self.limits.broadcast_rows:
+            visited = F.broadcast(visited)
+        return arrivals.join(visited, ["root", "node"], "left_anti")
 
 
 def _start(spark: SparkSession, node: int) -> Settled:
@@ -31,18 +53,8 @@ def _start(spark: SparkSession, node: int) -> Settled:
     return Settled(df, 1, [Row(root=int(node), node=int(node))])
 
 
-def _unseen(arrivals: DataFrame, seen: list[Settled], bound: int) -> DataFrame:
-    """Arrivals at ``(root, node)`` pairs that no earlier level holds."""
-    if not seen:
-        return arrivals
-    visited = reduce(DataFrame.unionByName, [s.df.select("root", "node") for s in seen])
-    if sum(s.rows for s in seen) <= bound:
-        visited = F.broadcast(visited)
-    return arrivals.join(visited, ["root", "node"], "left_anti")
-
-
 def _next_level(
-    graph: PropertyGraph, frontier: Settled, seen: list[Settled], root: int | None = None
+    graph: PropertyGraph, frontier: Settled, seen: Visited, root: int | None = None
 ) -> DataFrame:
     """``(root, node, parent)`` first reached one edge beyond the frontier.
 
@@ -54,22 +66,29 @@ def _next_level(
         step = leaving(graph, frontier).withColumn("root", F.lit(root).cast("long"))
     parent = F.min("src").alias("parent")
     arrivals = step.groupBy("root", F.col("dst").alias("node")).agg(parent)
-    return graph.existing(_unseen(arrivals, seen, graph.limits.broadcast_rows))
+    return graph.existing(seen.unseen(arrivals))
 
 
-def reach(graph: PropertyGraph, source: int, max_hops: int = MAX_HOPS) -> DataFrame:
-    """``(node, distance)`` for every node within ``max_hops`` edges of ``source``."""
+def reach(graph: PropertyGraph, source: int, max_hops: int | None = None) -> DataFrame:
+    """``(node, distance)`` for every node that ``source`` reaches, itself at 0.
+
+    With ``max_hops`` only nodes within so many edges are returned, and a column
+    ``bound_hit`` says whether the search ended there with nodes still to leave from.
+    """
     here = graph.nodes.where(F.col("id") == source)
     levels = [settle(here.select(F.col("id").alias("root"), F.col("id").alias("node")), graph.limits)]
-    for _ in range(max_hops):
-        if levels[-1].rows == 0:
-            break
-        levels.append(settle(_next_level(graph, levels[-1], levels, source), graph.limits))
+    seen = Visited(graph.limits)
+    while levels[-1].rows and (max_hops is None or len(levels) <= max_hops):
+        seen.add(levels[-1])
+        levels.append(settle(_next_level(graph, levels[-1], seen, source), graph.limits))
     found = [
         level.df.select("node", F.lit(depth).cast("long").alias("distance"))
         for depth, level in enumerate(levels)
     ]
-    return reduce(DataFrame.unionByName, found)
+    reached = reduce(DataFrame.unionByName, found)
+    if max_hops is None:
+        return reached
+    return reached.withColumn("bound_hit", F.lit(levels[-1].rows > 0))
 
 
 @dataclass
@@ -151,7 +170,7 @@ def _common(new: Settled, other: Settled, limits: Limits) -> Settled:
 
 
 def search_pair(
-    graph: PropertyGraph, source: int, target: int, max_hops: int = MAX_HOPS, routes: bool = True
+    graph: PropertyGraph, source: int, target: int, max_hops: int | None = None, routes: bool = True
 ) -> PathSearch:
     """Shortest path between two nodes, searched from both ends.
 
@@ -163,18 +182,20 @@ def search_pair(
     spark = graph.nodes.sparkSession
     turned = graph.reversed()
     forward, backward = [_start(spark, source)], [_start(spark, target)]
+    seen = {True: Visited(graph.limits), False: Visited(graph.limits)}
     if not graph.endpoints_ok:
         known = graph.nodes.where(F.col("id").isin(source, target)).select("id").distinct()
         if known.count() < len({source, target}):
             return PathSearch(forward, [0])
     while True:
-        if len(forward) + len(backward) - 2 >= max_hops:
+        if max_hops is not None and len(forward) + len(backward) - 2 >= max_hops:
             return PathSearch(forward, [0] * len(forward), bound_hit=True)
         ahead = forward[-1].rows <= backward[-1].rows
         side, other, g = (forward, backward, graph) if ahead else (backward, forward, turned)
         start = source if ahead else target
-        level = settle(_next_level(g, side[-1], side[1:], start), graph.limits)
+        level = settle(_next_level(g, side[-1], seen[ahead], start), graph.limits)
         side.append(level)
+        seen[ahead].add(level)
         if level.rows == 0:
             return PathSearch(forward, [0] * len(forward))
         common = _common(level, other[-1], graph.limits)
@@ -192,7 +213,7 @@ def search_pair(
     # backward levels, keeping only nodes that lie on a shortest path.
     here, levels = common, list(forward)
     for nearer in reversed(backward[:-1]):
-        arrivals = _next_level(graph, here, [], source)
+        arrivals = _next_level(graph, here, Visited(graph.limits), source)
         near = nearer.df.select("node")
         near = F.broadcast(near) if nearer.rows <= graph.limits.broadcast_rows else near
         here = settle(arrivals.join(near, "node", "left_semi"), graph.limits)
@@ -203,15 +224,32 @@ def search_pair(
 
 
 def shortest_length(
-    graph: PropertyGraph, source: int, target: int, max_hops: int = MAX_HOPS
+    graph: PropertyGraph, source: int, target: int, max_hops: int | None = None
 ) -> DataFrame:
-    """``(source, target, length)``; no row when there is no path within the bound."""
+    """``(source, target, length)``; no row when there is no path.
+
+    With ``max_hops`` there is a column ``bound_hit``; where the search gave up at the
+    bound, the pair comes back with it set and no length.
+    """
     search = search_pair(graph, source, target, max_hops, routes=False)
-    return search.lengths(graph.nodes.sparkSession)
+    return _with_bound(search.lengths(graph.nodes.sparkSession), search, max_hops, source, target)
+
+
+def _with_bound(
+    found: DataFrame, search: PathSearch, max_hops: int | None, source: int, target: int
+) -> DataFrame:
+    if max_hops is None:
+        return found
+    if not search.bound_hit:
+        return found.withColumn("bound_hit", F.lit(False))
+    return found.sparkSession.sql(
+        f"select {int(source)}L as source, {int(target)}L as target, "
+        "cast(null as long) as length, true as bound_hit"
+    )
 
 
 def shortest_route(
-    graph: PropertyGraph, source: int, target: int, max_hops: int = MAX_HOPS
+    graph: PropertyGraph, source: int, target: int, max_hops: int | None = None
 ) -> DataFrame:
     """``(source, target, step, node)``: the nodes of one shortest route, in order."""
     search = search_pair(graph, source, target, max_hops)
@@ -219,7 +257,7 @@ def shortest_route(
 
 
 def search_many(
-    graph: PropertyGraph, sources: DataFrame, targets: DataFrame, max_hops: int = MAX_HOPS
+    graph: PropertyGraph, sources: DataFrame, targets: DataFrame, max_hops: int | None = None
 ) -> PathSearch:
     """Shortest paths from every source to every target.
 
@@ -239,11 +277,12 @@ def search_many(
     goal_flag = goals.df.select("node", F.lit(True).alias("hit"))
     if goals.rows <= bound:
         goal_flag = F.broadcast(goal_flag)
+    seen = Visited(graph.limits)
     while frontier.rows and sum(search.hits) < starts.rows * goals.rows:
-        if len(search.levels) > max_hops:
+        if max_hops is not None and len(search.levels) > max_hops:
             search.bound_hit = True
             break
-        level = _next_level(graph, frontier, search.levels[1:])
+        level = _next_level(graph, frontier, seen)
         level = level.join(goal_flag, "node", "left").select(
             "root", "node", "parent", F.coalesce("hit", F.lit(False)).alias("hit")
         )
@@ -254,6 +293,7 @@ def search_many(
             else level.df.where("hit").count()
         )
         search.levels.append(level)
+        seen.add(level)
         search.hits.append(hits)
         frontier = _open_part(search, level, starts, goals.rows, bound) if hits else level
     return search
@@ -277,15 +317,19 @@ def _open_part(
 
 
 def shortest_lengths(
-    graph: PropertyGraph, sources: DataFrame, targets: DataFrame, max_hops: int = MAX_HOPS
+    graph: PropertyGraph, sources: DataFrame, targets: DataFrame, max_hops: int | None = None
 ) -> DataFrame:
-    """``(source, target, length)`` for every connected pair."""
+    """``(source, target, length)`` for every connected pair.
+
+    With ``max_hops`` a column ``bound_hit`` says whether pairs further apart may be missing.
+    """
     search = search_many(graph, sources, targets, max_hops)
-    return search.lengths(graph.nodes.sparkSession)
+    found = search.lengths(graph.nodes.sparkSession)
+    return found if max_hops is None else found.withColumn("bound_hit", F.lit(search.bound_hit))
 
 
 def shortest_routes(
-    graph: PropertyGraph, sources: DataFrame, targets: DataFrame, max_hops: int = MAX_HOPS
+    graph: PropertyGraph, sources: DataFrame, targets: DataFrame, max_hops: int | None = None
 ) -> DataFrame:
     """``(source, target, step, node)`` for every connected pair."""
     search = search_many(graph, sources, targets, max_hops)
@@ -317,7 +361,7 @@ def broken_steps(graph: PropertyGraph, routes: DataFrame) -> DataFrame:
     if wanted.rows <= graph.limits.broadcast_rows:
         present = edges.join(F.broadcast(pairs), ["src", "dst"], "left_semi").distinct()
     else:
-        present = edges.distinct().join(pairs, ["src", "dst"], "left_semi")
+        present = edges.join(pairs, ["src", "dst"], "left_semi").distinct()
     return wanted.df.join(present, ["src", "dst"], "left_anti").select(
         "source", "target", "step", "src", "dst"
     )

@@ -5,13 +5,13 @@ Ordered by ``(a, b, c)`` and cut to ``limit`` rows, or counted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopline.model import PropertyGraph
 from hopline.operators.filters import nodes_in_category
 from hopline.plans.lineage import Settled, settle
-from hopline.plans.skew import leaving, match_keys
+from hopline.plans.skew import first_rows, leaving, match_keys
 
 #: Factors by which a search among the first rows is widened before it takes all.
 WIDER = (1, 16, 256)
@@ -77,8 +77,7 @@ def _extended(graph: PropertyGraph, pairs: Settled, limit: int, distinct: bool)
     chosen = settle(pairs.df.select(F.col("b").alias("node")).distinct(), graph.limits)
     second = leaving(graph, chosen).select(F.col("src").alias("b"), F.col("dst").alias("c"))
     second = second.distinct() if distinct else second
-    nth = F.row_number().over(Window.partitionBy("b").orderBy("c"))
-    ends = second.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
+    ends = first_rows(second, ["b"], ["c"], limit)
     first = F.broadcast(pairs.df) if pairs.rows <= graph.limits.broadcast_rows else pairs.df
     return ends.join(first, "b").select("a", "b", "c").orderBy("a", "b", "c").limit(limit)
 
@@ -121,14 +120,17 @@ def any_triples(graph: PropertyGraph, category: str, limit: int) -> DataFrame:
 def triple_count(graph: PropertyGraph, category: str) -> DataFrame:
     """``(matches)``: how many matches there are, without forming any.
 
-    A middle node has in-degree times out-degree matches. Both degrees are
-    aggregated before the join and share its partitioning.
+    A middle node has in-degree times out-degree matches. Edges that do not touch
+    a middle node are left out on either side before both degrees are aggregated;
+    the join shares their partitioning.
     """
-    edges = graph.checked().edges
-    incoming = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
-    outgoing = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
-    chosen = nodes_in_category(graph, category).select(F.col("id").alias("node")).distinct()
+    graph = graph.checked()
+    middles = _middles(graph, category)
+    pairs = graph.edges.select("src", "dst")
+    into, out = match_keys(graph, pairs, "dst", middles), match_keys(graph, pairs, "src", middles)
+    incoming = into.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
+    outgoing = out.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
     product = F.col("n_in").cast("decimal(19,0)") * F.col("n_out").cast("decimal(19,0)")
     total = F.coalesce(F.sum(product.cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
-    matched = incoming.join(outgoing, "node").join(chosen, "node", "left_semi")
+    matched = incoming.join(outgoing, "node")
     return matched.agg(total.alias("matches"))

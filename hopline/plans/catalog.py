@@ -25,6 +25,7 @@ from hopline.operators import (
 )
 from hopline.plans import commerce
 from hopline.plans.commerce import node_id, table
+from hopline.plans.limits import Limits
 from hopline.plans.lineage import scratch_path
 from hopline.sources import results, tables
 from hopline.streaming.append import append_arrivals
@@ -42,6 +43,7 @@ K = 10
 DIM = 64
 CELLS = 16
 WARMUP = 3
+CHAIN = 48
 SOURCES = [START, TARGET, PART, node_id("supplier", 5)]
 TARGETS = [node_id("order", 0), TARGET, PART, node_id("supplier", 5), node_id("region", 3)]
 
@@ -391,6 +393,29 @@ def _(spark, sf_dir):
     return paths.shortest_length(_graph(spark, sf_dir), START, TARGET)
 
 
+def _chains(spark, sf_dir) -> PropertyGraph:
+    """Customers in chains by key, ``CHAIN`` to a chain: far more hops than the graph has elsewhere."""
+    key = F.col("c_custkey").cast("long")
+    rows = table(spark, sf_dir, "customer")
+    nodes = rows.select(
+        key.alias("id"), F.lit("customer").alias("category"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("ts")
+    )
+    edges = rows.where(key % CHAIN != CHAIN - 1).select(
+        key.alias("src"), (key + 1).alias("dst"), F.lit("next").alias("edge_type"), F.lit(0).cast("long").alias("ts")
+    )
+    return PropertyGraph.of(nodes, edges)
+
+
+@query("spt_01_long")
+def _(spark, sf_dir):
+    return paths.shortest_length(_chains(spark, sf_dir), CHAIN + 1, 2 * CHAIN - 2)
+
+
+@query("trv_07_long")
+def _(spark, sf_dir):
+    return paths.reach(_chains(spark, sf_dir), CHAIN + 1)
+
+
 @query("spt_01_cycle")
 def _(spark, sf_dir):
     return paths.shortest_length(_graph(spark, sf_dir), START, START)
@@ -507,8 +532,15 @@ def _(spark, sf_dir):
 
 @query("vec_07_probe")
 def _(spark, sf_dir):
+    """What must hold of a partial probe: rows, distinct ids of the corpus, exact distances."""
     q = _query_vector(spark, sf_dir)
-    return cells.nearest_in_cells(spark, _cells(spark, sf_dir), q, K, CELLS // 4)
+    found = cells.nearest_in_cells(spark, _cells(spark, sf_dir), q, K, CELLS // 4)
+    exact = rounded_distance(F.col("embedding"), vector_literal(q))
+    known = _vectors(spark, sf_dir).select("id", exact.alias("exact"))
+    right = F.count(F.when(F.col("distance") == F.col("exact"), 1))
+    return found.join(known, "id", "left").agg(
+        F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"), right.alias("n_right")
+    )
 
 
 def _recall(spark, sf_dir, nprobe) -> DataFrame:
@@ -527,7 +559,9 @@ def _(spark, sf_dir):
 
 @query("vec_08_probe")
 def _(spark, sf_dir):
-    return _recall(spark, sf_dir, CELLS // 4)
+    """How many queries a partial probe answers, and whether it finds half of all rows."""
+    found = _recall(spark, sf_dir, CELLS // 4)
+    return found.agg(F.count("*").alias("n_queries"), (F.avg("recall") >= 0.5).alias("enough"))
 
 
 def _hybrid_rows(spark, sf_dir) -> DataFrame:
@@ -575,6 +609,14 @@ def _(spark, sf_dir):
     return _summary(spark, sf_dir)
 
 
+@query("agg_02_null_series")
+def _(spark, sf_dir):
+    """Series of which some have no engine, on the route for series too long for one task."""
+    known = F.when(F.col("engine") != "engine_0", F.col("engine")).alias("engine")
+    samples = commerce.samples(spark, sf_dir).select(known, "query", "value")
+    return measure.summarise(samples, by=["engine", "query"], limits=Limits(group_rows=100))
+
+
 @query("agg_03")
 def _(spark, sf_dir):
     return measure.without_warmup(commerce.samples(spark, sf_dir), WARMUP)

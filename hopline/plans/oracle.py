@@ -6,6 +6,7 @@ from hopline.functions.hashing import DRAW_SPAN, HEX_DIGITS
 from hopline.operators.kernels import INCREMENT, MULTIPLIERS
 from hopline.operators.synth import CATEGORIES, EDGE_TYPES, EMBED_DIM, SEED, TS_BASE, TS_SPAN
 from hopline.plans.catalog import (
+    CHAIN,
     DIM,
     K,
     LIMIT,
@@ -46,8 +47,11 @@ EDGES = f"""e AS (
   UNION ALL SELECT {_key("nation", "n_nationkey")}, {_key("region", "n_regionkey")}, 'part_of', 0 FROM nation)"""
 
 GRAPH = f"WITH RECURSIVE {NODES}, {EDGES}"
+#: The same for queries without recursion; inlined, so that an outer LIMIT ends early.
+PLAIN = f"WITH {NODES}, {EDGES}".replace("n AS (", "n AS NOT MATERIALIZED (").replace(
+    "e AS (", "e AS NOT MATERIALIZED ("
+)
 SLICE = f"{GRAPH}, f AS (SELECT * FROM e WHERE ts BETWEEN {TS_LO} AND {TS_HI})"
-MAX_HOPS = 30
 
 LATEST = f"{GRAPH} SELECT src, dst, edge_type, max(ts) AS ts FROM e GROUP BY ALL"
 
@@ -65,15 +69,18 @@ def _walks(edges: str, hops: int, pick: str) -> str:
 
 def _levels(roots: list[int]) -> str:
     """Shortest distance of at least one edge from each root, and the roots themselves."""
-    values = ", ".join(f"({r})" for r in roots)
+    return _levels_from("VALUES " + ", ".join(f"({r})" for r in roots))
+
+
+def _levels_from(roots: str) -> str:
     return f"""{GRAPH},
-  roots(root) AS (VALUES {values}),
+  roots(root) AS ({roots}),
   s AS (SELECT DISTINCT src, dst FROM e),
-  r(root, node, d) AS (
-    SELECT root, root, 0 FROM roots
-    UNION SELECT r.root, s.dst, d + 1 FROM r JOIN s ON s.src = r.node WHERE d < {MAX_HOPS}),
-  dist AS (SELECT root, node, min(d) AS d FROM r WHERE d > 0 GROUP BY ALL),
-  levels AS (SELECT root, root AS node, 0 AS d FROM roots UNION ALL SELECT * FROM dist)"""
+  dist(root, node, d) USING KEY (root, node) AS (
+    SELECT DISTINCT root, s.dst, 1 FROM roots JOIN s ON s.src = root
+    UNION SELECT DISTINCT dist.root, s.dst, dist.d + 1 FROM dist JOIN s ON s.src = dist.node
+      WHERE NOT EXISTS (SELECT 1 FROM recurring.dist k WHERE k.root = dist.root AND k.node = s.dst)),
+  levels AS (SELECT root, root AS node, 0 AS d FROM roots UNION ALL SELECT root, node, d FROM dist)"""
 
 
 def _routes(roots: list[int], targets: list[int]) -> str:
@@ -93,6 +100,17 @@ def _routes(roots: list[int], targets: list[int]) -> str:
   routes AS (SELECT source, target, CAST(step AS BIGINT) AS step, node FROM back)"""
 
 
+def _chain_levels() -> str:
+    return f"""WITH RECURSIVE s AS (
+    SELECT CAST(c_custkey AS BIGINT) AS src, CAST(c_custkey AS BIGINT) + 1 AS dst FROM customer
+    WHERE c_custkey % {CHAIN} <> {CHAIN - 1}
+      AND c_custkey + 1 IN (SELECT c_custkey FROM customer)),
+  dist(node, d) USING KEY (node) AS (
+    SELECT c_custkey, 0 FROM customer WHERE c_custkey = {CHAIN + 1}
+    UNION SELECT s.dst, dist.d + 1 FROM dist JOIN s ON s.src = dist.node
+      WHERE NOT EXISTS (SELECT 1 FROM recurring.dist k WHERE k.node = s.dst))"""
+
+
 def _length(source: int, target: int) -> str:
     return f"""{_levels([source])}
 SELECT root AS source, node AS target, CAST(d AS BIGINT) AS length
@@ -235,8 +253,8 @@ FROM m GROUP BY ALL""",
     "trv_01_checked": f"""{GRAPH} SELECT dst AS node FROM e
 JOIN n ON n.id = e.dst AND n.category <> 'supplier' WHERE src = {PART}""",
     "trv_02": f"{GRAPH} SELECT DISTINCT dst AS node FROM e WHERE src = {PART}",
-    "trv_03": f"{GRAPH} {_walks('e', 3, '{last}.dst AS node')}",
-    "trv_03_2hop": f"{GRAPH} {_walks('e', 2, '{last}.dst AS node')}",
+    "trv_03": f"{PLAIN} {_walks('e', 3, '{last}.dst AS node')}",
+    "trv_03_2hop": f"{PLAIN} {_walks('e', 2, '{last}.dst AS node')}",
     "trv_04": f"{GRAPH} {_walks('e', 3, 'count(*) AS walks')}",
     "trv_04_2hop": f"{GRAPH} {_walks('e', 2, 'count(*) AS walks')}",
     "trv_05": f"{GRAPH} {_walks('e', 3, 'count(DISTINCT {last}.dst) AS ends')}",
@@ -258,6 +276,10 @@ SELECT node, CAST(min(d) AS BIGINT) AS distance FROM levels GROUP BY node""",
     "pat_03": _match_count("supplier"),
     "pat_03_order": _match_count("order"),
     "spt_01": _length(START, TARGET),
+    "spt_01_long": f"""{_chain_levels()} SELECT CAST({CHAIN + 1} AS BIGINT) AS source,
+  CAST(node AS BIGINT) AS target, CAST(d AS BIGINT) AS length FROM dist WHERE node = {2 * CHAIN - 2}""",
+    "trv_07_long": f"""{_chain_levels()}
+SELECT CAST(node AS BIGINT) AS node, CAST(d AS BIGINT) AS distance FROM dist""",
     "spt_01_cycle": _length(START, START),
     "spt_01_none": _length(node_id("region", 3), START),
     "spt_02": f"{_routes([START], [TARGET])} SELECT * FROM routes",
@@ -265,9 +287,9 @@ SELECT node, CAST(min(d) AS BIGINT) AS distance FROM levels GROUP BY node""",
 SELECT root AS source, node AS target, CAST(d AS BIGINT) AS length
 FROM dist WHERE node IN ({", ".join(str(t) for t in TARGETS)})""",
     "spt_03_routes": f"{_routes(SOURCES, TARGETS)} SELECT * FROM routes",
-    "spt_03_categories": f"""SELECT {_key("supplier", "s_suppkey")} AS source,
-  {_key("region", "n_regionkey")} AS target, CAST(2 AS BIGINT) AS length
-FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "spt_03_categories": f"""{_levels_from("SELECT id FROM n WHERE category = 'supplier'")}
+SELECT root AS source, node AS target, CAST(d AS BIGINT) AS length
+FROM dist JOIN n ON n.id = node AND n.category = 'region'""",
     "spt_04": f"""{_routes(SOURCES, TARGETS)},
   steps AS (SELECT a.source, a.target, a.step, a.node AS src, b.node AS dst FROM routes a
     JOIN routes b ON a.source = b.source AND a.target = b.target AND b.step = a.step + 1)
@@ -295,6 +317,9 @@ SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY
 FROM p QUALIFY rank <= {K}""",
     "vec_06": "SELECT vec_id AS id, CAST(1 AS BIGINT) AS cells FROM embeddings",
     "vec_07": NEAREST,
+    "vec_07_probe": f"""SELECT least(count(*), {K}) AS n_rows, least(count(*), {K}) AS n_ids,
+  least(count(*), {K}) AS n_right FROM embeddings""",
+    "vec_08_probe": "SELECT count(*) AS n_queries, true AS enough FROM embeddings",
     "vec_08": "SELECT vec_id AS query_id, CAST(1.0 AS DOUBLE) AS recall FROM embeddings",
     "hyb_01": f"{HYBRID} SELECT count(DISTINCT dst) AS neighbours FROM h",
     "hyb_02": f"{HYBRID} SELECT count(*) AS neighbours FROM h",
@@ -302,6 +327,9 @@ FROM p QUALIFY rank <= {K}""",
   count(DISTINCT dst) AS n_distinct_ends FROM e""",
     "agg_02": f"WITH {SAMPLES} {_stats('query')}",
     "agg_02_series": f"{SUMMARY} SELECT * FROM m",
+    "agg_02_null_series": f"""WITH {SAMPLES.replace("s AS (", "s0 AS (", 1)},
+  s AS (SELECT CASE WHEN engine <> 'engine_0' THEN engine END AS engine, query, value FROM s0)
+{_stats("engine, query")}""",
     "agg_03": f"""WITH {SAMPLES} SELECT * FROM s
 QUALIFY row_number() OVER (PARTITION BY engine, size, query ORDER BY seq) > {WARMUP}""",
     "agg_04": f"""{_ratios("median_ms", 100.0)}
@@ -363,5 +391,5 @@ SELECT root AS source, node AS target, CAST(d AS BIGINT) AS length
 FROM dist WHERE node IN ({", ".join(str(t) for t in TARGETS)})""",
 }
 
-#: Registered without SQL: which neighbours a partial probe finds depends on clustering.
-ROWS_ONLY = ("vec_07_probe", "vec_08_probe")
+#: Registered without SQL.
+ROWS_ONLY: tuple[str, ...] = ()

@@ -9,7 +9,9 @@ always be broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopline.plans.lineage import Settled, cut
@@ -24,6 +26,28 @@ def hub_table(edges: DataFrame, key: str, limits: Limits = DEFAULT_LIMITS) -> Da
     return cut(hubs.select("hub", F.ceil(F.col("n") / threshold).cast("int").alias("splits")))
 
 
+#: Spark picks the first rows of a window per task only up to this many.
+TASK_FIRST_ROWS = 1_000
+#: Parts a key is cut into for picking more first rows than that.
+FIRST_ROW_PARTS = 64
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows of every key by ``order``, with a hot key never sorted in one task.
+
+    More rows than Spark's own per-task pick allows are first picked in parts of the
+    key, dealt out by the task a row comes from.
+    """
+    ordered = [F.col(c) for c in order]
+    if n > TASK_FIRST_ROWS:
+        part = F.pmod(F.spark_partition_id(), F.lit(FIRST_ROW_PARTS))
+        own = Window.partitionBy(*keys, "_part").orderBy(*ordered)
+        df = df.withColumn("_part", part).withColumn("_nth", F.row_number().over(own))
+        df = df.where(F.col("_nth") <= n).drop("_part", "_nth")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered))
+    return df.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
+
+
 def in_list(key: str, ids: list[int]) -> Column:
     """``key IN (ids)``, parsed in one go instead of built value by value."""
     return F.expr(f"`{key}` in ({', '.join(f'{i}L' for i in ids)})") if ids else F.lit(False)
@@ -43,7 +67,7 @@ def expand(graph, frontier: Settled, weight: str | None = None) -> DataFrame:
             pairs = pairs.where(in_list("src", literals))
         return pairs.join(F.broadcast(frontier.df), F.col("src") == F.col("node"))
 
-    hub = F.broadcast(graph.hubs("src"))
+    hub = F.broadcast(graph.split_hubs())
     cold_edges, hot_edges = graph.cold_and_hot()
     cold = cold_edges.select("src", "dst").join(frontier.df, F.col("src") == F.col("node"))
     # Copies of one hub edge collapse map-side; what is left is spread by dst.
@@ -77,7 +101,7 @@ def leaving(graph, keys: Settled) -> DataFrame:
         return match_keys(graph, graph.edges.select("src", "dst"), "src", keys)
     cold, hot = (part.select("src", "dst") for part in graph.cold_and_hot())
     is_key = F.col("src") == F.col("node")
-    hub = F.broadcast(graph.hubs("src"))
+    hub = F.broadcast(graph.split_hubs())
     hot_keys = keys.df.join(hub, F.col("node") == F.col("hub"), "left_semi")
     return cold.join(keys.df, is_key, "left_semi").unionByName(
         hot.join(F.broadcast(hot_keys.select("node").distinct()), is_key, "left_semi")

@@ -35,7 +35,7 @@ def write_results(summary: DataFrame, path: str) -> None:
     )
     (
         documents.select(
-            F.concat_ws("_", "engine", "size").alias("stem"),
+            F.concat_ws("_", _escaped("engine"), _escaped("size")).alias("stem"),
             F.col("engine").alias("db"),
             "size",
             "queries",
@@ -46,6 +46,11 @@ def write_results(summary: DataFrame, path: str) -> None:
     )
 
 
+def _escaped(name: str) -> Column:
+    """A name without underscores, written so that two stems never meet."""
+    return F.replace(F.url_encode(F.col(name)), F.lit("_"), F.lit("%5F"))
+
+
 def _stem(path: Column) -> Column:
     """The document's key: its ``stem=`` folder if it has one, else its file name."""
     folder = F.regexp_extract(path, r"/stem=([^/]+)/", 1)
@@ -54,7 +59,7 @@ def _stem(path: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Every JSON document below ``path``, keyed ``engine, size`` by file name.
+    """Every JSON document below ``path``, keyed by its own ``db`` and ``size``, else by file name.
 
     Files whose name has no underscore are not result files and are left out.
     """
@@ -66,11 +71,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("stem", _stem(F.input_file_name()))
     )
     keyed = raw.select(
-        stem_engine(F.col("stem")).alias("engine"), stem_size(F.col("stem")).alias("stem_size"), "*"
+        stem_engine(F.col("stem")).alias("stem_engine"), stem_size(F.col("stem")).alias("stem_size"), "*"
     )
-    return keyed.where(F.col("engine") != "").select(
-        "engine",
-        F.col("stem_size").alias("size"),
+    return keyed.where(F.col("stem_engine") != "").select(
+        F.coalesce("db", "stem_engine").alias("engine"),
+        F.coalesce("size", "stem_size").alias("size"),
         "db",
         F.coalesce("skipped", F.lit(False)).alias("skipped"),
         "reason",

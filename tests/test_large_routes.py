@@ -1,6 +1,7 @@
 """The routes for large and skewed data, forced on small graphs, against brute force."""
 
 import random
+from dataclasses import replace
 
 import pytest
 
@@ -169,3 +170,29 @@ def test_bucketed_part_is_not_shuffled(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     physical = plan[plan.index("== Physical Plan") :]
     assert physical.count("Exchange") == 1 and "Bucketed: true" in physical
+
+
+def test_paths_have_no_hop_limit(spark):
+    chain = graph_of(spark, range(45), [(i, i + 1) for i in range(44)])
+    assert [r.length for r in paths.shortest_length(chain, 0, 40).collect()] == [40]
+    assert pairs(paths.reach(chain, 3)) == {n: n - 3 for n in range(3, 45)}
+    bound = paths.reach(chain, 3, max_hops=5).collect()
+    assert len(bound) == 6 and all(r.bound_hit for r in bound)
+    assert [r.bound_hit for r in paths.shortest_length(chain, 0, 40, max_hops=9).collect()] == [True]
+
+
+def test_stored_parts_keep_their_own_hubs(spark, tmp_path_factory):
+    edges = hub_edges(seed=5)
+    graph = graph_of(spark, range(NODES), edges, limits=TINY, endpoints_ok=True)
+    split = tables.split_edges(graph, str(tmp_path_factory.mktemp("kept")), "kept_parts", 4)
+    other = Limits(literal_rows=1, broadcast_rows=2, hub_share=8, hub_rows=1_000)
+    for limits in (TINY, other):
+        again = replace(split, limits=limits, _hubs={})
+        assert pairs(traverse.walk_ends(again, 1, 2)) == Brute(edges).walks(1, 2)
+
+
+def test_pattern_beyond_the_window_limit(spark):
+    edges = [(0, 1)] + [(1, 10 + i) for i in range(1_200)]
+    graph = graph_of(spark, [0, (1, "even"), *range(10, 1_210)], edges)
+    got = [tuple(r) for r in pattern.triples(graph, "even", 1_001).collect()]
+    assert got == [(0, 1, 10 + i) for i in range(1_001)]

@@ -129,3 +129,23 @@ def test_stem_splits_at_the_last_underscore(spark):
         for r in df.select(stem_engine(F.col("stem")).alias("e"), stem_size(F.col("stem")).alias("s")).collect()
     ]
     assert got == [("vec_a", "small"), ("b", "large"), ("", "")]
+
+
+@pytest.mark.parametrize("limits", [Limits(), TINY])
+def test_null_keys_and_not_a_number(spark, limits):
+    rows = [(None, "s", "q", i, float(i)) for i in range(9)]
+    rows += [("e", None, "q", i, float("nan") if i == 4 else float(i)) for i in range(5)]
+    got = measure.summarise(spark.createDataFrame(rows, FIELDS), limits=limits).collect()
+    stats = {(r.engine, r["size"]): r for r in got}
+    assert set(stats) == {(None, "s"), ("e", None)}
+    assert (stats[None, "s"].median_ms, stats[None, "s"].iters) == (4.0, 9)
+    assert stats["e", None].median_ms == 2.0 and stats["e", None].iters == 5
+    assert stats["e", None].max_ms != stats["e", None].max_ms  # not a number sorts last
+
+
+@pytest.mark.parametrize("warmup", [3, 1001])
+def test_warmup_of_a_series_without_engine(spark, warmup):
+    rows = [(None, "s", "q", i, 1.0) for i in range(1500)] + [("e", "s", "q", i, 1.0) for i in range(4)]
+    left = measure.without_warmup(spark.createDataFrame(rows, FIELDS).repartition(5), warmup)
+    want = sorted((str(e), i) for e, _, _, i, _ in rows if i >= warmup)
+    assert sorted((str(r.engine), r.seq) for r in left.collect()) == want

@@ -66,12 +66,12 @@ def test_result_documents(spark, tmp_path):
     stats = {"min_ms": 1.0, "median_ms": 2.0, "p95_ms": 3.0, "max_ms": 4.0, "iters": 20}
     documents = {
         "alpha_small": {
-            "db": "alpha", "size": "small", "ingest": {"ingest_ms": 66.59},
+            "db": "alpha", "size": "small", "ingest": {"ingest_ms": 12.5},
             "queries": {"hop": stats, "path": {"error": "no"}, "_errors": {"path": "no" * 90}},
         },
         "vec_alpha_small": {
             "db": "vec_alpha", "size": "small", "ingest": {"ingest_ms": 7.0},
-            "index_build": {"build_ms": 353.16}, "queries": {"knn": stats},
+            "index_build": {"build_ms": 80.25}, "queries": {"knn": stats},
         },
         "vec_alpha_large": {"db": "vec_alpha", "size": "large", "skipped": True, "reason": "slow"},
         "readme": {"db": "none"},
@@ -81,7 +81,7 @@ def test_result_documents(spark, tmp_path):
     read = results.read_documents(spark, str(tmp_path))
     got = {(r.engine, r["size"]): r for r in read.collect()}
     assert set(got) == {("alpha", "small"), ("vec_alpha", "small"), ("vec_alpha", "large")}
-    assert got["vec_alpha", "small"].build_ms == 353.16 and got["alpha", "small"].ingest_ms == 66.59
+    assert got["vec_alpha", "small"].build_ms == 80.25 and got["alpha", "small"].ingest_ms == 12.5
     assert got["vec_alpha", "large"].skipped and got["vec_alpha", "large"].reason == "slow"
     rows = {(r.engine, r.query): r for r in results.query_stats(read).collect()}
     assert set(rows) == {("alpha", "hop"), ("alpha", "path"), ("vec_alpha", "knn")}
@@ -91,6 +91,16 @@ def test_result_documents(spark, tmp_path):
     assert [(e.engine, e.query, e.message) for e in errors] == [("alpha", "path", "no" * 90)]
 
 
+def test_documents_of_similar_names_stay_apart(spark, tmp_path):
+    rows = [("a_b", "c"), ("a", "b_c"), ("a%b", "c"), ("a b", "s:1"), ("a%5Fb", "c")]
+    stats = [(e, s, "hop", 1.0, 2.0, 3.0, float(i), 5) for i, (e, s) in enumerate(rows)]
+    names = "engine string, size string, query string, min_ms double, median_ms double, p95_ms double, max_ms double, iters long"
+    results.write_results(spark.createDataFrame(stats, names), str(tmp_path / "r"))
+    read = results.query_stats(results.read_documents(spark, str(tmp_path / "r")))
+    got = {(r.engine, r["size"]): r.max_ms for r in read.collect()}
+    assert got == {name: float(i) for i, name in enumerate(rows)}
+
+
 def test_settle_knows_the_size(spark):
     few = settle(spark.range(3).withColumnRenamed("id", "node"), Limits(literal_rows=5))
     assert few.rows == 3 and few.literals("node") == [0, 1, 2]
