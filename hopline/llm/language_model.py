@@ -29,7 +29,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Hash of the token that ends every text.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Bits of a word pair's and of a following word's identity inside the trie.
-PAIR_BITS, WORD_BITS = 44, 32
+PAIR_BITS, WORD_BITS = 42, 24
 
 
 class EliasFano:
@@ -166,37 +166,64 @@ def _sums(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray],
     return [k[at] for k in keys], np.add.reduceat(counts, at)
 
 
+def _numbered(values: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, the number of each value among them, and how often each was learnt."""
+    distinct, number = np.unique(values, return_inverse=True)
+    number = number.astype(np.int32)
+    return distinct, number, np.bincount(number[learnt], minlength=len(distinct))
+
+
+def _range_shard(identity: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of the identities, which are hashes: even, and close together inside a shard."""
+    return ((identity >> np.uint64(PAIR_BITS - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, as many as the largest needs; the shuffle compresses empty planes away."""
+    values = values.astype(np.uint64)
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view(np.uint64).ravel()
+
+
 class Chunk:
     """The tokens of some texts, numbered by distinct unigram, pair and triple."""
 
     def __init__(self, texts: list[str | None], train: np.ndarray, shards: int):
         words, at = word_hashes(texts)
         self.offsets = at + np.arange(len(at))  # one more token per text
-        size = int(self.offsets[-1])
+        size, lengths = int(self.offsets[-1]), np.diff(self.offsets)
         tokens = np.empty(size, np.uint64)
         ends = self.offsets[1:] - 1
         is_word = np.ones(size, bool)
         is_word[ends] = False
         tokens[is_word], tokens[ends] = words, END
-        place = np.arange(size) - np.repeat(self.offsets[:-1], np.diff(self.offsets))
-        self.train = np.repeat(train, np.diff(self.offsets)).astype(np.int64)
-        self.words, self.word_of = np.unique(tokens, return_inverse=True)
-        self.word_counts = np.bincount(self.word_of, self.train, len(self.words)).astype(np.int64)
-        self.word_shard = (self.words % np.uint64(shards)).astype(np.int64)
+        del words, is_word
+        place = np.arange(size, dtype=np.int32) - np.repeat(self.offsets[:-1].astype(np.int32), lengths)
+        self.at2, self.at3 = (np.flatnonzero(place >= k).astype(np.int32) for k in (1, 2))
+        del place
+        learnt = np.repeat(train, lengths)
+        self.words, self.word_of, self.word_counts = _numbered(tokens, learnt)
+        self.word_shard = _range_shard(self.words >> np.uint64(64 - PAIR_BITS), shards)
 
-        self.at2, self.at3 = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
         with np.errstate(over="ignore"):
             pair = mix(tokens[self.at2 - 1] * _STEP + tokens[self.at2]) >> np.uint64(64 - PAIR_BITS)
-        self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
-        self.pair_counts = np.bincount(self.pair_of, self.train[self.at2], len(self.pairs)).astype(np.int64)
-        self.pair_shard = (mix(self.pairs) % np.uint64(shards)).astype(np.int64)
+        self.pairs, self.pair_of, self.pair_counts = _numbered(pair, learnt[self.at2])
+        self.pair_shard = _range_shard(self.pairs, shards)
+        del pair
 
-        number = np.full(size, -1)
+        number = np.zeros(size, np.int32)
         number[self.at2] = self.pair_of
         triple = (number[self.at3 - 1].astype(np.uint64) << np.uint64(WORD_BITS)) | (tokens[self.at3] >> np.uint64(64 - WORD_BITS))
-        triples, self.triple_of = np.unique(triple, return_inverse=True)
-        self.triple_counts = np.bincount(self.triple_of, self.train[self.at3], len(triples)).astype(np.int64)
-        self.triple_pair = (triples >> np.uint64(WORD_BITS)).astype(np.int64)
+        del number, tokens
+        triples, self.triple_of, self.triple_counts = _numbered(triple, learnt[self.at3])
+        self.triple_pair = (triples >> np.uint64(WORD_BITS)).astype(np.int32)
         self.triple_word = (triples & np.uint64((1 << WORD_BITS) - 1)).astype(np.uint32)
         self.triple_shard = self.pair_shard[self.triple_pair]
 
@@ -213,28 +240,20 @@ class Chunk:
 
 
 def _message(c: Chunk, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> list[bytes]:
-    """What a chunk sends to one shard: rising pairs as differences, triples grouped by pair."""
-    steps = np.diff(c.pairs[pairs].astype(np.int64), prepend=0)
-    wide = bool(len(steps)) and int(steps.max()) >= 1 << 32
+    """What a chunk sends to one shard: rising values as differences, triples grouped by pair."""
     children = np.bincount(np.searchsorted(pairs, c.triple_pair[triples]), minlength=len(pairs)) if len(pairs) else np.zeros(0, int)
-    return [
-        c.words[words].tobytes(), c.word_counts[words].astype("<u4").tobytes(),
-        bytes([wide]) + steps.astype("<u8" if wide else "<u4").tobytes(), c.pair_counts[pairs].astype("<u4").tobytes(),
-        children.astype("<u4").tobytes(), c.triple_word[triples].tobytes(), c.triple_counts[triples].astype("<u4").tobytes(),
-    ]
+    rising = [np.diff(x, prepend=np.uint64(0)) for x in (c.words[words], c.pairs[pairs])]
+    sent = [rising[0], c.word_counts[words], rising[1], c.pair_counts[pairs], children, c.triple_word[triples], c.triple_counts[triples]]
+    return [pack(x) for x in sent]
 
 
 _MESSAGE = ("words", "word_counts", "pairs", "pair_counts", "children", "triple_words", "triple_counts")
 
 
 def _read_message(row: list[bytes]) -> list[np.ndarray]:
-    words, word_counts, pairs, pair_counts, children, triple_words, triple_counts = row
-    steps = np.frombuffer(pairs, "<u8" if pairs[0] else "<u4", offset=1)
-    return [
-        np.frombuffer(words, np.uint64), np.frombuffer(word_counts, "<u4").astype(np.int64), np.cumsum(steps.astype(np.uint64), dtype=np.uint64),
-        np.frombuffer(pair_counts, "<u4").astype(np.int64), np.frombuffer(children, "<u4").astype(np.int64),
-        np.frombuffer(triple_words, np.uint32), np.frombuffer(triple_counts, "<u4").astype(np.int64),
-    ]
+    words, word_counts, pairs, pair_counts, children, triple_words, triple_counts = map(unpack, row)
+    whole = [x.astype(np.int64) for x in (word_counts, pair_counts, children, triple_counts)]
+    return [np.cumsum(words, dtype=np.uint64), whole[0], np.cumsum(pairs, dtype=np.uint64), whole[1], whole[2], triple_words.astype(np.uint32), whole[3]]
 
 
 def _known(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +294,7 @@ def answer(messages: list[list[bytes]], total: int, k: float) -> list[tuple[byte
             numbers = trie.find_pairs(r[2])
             codes = np.where(numbers >= 0, trie.pair_codes[numbers] if len(pairs) else 0, 0).astype(np.uint8)
             nexts_ = trie.find_words(np.repeat(numbers, r[4]), r[5])
-            out.append((found.astype("<u4").tobytes(), codes.tobytes(), nexts_.tobytes()))
+            out.append((pack(found), codes.tobytes(), nexts_.tobytes()))
         del trie
     return out
 
@@ -359,7 +378,7 @@ def vocabulary_size(documents: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def score_documents(documents: DataFrame, k: float = 6.0, chunk_bytes: int = 8_000_000, chunks_per_shard: int = 2) -> DataFrame:
+def score_documents(documents: DataFrame, k: float = 6.0, chunk_bytes: int = 8_000_000, chunks_per_shard: int = 1) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the documents whose crc32(doc_id) mod 7 is not 2 and scores
@@ -395,7 +414,7 @@ def score_documents(documents: DataFrame, k: float = 6.0, chunk_bytes: int = 8_0
         counts, pairs, nexts = np.zeros(len(c.words), np.int64), np.zeros(len(c.pairs), np.uint8), np.zeros(len(c.triple_word), np.uint8)
         for shard, w, p, t in c.parts(shards):
             a, b, d = by_shard[shard]
-            counts[w], pairs[p], nexts[t] = np.frombuffer(a, "<u4"), np.frombuffer(b, np.uint8), np.frombuffer(d, np.uint8)
+            counts[w], pairs[p], nexts[t] = unpack(a), np.frombuffer(b, np.uint8), np.frombuffer(d, np.uint8)
         s = score(c, counts, pairs, nexts, total, distinct, k)
         return pa.table(
             [texts.column("doc_id"), pa.array(held, pa.bool_()), pa.array(s["n_tokens"], pa.int64()), pa.array(s["n_known"], pa.int64()),
