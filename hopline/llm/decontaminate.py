@@ -133,5 +133,5 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds())
 def clean(documents: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
     """The documents without any benchmark item inside, with all their columns."""
     leaked = cut(overlaps(documents, benchmark, seeds).select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).distinct())
-    hit = F.col("doc_id").eqNullSafe(F.col("_d")) & (_row_key() == F.col("_k"))
+    hit = documents["doc_id"].eqNullSafe(leaked["_d"]) & (_row_key() == leaked["_k"])
     return documents.join(leaked, hit, "left_anti")
