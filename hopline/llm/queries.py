@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import bpe, chat, decontaminate, html_extract, jaccard, language_model, licenses, pii, quality, url_filter
+from hopline.llm import bpe, chat, decontaminate, html_extract, jaccard, language_model, licenses, oracle, pii, quality, url_filter
 from hopline.llm.common import table
 
 URL_RULES = [
@@ -88,4 +88,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_rules, op3_lm_score, op4_bpe, op5_personal_data, op6_decontaminate, op7_jaccard_join, op8_license_scan, op9_chat_format, op10_url_filter)}
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op7_jaccard_join": oracle.jaccard(),
+    "op9_chat_format": oracle.chat(HOSTILE),
+    "op10_url_filter": oracle.url_filter(URL_RULES),
+}
