@@ -10,19 +10,24 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.operators.kernels import task_cells, unit_rows
-from hopline.operators.knn import block_tops, nearest, query_blocks, ranked
+from hopline.operators.kernels import task_cells, task_probes, unit_rows
+from hopline.operators.knn import meet, nearest, ranked, usable_queries
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
 
 #: Cell of rows that have no direction: zero vectors and vectors of another length.
 NO_CELL = -1
 
 
+#: Folder, beside the cells, of what is needed to open an index again.
+CENTROIDS = "_centroids"
+
+
 @dataclass(frozen=True)
 class CellIndex:
     """A corpus written ``partitionBy("cell")`` and its centroids, one row per cell."""
@@ -77,7 +82,12 @@ def build_cells(
     means = KMeans(
         k=cells, distanceMeasure="cosine", initMode="random", maxIter=max_iter, seed=seed
     )
-    centroids = unit_rows(np.array(means.fit(features).clusterCenters(), dtype=np.float64))
+    # Every iteration reads the features again; on disk they are not decoded each time.
+    features = features.persist(StorageLevel.DISK_ONLY)
+    try:
+        centroids = unit_rows(np.array(means.fit(features).clusterCenters(), dtype=np.float64))
+    finally:
+        features.unpersist()
     context = corpus.sparkSession.sparkContext
     run = task_cells(context.broadcast(centroids), dim, NO_CELL)
     assigned = rows.mapInArrow(run, "id long, embedding array<float>, cell int")
@@ -87,7 +97,17 @@ def build_cells(
         .partitionBy("cell")
         .parquet(path)
     )
-    return CellIndex(path, centroids, dim)
+    index = CellIndex(path, centroids, dim)
+    stored = [(i, dim, [float(x) for x in row]) for i, row in enumerate(centroids)]
+    kept = corpus.sparkSession.createDataFrame(stored, "cell int, dim int, centroid array<double>")
+    kept.coalesce(1).write.mode("overwrite").parquet(f"{path}/{CENTROIDS}")
+    return index
+
+
+def open_cells(spark: SparkSession, path: str) -> CellIndex:
+    """An index that :func:`build_cells` has written. One row per cell is read."""
+    rows = spark.read.parquet(f"{path}/{CENTROIDS}").orderBy("cell").collect()
+    return CellIndex(path, np.array([r.centroid for r in rows], dtype=np.float64), rows[0].dim)
 
 
 def nearest_in_cells(
@@ -110,16 +130,14 @@ def nearest_many_in_cells(
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """``(query_id, id, distance, rank)``: each query against its ``nprobe`` nearest cells."""
-    corpus = index.corpus(spark).select("id", "embedding", "cell")
-    tops = []
-    for ids, units in query_blocks(queries, query_id, query_vector, index.dim, limits):
-        choice = index.probe(units, nprobe)
-        asking = np.repeat(np.arange(len(ids)), choice.shape[1])
-        probed = choice.ravel()
-        probes = {int(c): asking[probed == c] for c in np.unique(probed)}
-        rows = corpus.where(F.col("cell").isin(list(probes)))
-        tops.append(block_tops(rows, ids, units, k, index.dim, probes))
-    return ranked(spark, tops, k)
+    corpus = index.corpus(spark).select("id", F.col("embedding").alias("vector"), "cell")
+    corpus = corpus.where(F.size("vector") == index.dim)
+    asked = usable_queries(queries, query_id, query_vector, index.dim)
+    context = spark.sparkContext
+    run = task_probes(context.broadcast(index.centroids), index.dim, nprobe)
+    schema = f"query_id long, vector {asked.schema['vector'].dataType.simpleString()}, cell int"
+    probing = asked.mapInArrow(run, schema)
+    return ranked(meet(probing, corpus, k, index.dim, ["cell"], limits), k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

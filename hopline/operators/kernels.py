@@ -76,31 +76,23 @@ class Tops:
         self.ids[at] = np.take_along_axis(ids, order, axis=1)
 
 
-def task_tops(query_ids, query_units, k: int, dim: int, cells):
+def task_tops(query_ids, query_units, k: int, dim: int):
     """The function a task runs: corpus batches in, its best rows per query out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, units_of = query_ids.value, query_units.value
-        probes = cells.value if cells is not None else None
         everyone = np.arange(len(ids_of))
         tops = Tops(len(ids_of), k)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
             ids, units = ids[order], unit_rows(matrix(batch.column(1), dim))[order]
-            if probes is None:
-                parts = [(slice(None), everyone)]
-            else:
-                cell = batch.column(2).to_numpy(zero_copy_only=False)[order]
-                parts = [(cell == c, probes[c]) for c in np.unique(cell) if c in probes]
-            for rows, asking in parts:
-                part_ids, part_units = ids[rows], units[rows]
-                if not len(part_ids):
-                    continue
-                width = max(1, BLOCK // len(part_ids))
-                for start in range(0, len(asking), width):
-                    at = asking[start : start + width]
-                    tops.add(at, *block_best(part_ids, part_units, units_of[at], k))
+            if not len(ids):
+                continue
+            width = max(1, BLOCK // len(ids))
+            for start in range(0, len(everyone), width):
+                at = everyone[start : start + width]
+                tops.add(at, *block_best(ids, units, units_of[at], k))
         query_at, slot = np.nonzero(tops.steps < NO_DISTANCE)
         yield pa.RecordBatch.from_arrays(
             [
@@ -114,6 +106,55 @@ def task_tops(query_ids, query_units, k: int, dim: int, cells):
     return run
 
 
+def group_tops(k: int, dim: int):
+    """The function of one group: its queries and its corpus rows in, the best rows per query out."""
+
+    def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        query_ids = queries.column("query_id").to_numpy()
+        tops = Tops(len(query_ids), k)
+        if len(query_ids) and corpus.num_rows:
+            query_units = unit_rows(matrix(queries.column("vector"), dim))
+            ids = corpus.column("id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, units = ids[order], unit_rows(matrix(corpus.column("vector"), dim))[order]
+            everyone = np.arange(len(query_ids))
+            rows = max(1, min(len(ids), BLOCK // 256))
+            width = max(1, BLOCK // rows)
+            for first in range(0, len(ids), rows):
+                part = slice(first, first + rows)
+                for start in range(0, len(everyone), width):
+                    at = everyone[start : start + width]
+                    tops.add(at, *block_best(ids[part], units[part], query_units[at], k))
+        query_at, slot = np.nonzero(tops.steps < NO_DISTANCE)
+        return pa.table(
+            {
+                "query_id": pa.array(query_ids[query_at], pa.int64()),
+                "id": pa.array(tops.ids[query_at, slot]),
+                "distance": pa.array(tops.steps[query_at, slot] / 10.0**DISTANCE_DECIMALS),
+            }
+        )
+
+    return run
+
+
+def task_probes(centroids, dim: int, nprobe: int):
+    """The function a task runs: ``(query_id, vector)`` in, a row per query and probed cell out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ways = centroids.value.T
+        for batch in batches:
+            units = unit_rows(matrix(batch.column(1), dim))
+            choice = np.argsort(-(units @ ways), axis=1, kind="stable")[:, :nprobe]
+            usable = np.flatnonzero(~np.isnan(units).any(axis=1))
+            at = pa.array(np.repeat(usable, choice.shape[1]))
+            cell = pa.array(choice[usable].ravel().astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), cell], names=["query_id", "vector", "cell"]
+            )
+
+    return run
+
+
 def task_cells(centroids, dim: int, no_cell: int):
     """The function a task runs: ``(id, vector)`` batches in, the same with a cell appended."""
 

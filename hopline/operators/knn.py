@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopline.operators.kernels import matrix, task_tops, unit_rows
+from hopline.operators.kernels import group_tops, task_tops, unit_rows
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
 
 
@@ -35,28 +34,45 @@ def nearest(
     return tops.select("id", distance).orderBy("distance", "id").limit(k)
 
 
-def query_blocks(
-    queries: DataFrame, query_id: str, query_vector: str, dim: int, limits: Limits
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors of the queries, a bounded block at a time.
-
-    Ids must be unique: they spread the queries over the blocks.
-    """
+def usable_queries(queries: DataFrame, query_id: str, query_vector: str, dim: int) -> DataFrame:
+    """``(query_id, vector)`` of the queries of the right length; ids must be unique."""
     usable = queries.where(F.size(query_vector) == dim).select(
-        F.col(query_id).cast("long").alias("query_id"), query_vector
+        F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).alias("vector")
     )
     if not usable.groupBy("query_id").count().where("count > 1").isEmpty():
         raise ValueError("query ids are not unique")
-    blocks = max(1, -(-usable.count() // limits.query_rows))
-    bound = 2 * limits.query_rows + 100
-    for turn in range(blocks):
-        block = usable.where(F.expr(f"pmod(xxhash64(query_id), {blocks}) = {turn}"))
-        table = block.limit(bound + 1).toArrow()
-        if table.num_rows > bound:
-            raise ValueError("query ids are not unique")
-        if table.num_rows:
-            units = unit_rows(matrix(table.column(1), dim))
-            yield table.column(0).to_numpy().astype(np.int64), units
+    return usable
+
+
+def meet(asked: DataFrame, held: DataFrame, k: int, dim: int, keys: list[str], limits: Limits) -> DataFrame:
+    """``(query_id, id, distance)``: the best rows of every block of queries and block of corpus.
+
+    Queries and corpus rows with equal ``keys`` meet. Both are cut into blocks of
+    bounded size by hash; every block of queries is sent to every block of corpus
+    rows of its keys, in a shuffle, and a group returns ``k`` rows per query. Neither
+    side passes through the driver or is broadcast.
+    """
+    context = asked.sparkSession.sparkContext
+    most = lambda df: (
+        df.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else df.count()
+    ) or 0
+    row_bytes = 4 * dim + 16
+    n_asked, n_held = most(asked), most(held)
+    rows = max(1, min(limits.query_rows, limits.block_bytes // row_bytes))
+    asked_blocks = max(1, -(-n_asked // rows))
+    held_blocks = max(1, -(-n_held // max(1, limits.block_bytes // row_bytes)))
+    if not keys:  # enough groups for all tasks, unless the corpus is tiny
+        held_blocks = max(held_blocks, min(context.defaultParallelism, n_held // 500))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    asked = asked.withColumn("_q", mine(asked_blocks, "query_id")).withColumn("_c", every(held_blocks))
+    held = held.withColumn("_c", mine(held_blocks, "id", "vector")).withColumn("_q", every(asked_blocks))
+    by = [*keys, "_q", "_c"]
+    return (
+        asked.groupBy(*by)
+        .cogroup(held.groupBy(*by))
+        .applyInArrow(group_tops(k, dim), "query_id long, id long, distance double")
+    )
 
 
 def nearest_many(
@@ -72,36 +88,26 @@ def nearest_many(
 ) -> DataFrame:
     """``(query_id, id, distance, rank)``: the ``k`` nearest rows for every query.
 
-    A block of at most about ``limits.query_rows`` queries is sent to every task;
-    a task multiplies it with its share of the corpus and keeps ``k`` rows per
-    query, so distances never leave the task. More queries take more passes.
+    Distances never leave the task that forms them; see :func:`meet`.
     """
     rows = corpus.where(F.size(vector_column) == dim).select(
-        F.col(id_column).cast("long").alias("id"), vector_column
+        F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector")
     )
-    blocks = query_blocks(queries, query_id, query_vector, dim, limits)
-    tops = [block_tops(rows, ids, units, k, dim) for ids, units in blocks]
-    return ranked(corpus.sparkSession, tops, k)
+    asked = usable_queries(queries, query_id, query_vector, dim)
+    return ranked(meet(asked, rows, k, dim, [], limits), k)
 
 
-def block_tops(rows: DataFrame, ids, units, k: int, dim: int, probes=None) -> DataFrame:
-    """``(query_id, id, distance)``: every task's best rows for one block of queries.
-
-    ``rows`` holds ``id, vector`` and, with ``probes``, ``cell``; ``probes`` maps a
-    cell to the positions of the queries that look into it.
-    """
+def block_tops(rows: DataFrame, ids, units, k: int, dim: int) -> DataFrame:
+    """``(query_id, id, distance)``: every task's best rows for a query vector of the caller."""
     context = rows.sparkSession.sparkContext
-    cells = context.broadcast(probes) if probes is not None else None
-    run = task_tops(context.broadcast(ids), context.broadcast(units), k, dim, cells)
+    run = task_tops(context.broadcast(ids), context.broadcast(units), k, dim)
     return rows.mapInArrow(run, "query_id long, id long, distance double")
 
 
-def ranked(spark: SparkSession, tops: list[DataFrame], k: int) -> DataFrame:
-    """Merge per-task best rows into the ``k`` best per query."""
-    if not tops:
-        return spark.createDataFrame([], "query_id long, id long, distance double, rank long")
+def ranked(tops: DataFrame, k: int) -> DataFrame:
+    """Merge the blocks' best rows into the ``k`` best per query."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    best = reduce(DataFrame.unionByName, tops).withColumn("rank", rank).where(F.col("rank") <= k)
+    best = tops.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select(
         "query_id", "id", (F.col("distance") + 0.0).alias("distance"), F.col("rank").cast("long")
     )

@@ -524,6 +524,13 @@ def _(spark, sf_dir):
     return corpus.groupBy("id").agg(F.countDistinct("cell").alias("cells"))
 
 
+@query("vec_06_reopened")
+def _(spark, sf_dir):
+    """Full probe of an index that was written, forgotten and opened again."""
+    index = cells.open_cells(spark, _cells(spark, sf_dir).path)
+    return cells.nearest_in_cells(spark, index, _query_vector(spark, sf_dir), K, index.cells)
+
+
 @query("vec_07")
 def _(spark, sf_dir):
     q = _query_vector(spark, sf_dir)

@@ -25,8 +25,10 @@ class Limits:
     hub_rows: int = 1_000_000
     #: Groups up to this size may be sorted inside one task.
     group_rows: int = 1_000_000
-    #: Query vectors handled in one pass over the corpus.
+    #: Query vectors in one block.
     query_rows: int = 20_000
+    #: Bytes of vectors in one block of queries or of corpus rows.
+    block_bytes: int = 32_000_000
 
 
 DEFAULT_LIMITS = Limits()

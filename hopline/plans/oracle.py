@@ -316,6 +316,7 @@ FROM embeddings""",
 SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
 FROM p QUALIFY rank <= {K}""",
     "vec_06": "SELECT vec_id AS id, CAST(1 AS BIGINT) AS cells FROM embeddings",
+    "vec_06_reopened": NEAREST,
     "vec_07": NEAREST,
     "vec_07_probe": f"""SELECT least(count(*), {K}) AS n_rows, least(count(*), {K}) AS n_ids,
   least(count(*), {K}) AS n_right FROM embeddings""",
