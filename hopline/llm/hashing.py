@@ -7,6 +7,8 @@ import numpy as np
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
+#: Bytes hashed at a time.
+_STRETCH = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -41,11 +43,18 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[raw]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     ends = np.flatnonzero(~space & np.concatenate((space[1:], [True]))) + 1
-    up, down = _powers(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])))
-        hashes = (sums[ends] - sums[starts]) * down[starts]
-        hashes = mix(hashes + (ends - starts).astype(np.uint64) * _STEP)
+    hashes = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):  # short stretches of whole words: little memory, few powers
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + _STRETCH, "right")))
+        low, high = starts[first], ends[last - 1]
+        here, there = starts[first:last] - low, ends[first:last] - low
+        up, down = _powers(int(high - low) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
+            hashes[first:last] = mix((sums[there] - sums[here]) * down[here] + (there - here).astype(np.uint64) * _STEP)
+        first = last
     at = np.cumsum([0] + [len(d) + 1 for d in data])
     return hashes, np.searchsorted(starts, at)
 

@@ -12,8 +12,11 @@ The model interpolates orders 3, 2 and 1 with Dirichlet smoothing: an order's es
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import mmap
 import os
+import sys
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -378,6 +381,21 @@ def vocabulary_size(documents: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
+def _tidy(work):
+    """``work`` that hands freed memory back after every group, so that a worker's size does not grow."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = work(*tables)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+        return out
+
+    if len(inspect.signature(work).parameters) == 2:  # Spark looks at the number of arguments
+        return lambda left, right: run(left, right)
+    return lambda table: run(table)
+
+
 def score_documents(documents: DataFrame, k: float = 6.0, chunk_bytes: int = 8_000_000, chunks_per_shard: int = 1) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -422,6 +440,7 @@ def score_documents(documents: DataFrame, k: float = 6.0, chunk_bytes: int = 8_0
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
+    ask, reply, finish = _tidy(ask), _tidy(reply), _tidy(finish)
     blobs = ", ".join(f"{m} binary" for m in _MESSAGE)
     asked = dealt.groupBy("chunk").applyInArrow(ask, f"shard int, chunk int, {blobs}")
     replied = asked.groupBy("shard").applyInArrow(reply, "chunk int, shard int, counts binary, pair_codes binary, next_codes binary")
