@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,14 @@ def epoch_ms(df: DataFrame, name: str) -> Column:
     return F.unix_millis(F.col(name))
 
 
+def instant(df: DataFrame, name: str, ms: int) -> Column:
+    """An epoch millisecond as a value of the type of a timestamp column."""
+    if isinstance(df.schema[name].dataType, T.TimestampNTZType):
+        moment = datetime(1970, 1, 1) + timedelta(milliseconds=ms)
+        return F.expr(f"timestamp_ntz'{moment.isoformat(' ')}'")
+    return F.timestamp_millis(F.lit(ms))
+
+
 def third_window(base: int, span: int) -> tuple[int, int]:
     """The middle third of ``[base, base + span)``, in whole milliseconds."""
     return base + span // 3, base + 2 * span // 3

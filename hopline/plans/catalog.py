@@ -222,12 +222,13 @@ def _(spark, sf_dir):
 
 @query("flt_01")
 def _(spark, sf_dir):
-    return filters.point_lookup(_graph(spark, sf_dir), PART)
+    return filters.point_lookup(commerce.commerce_graph(spark, sf_dir, ids=[PART]), PART)
 
 
 @query("flt_02")
 def _(spark, sf_dir):
-    return filters.edges_between(_graph(spark, sf_dir), TS_LO, TS_HI)
+    graph = commerce.commerce_graph(spark, sf_dir, window=(TS_LO, TS_HI))
+    return filters.edges_between(graph, TS_LO, TS_HI)
 
 
 @query("flt_03")
@@ -271,7 +272,7 @@ def _(spark, sf_dir):
 
 @query("trv_01")
 def _(spark, sf_dir):
-    return traverse.walk_rows(_graph(spark, sf_dir), START, 1)
+    return traverse.walk_rows(commerce.commerce_graph(spark, sf_dir, sources=[START]), START, 1)
 
 
 @query("trv_01_checked")
@@ -281,7 +282,7 @@ def _(spark, sf_dir):
 
 @query("trv_02")
 def _(spark, sf_dir):
-    return traverse.ends(_graph(spark, sf_dir), PART, 1)
+    return traverse.ends(commerce.commerce_graph(spark, sf_dir, sources=[PART]), PART, 1)
 
 
 @query("trv_03")
@@ -325,7 +326,8 @@ def _(spark, sf_dir):
 
 
 def _slice(spark, sf_dir) -> PropertyGraph:
-    return traverse.time_slice(_graph(spark, sf_dir), TS_LO, TS_HI)
+    graph = commerce.commerce_graph(spark, sf_dir, window=(TS_LO, TS_HI))
+    return traverse.time_slice(graph, TS_LO, TS_HI)
 
 
 @query("tmp_01")

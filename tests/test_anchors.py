@@ -113,3 +113,20 @@ def test_summary(spark):
         "signup": (2017, 0.05, 35.92, 151.77, 351.44),
         "view": (1982, 0.02, 33.835, 143.8, 337.16),
     }
+
+
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookups_reach_the_scans(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    part = commerce.node_id("part", 7)
+    node = commerce.commerce_graph(spark, sf_dir, ids=[part]).nodes
+    assert "EqualTo(p_partkey,7)" in _scans(node) and "orders.parquet" not in _scans(node)
+    edges = commerce.commerce_graph(spark, sf_dir, sources=[part, part + 1]).edges
+    assert "In(l_partkey, [7,8])" in _scans(edges) and "orders.parquet" not in _scans(edges)
+    window = commerce.commerce_graph(spark, sf_dir, window=(820454400000, 946684800000)).edges
+    assert "GreaterThanOrEqual(l_shipdate" in _scans(window) and "nation.parquet" not in _scans(window)
+    every = commerce.commerce_graph(spark, sf_dir).edges
+    assert _scans(every).count("lineitem.parquet") == 1
