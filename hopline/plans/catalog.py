@@ -153,6 +153,16 @@ def _customer_versions(spark, sf_dir) -> DataFrame:
     )
 
 
+@query("ing_05_stored")
+def _(spark, sf_dir):
+    """Two batches put into a stored table, the first delivered again."""
+    edges, path = _graph(spark, sf_dir).edges, scratch_path(spark, "upserts")
+    first = edges.where(F.col("ts") % 2 == 0)
+    for batch in (first, edges.where(F.col("ts") % 2 != 0), first):
+        stored = tables.upsert(batch, path, EDGE_KEY, "ts")
+    return stored.select(*EDGE_KEY, "ts")
+
+
 @query("ing_06")
 def _(spark, sf_dir):
     versions = _customer_versions(spark, sf_dir)

@@ -237,6 +237,7 @@ SELECT 'dst', dst, count(*) FROM e WHERE dst NOT IN (SELECT id FROM k) GROUP BY
 SELECT 'src' AS side, src AS node, count(*) AS n FROM e WHERE src NOT IN (SELECT id FROM n) GROUP BY src
 UNION ALL
 SELECT 'dst', dst, count(*) FROM e WHERE dst NOT IN (SELECT id FROM n) GROUP BY dst""",
+    "ing_05_stored": LATEST,
     "ing_09": LATEST,
     "ing_09_chunks": LATEST,
     "ing_10": f"{SUMMARY} SELECT * FROM m",

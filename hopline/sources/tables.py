@@ -136,6 +136,45 @@ def latest_per_key(
     return latest.select(*[c for c in df.columns if c in {*keys, sequence, *rest}])
 
 
+def _stored_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions of a stored keyed table, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    done = [n for n in names if n.startswith("version-")]
+    mark = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(n[8:]) for n in done if files.exists(mark(f"{path}/{n}/_SUCCESS")))
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The newest finished version of a table that :func:`upsert` keeps."""
+    return spark.read.parquet(f"{path}/version-{_stored_versions(spark, path)[-1]}")
+
+
+def upsert(batch: DataFrame, path: str, keys: Sequence[str], sequence: str) -> DataFrame:
+    """Put a batch into a stored table with one row per key, and return the table.
+
+    The new table is written beside the old one and counts once it is finished, so a
+    job that fails leaves the old one, readers of it are not disturbed, and a batch that
+    is delivered twice changes nothing. The version before the last is kept, earlier
+    ones are removed. One writer at a time.
+    """
+    spark = batch.sparkSession
+    versions = _stored_versions(spark, path)
+    rows = batch
+    if versions:
+        rows = read_stored(spark, path).unionByName(batch)
+    number = versions[-1] + 1 if versions else 1
+    latest_per_key(rows, keys, sequence).write.mode("overwrite").parquet(f"{path}/version-{number}")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for old in versions[:-1]:
+        gone = hadoop(f"{path}/version-{old}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return read_stored(spark, path)
+
+
 def array_shape(df: DataFrame, column: str, dim: int, element: T.DataType | None = None) -> DataFrame:
     """``column`` cast to an array of ``element``; a vector of another length fails the job."""
     element = element or T.FloatType()
