@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -207,13 +208,17 @@ def features(page: Page) -> np.ndarray:
         total[nodes[i].parent] += total[i]
     before = np.concatenate(([0], np.cumsum([x.own for x in nodes])[:-1]))
     whole = max(total[0, 0], 1)
+    places, alike = [0] * n, [1] * n  # of each block among its siblings, counted once per parent
+    for x in nodes:
+        tags = Counter(nodes[k].tag for k in x.children)
+        for place, k in enumerate(x.children):
+            places[k], alike[k] = place, tags[nodes[k].tag]
     out = np.zeros((n, len(FEATURES)))
     above: list[tuple] = []
     for i, x in enumerate(nodes):
         chars, linked, words, marks, inputs, links, blocks = total[i]
         up = nodes[x.parent] if x.parent >= 0 else x
-        beside = up.children if x.parent >= 0 else [i]
-        place = beside.index(i) if len(beside) < 64 else 0
+        beside = len(up.children) if x.parent >= 0 else 1
         bad = [bool(x.tokens & b) for b in BAD.values()]
         inherited = above[x.parent] if x.parent >= 0 else (False,) * (len(BAD) + 4)
         flags = (
@@ -225,10 +230,10 @@ def features(page: Page) -> np.ndarray:
         )
         above.append(flags)
         parent_chars = max(total[x.parent][0], 1) if x.parent >= 0 else whole
-        sibling_chars = [total[k][0] for k in beside] if len(beside) < 64 else [chars]
+        sibling_chars = total[x.parent][0] - up.own if x.parent >= 0 else chars
         out[i] = [
-            x.depth, len(x.children), len(beside), place / max(len(beside) - 1, 1), sum(nodes[k].tag == x.tag for k in beside[:64]) / len(beside[:64]),
-            chars, x.own, words, chars / whole, chars / parent_chars, chars / max(blocks, 1), chars / max(sum(sibling_chars) / len(sibling_chars), 1),
+            x.depth, len(x.children), beside, places[i] / max(beside - 1, 1), alike[i] / beside,
+            chars, x.own, words, chars / whole, chars / parent_chars, chars / max(blocks, 1), chars / max(sibling_chars / beside, 1),
             linked / max(chars, 1), links / max(words, 1), marks / max(words, 1), words / max(marks + 1, 1), inputs, before[i] / whole,
             *flags, *bad, bool(x.tokens & GOOD), *(_GROUP.get(x.tag, x.tag) == t for t in TAGS[:-1]), *(_GROUP.get(up.tag, up.tag) == t for t in TAGS[:-1]),
         ]
@@ -326,10 +331,31 @@ def _noise(r: random.Random, where: str) -> str:
     return made[kind]()
 
 
-def labelled_page(r: random.Random) -> str:
-    """A page whose noise is marked ``data-x`` and whose main part is marked ``data-main``."""
+def _crowd(r: random.Random) -> str:
+    """A long list of links or of comments, marked like other noise."""
+    n = r.randint(65, 200)
+    if r.random() < 0.5:
+        links = [f'<a href="/{k}">{_sentence(r, 1, 4)[:-1]}</a>' for k in range(n)]
+        t, (item, outer) = r.choice(["nav", "div"]), r.choice([("li", "ul"), ("p", "div"), ("div", "div")])
+        inner = "".join(f"<{item}>{x}</{item}>" for x in links)
+        return f"<{t} data-x{_attr(r, 'nav menu related tags popular')}><{outer}>{inner}</{outer}></{t}>"
+    comment = r.choice([lambda: f"<div class=comment><p>{_prose(r, 1, 3)}</p></div>", lambda: f"<li>{_prose(r, 1, 3)}</li>", lambda: f"<p>{_prose(r, 1, 3)}</p>"])
+    return f"<{(t := r.choice(['div', 'section', 'ol']))} data-x{_attr(r, 'comments comment-list discussion replies')}>{''.join(comment() for _ in range(n))}</{t}>"
+
+
+def long_page(r: random.Random) -> str:
+    """A labelled page in which some block has 65 children or more: its main part, noise or both."""
+    kind = r.choice(["main", "noise", "both"])
+    return labelled_page(r, r.randint(65, 200) if kind != "noise" else 0, _crowd(r) if kind != "main" else "")
+
+
+def labelled_page(r: random.Random, items: int = 0, noise: str = "") -> str:
+    """A page whose noise is marked ``data-x`` and whose main part is marked ``data-main``.
+
+    The main part has ``items`` parts (0: a few); ``noise`` follows it.
+    """
     body = [f"<h{(k := r.choice([1, 1, 2]))}>{_sentence(r, 2, 10)[:-1]}</h{k}>"] if r.random() < 0.8 else []
-    for _ in range(r.choice([1, 2, 3, 5, 8, 14])):
+    for _ in range(items or r.choice([1, 2, 3, 5, 8, 14])):
         body.append(
             r.choices(
                 [
@@ -352,7 +378,7 @@ def labelled_page(r: random.Random) -> str:
     if r.random() < 0.3:
         main = f"<div{_attr(r, 'wrapper container page row')}>{main}{_noise(r, 'bottom') if r.random() < 0.5 else ''}</div>"
     top = "".join(_noise(r, "top") for _ in range(r.randint(0, 3)))
-    bottom = "".join(_noise(r, "bottom") for _ in range(r.randint(0, 3)))
+    bottom = noise + "".join(_noise(r, "bottom") for _ in range(r.randint(0, 3)))
     end = r.choice(["</body></html>", ""])
     return f"<!DOCTYPE html><html><head><title>{_sentence(r)}</title><style>p{{a:b}}</style></head><body>{top}{main}{bottom}<script>var a='<p>';</script>{end}"
 
@@ -370,10 +396,10 @@ def _labels(source: str) -> tuple[Page, np.ndarray]:
     return page, np.array([a and not b for a, b in zip(inside, noise, strict=True)], float)
 
 
-def fit(pages: int = 500, trees: int = 50, seed: int = 5) -> Boosted:
-    """Trees from ``pages`` generated pages of mixed layouts; some kilobytes."""
+def fit(pages: int = 500, trees: int = 50, seed: int = 5, long_pages: int = 30) -> Boosted:
+    """Trees from generated pages of mixed layouts, ``long_pages`` of them beside ``pages``; some kilobytes."""
     r = random.Random(seed)
-    made = [_labels(labelled_page(r)) for _ in range(pages)]
+    made = [_labels(labelled_page(r)) for _ in range(pages)] + [_labels(long_page(r)) for _ in range(long_pages)]
     return Boosted.fit(np.concatenate([features(p) for p, _ in made]), np.concatenate([y for _, y in made]), trees)
 
 

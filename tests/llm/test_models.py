@@ -167,6 +167,33 @@ def test_html_layouts_and_odd_pages(spark):
     assert len(out) == 6 and all(r.text == "" for r in out if r.page_id in (2, 3))
 
 
+def test_html_sibling_features_of_long_lists():
+    name = {f: k for k, f in enumerate(html_extract.FEATURES)}
+    for n in (5, 63, 64, 65, 185):
+        tags = ["p" if k < n // 2 or k % 3 else "div" for k in range(n)]
+        page = html_extract.parse("<section>own text" + "".join(f"<{t}>{'x' * (k + 1)}</{t}>" for k, t in enumerate(tags)) + "</section>")
+        rows = html_extract.features(page)[2:]
+        mean = sum(range(1, n + 1)) / n
+        for k, row in enumerate(rows):
+            assert row[name["siblings"]] == n and row[name["place"]] == k / (n - 1)
+            assert row[name["alike"]] == tags.count(tags[k]) / n
+            assert abs(row[name["over_siblings"]] - (k + 1) / mean) < 1e-12
+
+
+def test_html_long_pages():
+    model, rng = html_extract.fit(), random.Random(98)
+    right = found = wanted = 0
+    for _ in range(40):
+        marked = html_extract.long_page(rng)
+        page, labels = html_extract._labels(marked)
+        assert max(len(x.children) for x in page.nodes) > 64
+        want = html_extract.text_of_states(page, [1 if y else 2 for y in labels]).split()
+        got = html_extract.extract([re.sub(r" data-(x|main)", "", marked)], model)[0].split()
+        both = sum((collections.Counter(want) & collections.Counter(got)).values())
+        right, found, wanted = right + both, found + len(got), wanted + len(want)
+    assert right >= 0.95 * found and right >= 0.97 * wanted
+
+
 def test_decoding_never_contradicts_an_ancestor():
     rng = np.random.default_rng(3)
     page = html_extract.parse("<div><p>a</p><div><p>b<ul><li>c<li>d</ul></div></div><p>e")
