@@ -1,5 +1,6 @@
 """Quality rules, licenses, personal data, decontamination on odd inputs, against plain loops."""
 
+import itertools
 import random
 import re
 
@@ -169,3 +170,36 @@ def test_overlaps_against_every_alignment(documents, spark):
     few = decontaminate.Seeds(broadcast_rows=1)
     assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(table, bench, few).collect()} == want
     assert decontaminate.overlaps(table.limit(0), bench).count() == 0 and decontaminate.overlaps(table, bench.limit(0)).count() == 0
+
+
+def test_masks_hit_whatever_passes():
+    for seeds in (decontaminate.Seeds(), decontaminate.Seeds(least_percent=70), decontaminate.Seeds(masks=("1101110010", "1011010011")), decontaminate.Seeds(patterns=0)):
+        for n in range(5, 24):
+            size = min(n, seeds.window)
+            masks = seeds.masks_for(n)
+            for gone in itertools.combinations(range(size), size * (100 - seeds.least_percent) // 100):
+                assert any(all(s + k not in gone for k, c in enumerate(m) if c == "1") for m in masks for s in range(size - len(m) + 1)), (n, gone)
+    assert decontaminate.Seeds().masks_for(20) == decontaminate.Seeds.masks
+
+
+def test_every_overlap_that_passes_is_found(documents, spark):
+    """Without regard to seeds: each way to replace or cut off a fifth of an item's words."""
+    rng = random.Random(12)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (5, 6, 9, 10, 11, 12, 15, 16, 20, 33)}
+    docs, want = {}, set()
+    for n, x in items.items():
+        size = min(n, 20)
+        ways = list(itertools.combinations(range(size), size // 5))
+        for gone in ways if len(ways) < 100 else rng.sample(ways, 100):
+            first = rng.randint(0, n - size)
+            words = [f"zz{j}" if j in gone else w for j, w in enumerate(x[first : first + size])]
+            docs[len(docs)] = ["a"] * rng.randint(0, 3) + words + ["b"] * rng.randint(0, 3)
+            want.add((len(docs) - 1, n))
+        for k in range(size // 5 + 1):
+            docs[len(docs)] = x[k : size - size // 5 + k]
+            want.add((len(docs) - 1, n))
+        for gone in rng.sample(list(itertools.combinations(range(size), size // 5 + 1)), 5):
+            docs[len(docs)] = [f"zz{j}" if j in gone else w for j, w in enumerate(x[:size])]
+    table = documents([(d, " ".join(w)) for d, w in docs.items()])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(table, bench).collect()} == want
