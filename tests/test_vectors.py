@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hopline.functions.vectors import cosine_distance, l2_normalize, vector_literal
 from hopline.operators import cells, checks, knn
+from hopline.plans.catalog import CATALOG
 from hopline.plans.limits import Limits
 from hopline.sources import tables
 
@@ -134,3 +135,15 @@ def test_partial_probe_reads_few_cells_and_recall_grows(spark, rows, index):
     one = cells.nearest_in_cells(spark, index, random_rows(1, 4)[0][1], 5, 1)
     plan = one._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [(cell" in plan
+
+
+def test_catalogue_probes_find_nine_tenths(spark, monkeypatch):
+    recalls, probed = [], []
+    recall, one = cells.recall, cells.nearest_in_cells
+    monkeypatch.setattr(cells, "recall", lambda *a: recalls.append(recall(*a)) or recalls[-1])
+    monkeypatch.setattr(cells, "nearest_in_cells", lambda *a: probed.append(a[-1]) or one(*a))
+    row = CATALOG["vec_08_probe"](spark, "/root/testdata/sf0.01").first()
+    found = recalls[0].agg(F.count("*").alias("n"), F.avg("recall").alias("recall")).first()
+    assert row.enough and row.n_queries == found.n and found.recall >= 0.9
+    assert CATALOG["vec_07_probe"](spark, "/root/testdata/sf0.01").first().n_right == 10
+    assert probed == [12]
