@@ -75,3 +75,75 @@ v AS (SELECT reached.node, bool_or(s.own.verdict = 'block') AND NOT bool_or(s.ow
 SELECT page_id, u.host, u.path, own.own.rule AS rule,
   coalesce(own.own.verdict, CASE WHEN v.blocked THEN 'block' END, 'allow') AS verdict
 FROM u LEFT JOIN own ON own.i = u.i LEFT JOIN v ON v.node = u.key"""
+
+
+def topk_search(k: int = 20, scale: int = 64) -> str:
+    return f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(coalesce(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
+
+
+def conversation_repair() -> str:
+    """The cheapest audit row by row: a state is 12 digits of cost, the audit, a bar and the repaired text."""
+    space = r"\x20\x09-\x0D"
+
+    def edit(state: str, cost: str, letter: str, line: str | None = None) -> str:
+        text = f"substr({state}, strpos({state}, '|') + 1)"
+        if line:
+            text = f"CASE WHEN {text} = '' THEN '' ELSE {text} || chr(10) END || {line}"
+        return f"""CASE WHEN {state} = '~' THEN '~' ELSE printf('%012d', CAST({state}[1:12] AS BIGINT) + {cost}) ||
+      {state}[13:strpos({state}, '|') - 1] || '{letter}|' || {text} END"""
+
+    def kept(state: str, initial: str, name: str | None) -> list[str]:
+        offers = [f"CASE WHEN w.must OR w.initial <> '{initial}' THEN '~' ELSE {edit(state, 'w.more', 'K', 'w.line')} END"]
+        if name:
+            line = f"'{name}:' || w.text"
+            offers += [f"CASE WHEN w.must THEN '~' ELSE {edit(state, '1 + w.more', 'R', line)} END"]
+        return offers
+
+    least = lambda *offers: f"least({', '.join(offers)})"
+    gone = lambda state: edit(state, "2", "D")
+    user = [offer for s in ("p.a", "p.b", "p.d") for offer in kept(s, "u", "user")]
+    insert = lambda state, name: edit(state, "5", "I", f"'{name}:'")
+    return f"""WITH RECURSIVE one AS (
+  SELECT i, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) t(i) UNION ALL
+  SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM one WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM one WHERE k = 8),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+name AS (SELECT DISTINCT name FROM given),
+hashed AS (SELECT name, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM name UNION ALL
+  SELECT name, i + 1, xor(c >> 8, t[CAST((xor(c, CAST(ascii(substr(name, i + 1, 1)) AS BIGINT)) & 255) + 1 AS INTEGER)])
+  FROM hashed, crc WHERE i < length(name)),
+code AS (SELECT name, xor(c, 4294967295) % 20 AS code FROM hashed WHERE i = length(name)),
+hurt AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM given JOIN code USING (name) WHERE code <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+    NOT regexp_matches(text, '[^{space}]') AS blank, NOT regexp_matches(text, '[.!?][{space}]*$') AS cut_off FROM hurt),
+w AS (SELECT conv_id, pos, turn, text, role[1:1] AS initial, role || ':' || text AS line, blank OR seen AS must,
+    CASE WHEN cut_off THEN 5 ELSE 0 END AS more, blank, seen AND NOT blank AS duplicate, cut_off AND NOT blank AND NOT seen AS truncated,
+    lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY pos) || role[1:1] AS pair FROM placed),
+c AS (SELECT DISTINCT conv_id FROM conversations),
+best(conv_id, pos, a, b, c, d) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), '000000000000|', '~', '000000000005I|user:', '000000000010II|user:' || chr(10) || 'assistant:' FROM c
+  UNION ALL
+  SELECT conv_id, pos, a, b, c, {least("d", insert("c", "assistant"))} FROM (
+    SELECT conv_id, pos, a, b, {least("c", *(insert(s, "user") for s in ("a", "b", "d")))} AS c, d FROM (
+      SELECT p.conv_id, w.pos, {gone("p.a")} AS a, {least(gone("p.b"), *kept("p.a", "s", None))} AS b,
+        {least(gone("p.c"), *user)} AS c, {least(gone("p.d"), *kept("p.c", "a", "assistant"))} AS d
+      FROM best p JOIN w ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND w.pos = p.pos + 1))),
+done AS (SELECT conv_id, arg_max(least(a, d), pos) AS v FROM best GROUP BY conv_id),
+n AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY conv_id)
+SELECT CAST(done.conv_id AS BIGINT) AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(v[1:12] AS BIGINT) AS cost,
+  v[13:strpos(v, '|') - 1] AS audit, sha256(substr(v, strpos(v, '|') + 1)) AS repaired_sha256
+FROM done LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM done.conv_id"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import bpe, chat, decontaminate, html_extract, jaccard, language_model, licenses, oracle, pii, quality, url_filter
+from hopline.llm import bpe, chat, conversation_repair, decontaminate, html_extract, jaccard, language_model, licenses, oracle, pii, quality, topk_search, url_filter, whitening
 from hopline.llm.common import table
 
 URL_RULES = [
@@ -86,10 +86,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_rules, op3_lm_score, op4_bpe, op5_personal_data, op6_decontaminate, op7_jaccard_join, op8_license_scan, op9_chat_format, op10_url_filter)}
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.audits(damaged, F.col("gone"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_rules, op3_lm_score, op4_bpe, op5_personal_data, op6_decontaminate, op7_jaccard_join, op8_license_scan, op9_chat_format, op10_url_filter, op11_topk_search, op12_whitening, op13_conversation_repair)}
 
 ORACLE = {
     "op7_jaccard_join": oracle.jaccard(),
     "op9_chat_format": oracle.chat(HOSTILE),
     "op10_url_filter": oracle.url_filter(URL_RULES),
+    "op11_topk_search": oracle.topk_search(),
+    "op13_conversation_repair": oracle.conversation_repair(),
 }
