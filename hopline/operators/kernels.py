@@ -106,8 +106,11 @@ def task_tops(query_ids, query_units, k: int, dim: int):
     return run
 
 
-def group_tops(k: int, dim: int):
-    """The function of one group: its queries and its corpus rows in, the best rows per query out."""
+def group_tops(k: int, dim: int, decode=None):
+    """The function of one group: its queries and its corpus rows in, the best rows per query out.
+
+    ``decode`` makes row vectors from the corpus table, if they are not in its ``vector`` column.
+    """
 
     def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
         query_ids = queries.column("query_id").to_numpy()
@@ -116,7 +119,8 @@ def group_tops(k: int, dim: int):
             query_units = unit_rows(matrix(queries.column("vector"), dim))
             ids = corpus.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            ids, units = ids[order], unit_rows(matrix(corpus.column("vector"), dim))[order]
+            units = decode(corpus) if decode else unit_rows(matrix(corpus.column("vector"), dim))
+            ids, units = ids[order], units[order]
             everyone = np.arange(len(query_ids))
             rows = max(1, min(len(ids), BLOCK // 256))
             width = max(1, BLOCK // rows)
@@ -137,17 +141,91 @@ def group_tops(k: int, dim: int):
     return run
 
 
-def task_probes(centroids, dim: int, nprobe: int):
+def task_pairs(dim: int):
+    """The function a task runs: ``(query_id, asked, id, vector)`` in, their distances out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked, rows = (unit_rows(matrix(batch.column(c), dim)) for c in (1, 3))
+            steps = np.rint((1.0 - np.einsum("ij,ij->i", asked, rows)) * 10.0**DISTANCE_DECIMALS)
+            usable = pa.array(np.flatnonzero(~np.isnan(steps)))
+            distance = pa.array(steps / 10.0**DISTANCE_DECIMALS)
+            yield pa.RecordBatch.from_arrays(
+                [c.take(usable) for c in (batch.column(0), batch.column(2), distance)],
+                names=["query_id", "id", "distance"],
+            )
+
+    return run
+
+
+class Cells:
+    """Centroids of the cells, and short codes for what a row differs from its centroid.
+
+    A code has one byte per stretch of a vector: the number of the nearest of that
+    stretch's ``values``, an array of (stretches, values, width).
+    """
+
+    def __init__(self, numbers: np.ndarray, centroids: np.ndarray, values: np.ndarray | None = None):
+        self.numbers, self.centroids, self.values = numbers, centroids, values
+
+    def stretches(self, rest: np.ndarray, parts: int) -> np.ndarray:
+        return rest.reshape(len(rest), parts, -1)
+
+    def encode(self, units: np.ndarray, cell_at: np.ndarray) -> np.ndarray:
+        rest = self.stretches(units - self.centroids[cell_at], len(self.values))
+        codes = np.empty(rest.shape[:2], dtype=np.uint8)
+        for m, values in enumerate(self.values):
+            codes[:, m] = np.argmin((values**2).sum(1) - 2.0 * rest[:, m] @ values.T, axis=1)
+        return codes
+
+    def decode(self, corpus: pa.Table) -> np.ndarray:
+        """Near enough unit vectors of rows ``(vector: code, cell)``, all of one cell."""
+        parts = len(self.values)
+        raw = b"".join(corpus.column("vector").to_pylist())
+        codes = np.frombuffer(raw, dtype=np.uint8).reshape(-1, parts)
+        at = np.flatnonzero(self.numbers == corpus.column("cell")[0].as_py())[0]
+        rest = self.values[np.arange(parts), codes].reshape(len(codes), -1)
+        return self.centroids[at] + rest
+
+
+def group_code_tops(k: int, dim: int, cells):
+    """:func:`group_tops` over codes instead of vectors; ``cells`` is a broadcast of :class:`Cells`."""
+    return group_tops(k, dim, lambda corpus: cells.value.decode(corpus))
+
+
+def task_code_tops(cells, unit, k: int):
+    """The function a task runs: ``(id, vector: code, cell)`` in, its rows nearest to one query out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = Tops(1, k)
+        for batch in batches:
+            own = batch.column("cell").to_numpy()
+            for cell in np.unique(own):
+                part = pa.Table.from_batches([batch.take(pa.array(np.flatnonzero(own == cell)))])
+                ids = part.column("id").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                rows = cells.value.decode(part)[order]
+                tops.add(np.zeros(1, dtype=np.int64), *block_best(ids[order], rows, unit, k))
+        found = np.flatnonzero(tops.steps[0] < NO_DISTANCE)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(tops.ids[0, found]), pa.array(tops.steps[0, found] / 10.0**DISTANCE_DECIMALS)],
+            names=["id", "distance"],
+        )
+
+    return run
+
+
+def task_probes(cells, dim: int, nprobe: int):
     """The function a task runs: ``(query_id, vector)`` in, a row per query and probed cell out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ways = centroids.value.T
+        ways, numbers = cells.value.centroids.T, cells.value.numbers
         for batch in batches:
             units = unit_rows(matrix(batch.column(1), dim))
             choice = np.argsort(-(units @ ways), axis=1, kind="stable")[:, :nprobe]
             usable = np.flatnonzero(~np.isnan(units).any(axis=1))
             at = pa.array(np.repeat(usable, choice.shape[1]))
-            cell = pa.array(choice[usable].ravel().astype(np.int32))
+            cell = pa.array(numbers[choice[usable].ravel()].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), cell], names=["query_id", "vector", "cell"]
             )
@@ -155,26 +233,205 @@ def task_probes(centroids, dim: int, nprobe: int):
     return run
 
 
-def task_cells(centroids, dim: int, no_cell: int):
-    """The function a task runs: ``(id, vector)`` batches in, the same with a cell appended."""
+def _codes(codes: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary array."""
+    ends = pa.py_buffer(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(codes), [None, ends, pa.py_buffer(codes.tobytes())])
+
+
+def task_cells(cells, dim: int, no_cell: int, copies: int = 1, among=None):
+    """The function a task runs: ``(id, embedding)`` in, ``(id, embedding, nth, code, cell)`` out.
+
+    A row comes once for each of its ``copies`` nearest cells, numbered by ``nth``. With
+    ``among`` a row, which then has further columns ``(nth, cell)``, goes to the nearest of
+    the cells that replace its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ways = centroids.value.T
+        known = cells.value
         for batch in batches:
-            ids, vectors = batch.columns
+            ids, vectors = batch.columns[:2]
             length = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
             fitting = np.flatnonzero(length == dim)
             units = unit_rows(matrix(vectors.take(pa.array(fitting)), dim))
             usable = ~np.isnan(units).any(axis=1)
-            cell = np.full(batch.num_rows, no_cell, dtype=np.int32)
-            cell[fitting[usable]] = np.argmax(units[usable] @ ways, axis=1)
+            fitting, units = fitting[usable], units[usable]
+            near = units @ known.centroids.T
+            if among is None:
+                rest = np.setdiff1d(np.arange(batch.num_rows), fitting)
+                if copies == 1:
+                    order = np.argmax(near, axis=1)[:, None]
+                else:
+                    order = np.argsort(-near, axis=1, kind="stable")[:, :copies]
+                at, row = order.T.ravel(), np.tile(np.arange(len(fitting)), order.shape[1])
+                nth = np.repeat(np.arange(order.shape[1]), len(fitting))
+            else:
+                rest = np.zeros(0, dtype=np.int64)
+                old = batch.column(3).to_numpy()[fitting]
+                allowed = np.array([[n in among[c] for n in known.numbers.tolist()] for c in sorted(among)])
+                near[~allowed[np.searchsorted(sorted(among), old)]] = -np.inf
+                at, row = np.argmax(near, axis=1), np.arange(len(fitting))
+                nth = batch.column(2).to_numpy()[fitting]
+            take = pa.array(np.concatenate([fitting[row], rest]))
+            if known.values is None or not len(row):
+                code = pa.nulls(len(take), pa.binary())
+            else:
+                code = _codes(known.encode(units[row], at))
+                code = pa.concat_arrays([code, pa.nulls(len(rest), pa.binary())])
+            cell = np.concatenate([known.numbers[at], np.full(len(rest), no_cell)]).astype(np.int32)
+            nth = np.concatenate([nth, np.zeros(len(rest), dtype=np.int64)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [ids, vectors, pa.array(cell)], names=[*batch.schema.names, "cell"]
+                [ids.take(take), vectors.take(take), pa.array(nth), code, pa.array(cell)],
+                names=["id", "embedding", "nth", "code", "cell"],
             )
 
     return run
 
 
+def task_stretches(cells, dim: int, parts: int):
+    """The function a task runs: ``(id, embedding)`` in, ``(part, rows)`` out: what is left of the
+    rows without their centroids, stretch by stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = unit_rows(matrix(batch.column(1), dim))
+            at = np.argmax(units @ cells.value.centroids.T, axis=1)
+            rest = cells.value.stretches(units - cells.value.centroids[at], parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(parts, dtype=np.int32)), pa.array([rest[:, m].tobytes() for m in range(parts)], pa.binary())],
+                names=["part", "rows"],
+            )
+
+    return run
+
+
+def means(rows: np.ndarray, n: int, rounds: int, seed: int) -> np.ndarray:
+    """``n`` centres of ``rows`` by Lloyd's rounds, fewer if there are fewer rows."""
+    start = np.random.default_rng(seed).permutation(len(rows))[:n]
+    centres = rows[np.sort(start)].copy()
+    for _ in range(rounds):
+        own = np.argmin((centres**2).sum(1) - 2.0 * rows @ centres.T, axis=1)
+        held = np.bincount(own, minlength=len(centres))
+        for d in range(rows.shape[1]):
+            total = np.bincount(own, weights=rows[:, d], minlength=len(centres))
+            centres[held > 0, d] = total[held > 0] / held[held > 0]
+    return centres
+
+
+def group_means(key: str, n: int, width: int, rounds: int = 10, seed: int = 42):
+    """The function of one group of ``(key, rows)``: its centres, as one row ``(key, values)``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(table.column("rows").to_pylist())).reshape(-1, width)
+        values = means(rows, n, rounds, seed).ravel()
+        return pa.table(
+            {key: table.column(key).slice(0, 1).cast(pa.int32()), "values": pa.array([values.tolist()], pa.list_(pa.float64()))}
+        )
+
+    return run
+
+
+def task_units(dim: int):
+    """The function a task runs: ``(cell, embedding)`` in, ``(cell, rows)`` out: packed unit vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, units = batch.column(0).to_numpy(), unit_rows(matrix(batch.column(1), dim))
+            cells = np.unique(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cells.astype(np.int32)), pa.array([units[own == c].tobytes() for c in cells], pa.binary())],
+                names=["cell", "rows"],
+            )
+
+    return run
+
+
+def task_blocks(dim: int, most: int):
+    """The function a task runs: ``(id, embedding, cell)`` by cell in, blocks of one cell out."""
+
+    def block(cell: int, ids: list[np.ndarray], units: list[np.ndarray]) -> pa.RecordBatch:
+        ids, units = np.concatenate(ids), np.concatenate(units)
+        order = np.argsort(ids, kind="stable")
+        middle = units.mean(axis=0)
+        length = np.sqrt(middle @ middle)
+        middle = middle / length if length > 0 else units[0]
+        widest = np.arccos(np.clip(units @ middle, -1.0, 1.0)).max()
+        values = [cell], [ids[order].tobytes()], [units[order].tobytes()], [middle.tobytes()], [widest]
+        kinds = pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(v, t) for v, t in zip(values, kinds)], names=["cell", "ids", "rows", "middle", "widest"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ids, units = None, 0, [], []
+        for batch in batches:
+            own = batch.column(2).to_numpy()
+            first = 0
+            while first < len(own):
+                if held and (own[first] != now or held == most):
+                    yield block(now, ids, units)
+                    held, ids, units = 0, [], []
+                now = int(own[first])
+                last = first + int(np.searchsorted(own[first:] != now, True))
+                last = min(last, first + most - held)
+                part = batch.slice(first, last - first)
+                ids.append(part.column(0).to_numpy())
+                units.append(unit_rows(matrix(part.column(1), dim)))
+                held, first = held + last - first, last
+        if held:
+            yield block(now, ids, units)
+
+    return run
+
+
+#: Added to bounds before a block is skipped: rounding of reported distances and of angles.
+SLACK = 2 * 10.0**-DISTANCE_DECIMALS
+
+
+def task_block_tops(given, k: int, dim: int, count: bool = False):
+    """The function a task runs: packed blocks in, its best rows per query of the caller out.
+
+    ``given`` is a broadcast of ids, unit vectors, and either the only cell that each query
+    is compared with or the bounds beyond which blocks are skipped. With ``count`` the pairs
+    that are compared and all pairs come out instead.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, units_of, own, bounds = given.value
+        tops = Tops(len(ids_of), k)
+        compared = pairs = 0
+        for batch in batches:
+            for cell, ids, rows, middle, widest in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(ids, dtype=np.int64)
+                units = np.frombuffer(rows).reshape(len(ids), dim)
+                if own is not None:
+                    wanted = np.flatnonzero(own == cell)
+                else:
+                    angle = np.arccos(np.clip(units_of @ np.frombuffer(middle), -1.0, 1.0))
+                    least = 1.0 - np.cos(np.maximum(0.0, angle - widest))
+                    wanted = np.flatnonzero(least <= bounds + SLACK)
+                compared += len(wanted) * len(ids)
+                pairs += len(ids_of) * len(ids)
+                width = max(1, BLOCK // len(ids))
+                for start in range(0, 0 if count else len(wanted), width):
+                    at = wanted[start : start + width]
+                    tops.add(at, *block_best(ids, units, units_of[at], k))
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([compared]), pa.array([pairs])], names=["compared", "pairs"])
+            return
+        query_at, slot = np.nonzero(tops.steps < NO_DISTANCE)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids_of[query_at]),
+                pa.array(tops.ids[query_at, slot]),
+                pa.array(tops.steps[query_at, slot] / 10.0**DISTANCE_DECIMALS),
+            ],
+            names=["query_id", "id", "distance"],
+        )
+
+    return run
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """SplitMix64's output function on unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MULTIPLIERS[0])

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopline.operators.kernels import group_tops, task_tops, unit_rows
+from hopline.operators.kernels import group_tops, task_pairs, task_tops, unit_rows
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
 
 
@@ -44,13 +44,16 @@ def usable_queries(queries: DataFrame, query_id: str, query_vector: str, dim: in
     return usable
 
 
-def meet(asked: DataFrame, held: DataFrame, k: int, dim: int, keys: list[str], limits: Limits) -> DataFrame:
+def meet(
+    asked: DataFrame, held: DataFrame, k: int, dim: int, keys: list[str], limits: Limits, run=None
+) -> DataFrame:
     """``(query_id, id, distance)``: the best rows of every block of queries and block of corpus.
 
     Queries and corpus rows with equal ``keys`` meet. Both are cut into blocks of
     bounded size by hash; every block of queries is sent to every block of corpus
     rows of its keys, in a shuffle, and a group returns ``k`` rows per query. Neither
-    side passes through the driver or is broadcast.
+    side passes through the driver or is broadcast. ``run`` is the function of a group,
+    if it is not the exact one.
     """
     context = asked.sparkSession.sparkContext
     most = lambda df: (
@@ -71,7 +74,7 @@ def meet(asked: DataFrame, held: DataFrame, k: int, dim: int, keys: list[str], l
     return (
         asked.groupBy(*by)
         .cogroup(held.groupBy(*by))
-        .applyInArrow(group_tops(k, dim), "query_id long, id long, distance double")
+        .applyInArrow(run or group_tops(k, dim), "query_id long, id long, distance double")
     )
 
 
@@ -111,3 +114,9 @@ def ranked(tops: DataFrame, k: int) -> DataFrame:
     return best.select(
         "query_id", "id", (F.col("distance") + 0.0).alias("distance"), F.col("rank").cast("long")
     )
+
+
+def pair_distances(pairs: DataFrame, dim: int) -> DataFrame:
+    """``(query_id, id, distance)`` of rows ``(query_id, asked, id, vector)``."""
+    given = pairs.select("query_id", "asked", "id", "vector")
+    return given.mapInArrow(task_pairs(dim), "query_id long, id long, distance double")

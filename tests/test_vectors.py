@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hopline.functions.vectors import cosine_distance, l2_normalize, vector_literal
-from hopline.operators import cells, checks, knn
+from hopline.operators import cells, checks, knn, radius
 from hopline.plans.catalog import CATALOG
 from hopline.plans.limits import Limits
 from hopline.sources import tables
@@ -138,12 +138,106 @@ def test_partial_probe_reads_few_cells_and_recall_grows(spark, rows, index):
 
 
 def test_catalogue_probes_find_nine_tenths(spark, monkeypatch):
-    recalls, probed = [], []
-    recall, one = cells.recall, cells.nearest_in_cells
-    monkeypatch.setattr(cells, "recall", lambda *a: recalls.append(recall(*a)) or recalls[-1])
-    monkeypatch.setattr(cells, "nearest_in_cells", lambda *a: probed.append(a[-1]) or one(*a))
-    row = CATALOG["vec_08_probe"](spark, "/root/testdata/sf0.01").first()
-    found = recalls[0].agg(F.count("*").alias("n"), F.avg("recall").alias("recall")).first()
-    assert row.enough and row.n_queries == found.n and found.recall >= 0.9
+    probed = []
+    one = cells.nearest_in_cells
+    monkeypatch.setattr(cells, "nearest_in_cells", lambda *a: probed.append(a[-2:]) or one(*a))
+    row = CATALOG["vec_08_measured"](spark, "/root/testdata/sf0.01").first()
+    assert row.n_queries == 500 and row.recall >= 0.9 and row.compared <= 0.25
     assert CATALOG["vec_07_probe"](spark, "/root/testdata/sf0.01").first().n_right == 10
-    assert probed == [12]
+    assert probed == [(10, 100)]
+
+
+@pytest.fixture(scope="module")
+def coded(spark, rows, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("coded"))
+    df = corpus(spark, rows + ODD).repartition(4)
+    return cells.build_cells(df, path, 6, DIM, copies=2, code_bytes=4, code_sample=200)
+
+
+def test_copies_and_codes(spark, rows, coded):
+    entries = coded.entries(spark).where("cell >= 0").groupBy("id").agg(F.countDistinct("cell").alias("n"), F.max(F.length("code")).alias("c"))
+    assert {(r.n, r.c) for r in entries.collect()} == {(2, 4)}
+    assert sorted(r.id for r in coded.corpus(spark).select("id").collect()) == sorted(i for i, _ in rows + ODD)
+    again = cells.open_cells(spark, coded.path)
+    assert again.copies == 2 and (again.codes == coded.codes).all() and (again.centroids == coded.centroids).all()
+    with pytest.raises(ValueError, match="equal parts"):
+        cells.build_cells(corpus(spark, rows), coded.path + "-x", 6, DIM, code_bytes=3)
+
+
+def test_probes_of_codes(spark, rows, index, coded):
+    q = random_rows(1, seed=4)[0][1]
+    exact = knn.nearest(corpus(spark, rows), q, 10).collect()
+    assert cells.nearest_in_cells(spark, coded, q, 10, coded.cells).collect() == exact
+    assert cells.nearest_in_cells(spark, coded, q, 10, coded.cells, rerank=len(rows)).collect() == exact
+    queries = spark.createDataFrame(random_rows(25, 3), "query_id long, query_vector array<float>")
+    want = knn.nearest_many(corpus(spark, rows), queries, 5, DIM)
+    seen = []
+    for nprobe, rerank in ((2, 10), (4, 40), (6, len(rows))):
+        chosen = cells.candidates_in_cells(spark, coded, queries, nprobe, rerank, limits=Limits(query_rows=7))
+        assert chosen.groupBy("query_id").count().agg(F.max("count")).first()[0] <= rerank
+        assert chosen.distinct().count() == chosen.count()
+        found = cells.compared_in_full(spark, coded, queries, chosen, 5, limits=Limits(broadcast_rows=nprobe, query_rows=nprobe))
+        seen.append(cells.recall(found, want).agg(F.avg("recall")).first()[0])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert seen == sorted(seen) and seen[1] >= 0.8
+    full = cells.nearest_many_in_cells(spark, coded, queries, 5, coded.cells)
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError, match="no codes"):
+        cells.nearest_in_cells(spark, index, q, 10, 2, rerank=5)
+
+
+def test_a_grown_index(spark, rows, tmp_path):
+    """Crowded cells are split; whoever opened the index before still finds all it held."""
+    path, first, rest = str(tmp_path), rows[::2], rows[1::2]
+    q = random_rows(1, seed=4)[0][1]
+    old = cells.build_cells(corpus(spark, first), path, 4, DIM, copies=2, code_bytes=4)
+    drift = [(2_000 + i, [5.0 + x for x in v]) for i, v in random_rows(300, seed=7)]  # all in one direction
+    grown = cells.append_cells(old, corpus(spark, rest + drift + ODD).repartition(3), crowded=1.2, sample=100)
+    assert grown.version == 2 and grown.cells > old.cells and set(grown.numbers) - set(old.numbers)
+    grown = cells.open_cells(spark, path)
+    held = rows + drift
+    assert sorted(r.id for r in grown.corpus(spark).select("id").collect()) == sorted(i for i, _ in held + ODD)
+    exact = knn.nearest(corpus(spark, held), q, 10).collect()
+    assert cells.nearest_in_cells(spark, grown, q, 10, grown.cells).collect() == exact
+    queries = spark.createDataFrame(random_rows(20, 3) + [(77, [1.0] * DIM)], "query_id long, query_vector array<float>")
+    want = knn.nearest_many(corpus(spark, held), queries, 5, DIM)
+    found = cells.nearest_many_in_cells(spark, grown, queries, 5, 4, rerank=60)
+    assert cells.recall(found, want).agg(F.avg("recall")).first()[0] >= 0.8
+    assert cells.nearest_in_cells(spark, old, q, 10, old.cells).count() == 10
+    same = cells.append_cells(grown, corpus(spark, [(9_000, q)]), crowded=50.0)
+    assert same.version == 2 and cells.nearest_in_cells(spark, same, q, 1, 1).first().id == 9_000
+
+
+def test_a_cell_of_copies_is_not_split(spark, tmp_path):
+    axes = [[1.0 if d == i else 0.0 for d in range(DIM)] for i in range(4)]
+    index = cells.build_cells(corpus(spark, list(enumerate(axes))), str(tmp_path), 4, DIM)
+    grown = cells.append_cells(index, corpus(spark, [(100 + i, axes[0]) for i in range(50)]))
+    assert grown.version == 1 and grown.corpus(spark).count() == 54
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(query_rows=8)])
+def test_blocks_skipped_by_radius(spark, limits):
+    """Equal distances, copies, and queries far from all, against the search without blocks."""
+    near = [(i, [x * 0.02 + (3.0 if d == i % 4 else 0.0) for d, x in enumerate(v)]) for i, v in random_rows(400)]
+    given = near + [(1_000 + i, near[5][1]) for i in range(60)] + ODD
+    df = corpus(spark, given).repartition(5)
+    asked = [(i, v) for i, v in near[:20]] + [(50, [0.0] * DIM), (51, [1.0]), (52, [1.0] * DIM), (53, [-1.0] * DIM), (54, near[5][1])]
+    queries = spark.createDataFrame(asked, "query_id long, query_vector array<float>")
+    blocks = radius.pack_by_direction(df, DIM, 4, block_rows=32, sample=100, tasks=3)
+    got = radius.nearest_many_in_blocks(blocks, queries, 7, limits=limits)
+    want = knn.nearest_many(df, queries, 7, DIM)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    row = radius.compared_pairs(blocks, queries, 7, limits=limits).first()
+    assert row.pairs == 23 * 460 and row.compared < row.pairs / 2
+    plan = got._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "Cartesian" not in plan
+
+
+def test_blocks_of_nothing(spark):
+    queries = spark.createDataFrame(random_rows(3), "query_id long, query_vector array<float>")
+    blocks = radius.pack_by_direction(corpus(spark, ODD), DIM, 4)
+    assert radius.nearest_many_in_blocks(blocks, queries, 3).count() == 0
+    assert radius.compared_pairs(blocks, queries, 3).first().pairs == 0
+    held = radius.pack_by_direction(corpus(spark, random_rows(2)), DIM, 4)
+    assert radius.nearest_many_in_blocks(held, queries, 3).count() == 6
+    assert radius.nearest_many_in_blocks(held, queries.limit(0), 3).count() == 0
