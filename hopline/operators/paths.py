@@ -316,16 +316,152 @@ def _open_part(
     return Settled(left, level.rows, None if level.head is None else left.collect())
 
 
+#: Roots in a lane: the bits of a long.
+LANE = 64
+
+
+class Lanes:
+    """Which roots have reached which nodes: ``(node, lane, bits)``, a bit per root.
+
+    Roots are numbered; a lane holds ``LANE`` of them, so a node that all roots reach takes
+    a row per lane, not per root.
+    """
+
+    def __init__(self, limits: Limits):
+        self.limits, self.tables, self.rows = limits, [], 0
+
+    def add(self, level: Settled) -> None:
+        self.tables.append(level.df.select("node", "lane", "bits"))
+        self.rows += level.rows
+        if len(self.tables) > LEVELS_APART:
+            self.tables = [cut(self._merged(reduce(DataFrame.unionByName, self.tables)))]
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("node", "lane").agg(F.bit_or("bits").alias("bits"))
+
+    def unseen(self, arrivals: DataFrame) -> DataFrame:
+        """``(node, lane, bits)`` of the arrivals that are new, each node and lane once."""
+        arrivals = self._merged(arrivals)
+        if not self.tables:
+            return arrivals
+        known = reduce(DataFrame.unionByName, self.tables)
+        if self.rows <= self.limits.broadcast_rows:
+            known = F.broadcast(self._merged(known).withColumnRenamed("bits", "known"))
+            both = arrivals.join(known, ["node", "lane"], "left")
+        else:  # one shuffle for both
+            none = F.lit(0).cast("long")
+            rows = arrivals.withColumn("known", none).unionByName(
+                known.select("node", "lane", none.alias("bits"), F.col("bits").alias("known"))
+            )
+            both = rows.groupBy("node", "lane").agg(
+                F.bit_or("bits").alias("bits"), F.bit_or("known").alias("known")
+            )
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
+        return both.select("node", "lane", fresh.alias("bits")).where("bits <> 0")
+
+
+def _numbered(roots: Settled) -> DataFrame:
+    """``(root, lane, bit)``: roots by number, packed closely."""
+    packed = cut(roots.df.select(F.col("node").alias("root")).coalesce(roots.rows // 1_000_000 + 1))
+    number = F.monotonically_increasing_id()
+    return packed.select(
+        "root", F.shiftright(number, 6).alias("lane"), number.bitwiseAND(F.lit(LANE - 1)).cast("int").alias("bit")
+    )
+
+
+def _by_root(level: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``(root, node)`` of every bit that is set."""
+    bit = F.explode(F.sequence(F.lit(0), F.lit(LANE - 1))).alias("bit")
+    each = level.select("node", "lane", "bits", bit)
+    each = each.where(F.expr("shiftrightunsigned(bits, bit) & 1L") == 1)
+    return each.join(numbers, ["lane", "bit"]).select("root", "node")
+
+
+@dataclass
+class LaneSearch:
+    """``(root, node)`` pairs found at each depth, and whether the hop bound ended the search."""
+
+    pairs: list[tuple[int, DataFrame]] = field(default_factory=list)
+    found: int = 0
+    bound_hit: bool = False
+
+
+def search_lanes(
+    graph: PropertyGraph, roots: Settled, goals: Settled, max_hops: int | None = None
+) -> LaneSearch:
+    """Depths at which the goals are first reached from each root, all roots at once.
+
+    ``roots`` and ``goals`` hold a ``node`` column of distinct nodes. A root that has reached
+    all goals is taken out of the frontier.
+    """
+    bound = graph.limits.broadcast_rows
+    numbers = _numbered(roots)
+    numbers = F.broadcast(numbers) if roots.rows <= bound else numbers
+    is_goal = goals.df.select("node", F.lit(True).alias("hit"))
+    is_goal = F.broadcast(is_goal) if goals.rows <= bound else is_goal
+    bits = F.expr("shiftleft(1L, bit)").alias("bits")
+    frontier = settle(numbers.select(F.col("root").alias("node"), "lane", bits), graph.limits)
+    seen, search, depth = Lanes(graph.limits), LaneSearch(), 0
+    while frontier.rows and search.found < roots.rows * goals.rows:
+        if max_hops is not None and depth >= max_hops:
+            search.bound_hit = True
+            break
+        depth += 1
+        arrivals = expand(graph, frontier).select(F.col("dst").alias("node"), "lane", "bits")
+        level = graph.existing(seen.unseen(arrivals)).join(is_goal, "node", "left")
+        level = settle(level.withColumn("hit", F.coalesce("hit", F.lit(False))), graph.limits)
+        seen.add(level)
+        if level.head is not None:
+            hits = sum((row.bits & (2**LANE - 1)).bit_count() for row in level.head if row.hit)
+        else:
+            hits = level.df.where("hit").agg(F.sum(F.bit_count("bits"))).first()[0] or 0
+        frontier = level
+        if hits:
+            search.pairs.append((depth, _by_root(level.df.where("hit"), numbers)))
+            search.found += hits
+            if 1 < roots.rows <= bound:
+                frontier = _without_done(search, level, numbers, goals.rows)
+    return search
+
+
+def _without_done(search: LaneSearch, level: Settled, numbers: DataFrame, goals: int) -> Settled:
+    """The newest level without the bits of roots that have reached all their goals."""
+    pairs = reduce(DataFrame.unionByName, [df for _, df in search.pairs])
+    done = pairs.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") == goals)
+    done = done.join(numbers, "root").groupBy("lane").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("done"))
+    left = level.df.join(F.broadcast(done), "lane", "left")
+    open_ = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("done", F.lit(0).cast("long"))))
+    left = left.select("node", "lane", open_.alias("bits")).where("bits <> 0")
+    return Settled(left, level.rows, None if level.head is None else left.collect())
+
+
 def shortest_lengths(
     graph: PropertyGraph, sources: DataFrame, targets: DataFrame, max_hops: int | None = None
 ) -> DataFrame:
     """``(source, target, length)`` for every connected pair.
 
-    With ``max_hops`` a column ``bound_hit`` says whether pairs further apart may be missing.
+    Searched from whichever end has fewer nodes, all of them at once; what is kept grows with
+    their number over ``LANE``. With ``max_hops`` a column ``bound_hit`` says whether pairs
+    further apart may be missing.
     """
-    search = search_many(graph, sources, targets, max_hops)
-    found = search.lengths(graph.nodes.sparkSession)
-    return found if max_hops is None else found.withColumn("bound_hit", F.lit(search.bound_hit))
+    ends = [
+        settle(graph.existing(df.select("node").where("node is not null").distinct()), graph.limits)
+        for df in (sources, targets)
+    ]
+    turned = ends[1].rows < ends[0].rows
+    roots, goals = reversed(ends) if turned else ends
+    search = search_lanes(graph.reversed() if turned else graph, roots, goals, max_hops)
+    found = [
+        pairs.select(
+            F.col("node" if turned else "root").alias("source"),
+            F.col("root" if turned else "node").alias("target"),
+            F.lit(depth).cast("long").alias("length"),
+        )
+        for depth, pairs in search.pairs
+    ]
+    none = graph.nodes.sparkSession.createDataFrame([], "source long, target long, length long")
+    result = reduce(DataFrame.unionByName, found) if found else none
+    return result if max_hops is None else result.withColumn("bound_hit", F.lit(search.bound_hit))
 
 
 def shortest_routes(

@@ -4,10 +4,12 @@ import random
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphs import TINY, Brute, graph_of, hub_edges
 from hopline.operators import paths, pattern, traverse
 from hopline.plans.limits import Limits
+from hopline.plans.lineage import settle
 from hopline.plans.skew import hub_table, repeat_rows
 from hopline.sources import tables
 
@@ -75,6 +77,40 @@ def test_many_pairs(case, spark):
     assert paths.broken_steps(graph, routes).count() == 0
 
 
+@pytest.mark.parametrize("n_sources,n_targets,limits", [(150, 5, Limits()), (70, 140, TINY)])
+def test_lanes_of_many_sources(spark, n_sources, n_targets, limits):
+    """More roots than a lane holds, from either end, with levels too large to broadcast."""
+    rng = random.Random(n_sources)
+    nodes = range(160)
+    edges = [(rng.randrange(160), rng.randrange(160)) for _ in range(260)] + [(1, n) for n in range(40)]
+    brute = Brute(edges)
+    sources, targets = rng.sample(nodes, n_sources), rng.sample(nodes, n_targets)
+    relation = lambda ids: spark.createDataFrame([(n,) for n in [*ids, ids[0], 999, None]], "node long")
+    far = {a: brute.distances(a) for a in sources}
+    want = {(a, b): far[a][b] for a in sources for b in targets if b in far[a]}
+    graph = graph_of(spark, nodes, edges, limits=limits)
+    found = paths.shortest_lengths(graph, relation(sources), relation(targets)).collect()
+    assert {(r.source, r.target): r.length for r in found} == want and len(found) == len(want)
+    near = paths.shortest_lengths(graph, relation(sources), relation(targets), max_hops=2).collect()
+    assert {(r.source, r.target): r.length for r in near} == {p: d for p, d in want.items() if d <= 2}
+    assert all(r.bound_hit for r in near)
+
+
+def test_a_lane_holds_a_node_once(spark):
+    """A row per lane, not per root: 128 roots lead to one node."""
+    graph = graph_of(spark, range(200), [(n, 199) for n in range(128)] + [(199, 198)], endpoints_ok=True)
+    roots = settle(spark.range(128).select(F.col("id").alias("node")))
+    goals = settle(spark.range(197, 199).select(F.col("id").alias("node")))
+    search = paths.search_lanes(graph, roots, goals)
+    assert [d for d, _ in search.pairs] == [2] and search.found == 128
+    seen = paths.Lanes(graph.limits)
+    arrivals = spark.range(128).select(F.lit(199).cast("long").alias("node"), (F.col("id") / 64).cast("long").alias("lane"), F.expr("shiftleft(1L, cast(id % 64 as int))").alias("bits"))
+    level = settle(seen.unseen(arrivals))
+    assert level.rows == 2 and all(r.bits == -1 for r in level.head)
+    seen.add(level)
+    assert seen.unseen(arrivals).count() == 0
+
+
 def test_pattern(case):
     graph, edges, _ = case
     matches = sorted(
