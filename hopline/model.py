@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
 from hopline.plans.lineage import cut, settle
-from hopline.plans.skew import hub_table, match_keys
+from hopline.plans.skew import hub_table, in_list, match_keys
 
 NODE_SCHEMA = T.StructType(
     [
@@ -64,6 +64,32 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*columns)
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Edges stored by one of their ends, in a folder per ``bucket``: the end modulo ``buckets``."""
+
+    df: DataFrame
+    buckets: int
+
+    def at(self, key: str, ids: list[int]) -> DataFrame:
+        """The edges with one of a few keys; other buckets' folders are not read."""
+        wanted = sorted({i % self.buckets for i in ids})
+        return self.df.where(F.col("bucket").isin(wanted) & in_list(key, ids)).drop("bucket")
+
+    def where(self, condition: Column) -> Layout:
+        return replace(self, df=self.df.where(condition))
+
+    def turned(self) -> Layout:
+        return replace(self, df=turned(self.df))
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    """Edges turned round."""
+    names = {"src": "dst", "dst": "src"}
+    order = [c for c in ("dst", "src", "edge_type", "ts", "bucket") if c in edges.columns]
+    return edges.select(*[F.col(c).alias(names.get(c, c)) for c in order])
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """Nodes ``(id, category, value, ts)`` and directed edges ``(src, dst, edge_type, ts)``.
@@ -78,6 +104,8 @@ class PropertyGraph:
     limits: Limits = DEFAULT_LIMITS
     #: The edges stored in two parts, without and with hub sources; see ``split_edges``.
     parts: tuple[DataFrame, DataFrame] | None = field(default=None, repr=False, compare=False)
+    #: The same edges stored by ``src`` and by ``dst``, if they are; see ``store_graph``.
+    layouts: dict[str, Layout] = field(default_factory=dict, repr=False, compare=False)
     _hubs: dict = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
@@ -85,6 +113,12 @@ class PropertyGraph:
         """A graph over any two tables that hold the contract's columns."""
         return cls(conform(nodes, NODE_SCHEMA), conform(edges, EDGE_SCHEMA), **kwargs)
 
+    def edges_at(self, key: str, ids: list[int]) -> DataFrame:
+        """The edges whose ``key`` is one of a few ids, from the layout by that key if there is one."""
+        if key in self.layouts:
+            return self.layouts[key].at(key, ids)
+        return self.edges.where(in_list(key, ids))
+
     def hubs(self, key: str) -> DataFrame:
         """Heavy values of ``src`` or ``dst``; counted once per graph, on first use."""
         if key not in self._hubs:
@@ -118,24 +152,23 @@ class PropertyGraph:
 
     def with_edges(self, edges: DataFrame) -> PropertyGraph:
         """The same nodes with other edges."""
-        return replace(self, edges=edges, parts=None, _hubs={})
+        return replace(self, edges=edges, parts=None, layouts={}, _hubs={})
 
     def where_edges(self, condition: Column) -> PropertyGraph:
         """The subgraph of the edges that meet ``condition``.
 
-        Parts stored apart stay apart: a source is no heavier in the subgraph.
+        Parts stored apart stay apart (a source is no heavier in the subgraph), and so do layouts.
         """
-        if self.parts is None:
-            return self.with_edges(self.edges.where(condition))
-        cold, hot = (part.where(condition) for part in self.parts)
-        return replace(self, edges=self.edges.where(condition), parts=(cold, hot), _hubs={})
+        parts = tuple(part.where(condition) for part in self.parts) if self.parts else None
+        layouts = {key: layout.where(condition) for key, layout in self.layouts.items()}
+        edges = self.edges.where(condition)
+        return replace(self, edges=edges, parts=parts, layouts=layouts, _hubs={})
 
     def reversed(self) -> PropertyGraph:
-        """The graph with every edge turned round."""
-        turned = self.edges.select(
-            F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_type", "ts"
-        )
-        return self.with_edges(turned)
+        """The graph with every edge turned round; layouts by the one end serve the other."""
+        other = {"src": "dst", "dst": "src"}
+        layouts = {other[key]: layout.turned() for key, layout in self.layouts.items()}
+        return replace(self.with_edges(turned(self.edges)), layouts=layouts)
 
     def existing(self, ids: DataFrame, key: str = "node") -> DataFrame:
         """Rows of ``ids`` whose ``key`` is a node of the graph."""

@@ -31,10 +31,10 @@ def _leading_on(graph: PropertyGraph, middles: Settled) -> Settled:
 
 
 def _first_edges(
-    graph: PropertyGraph, edges: DataFrame, middles: Settled, distinct: bool
+    graph: PropertyGraph, edges: DataFrame | None, middles: Settled, distinct: bool
 ) -> DataFrame:
-    """``(a, b)``: those of ``edges`` that lead into the middle nodes."""
-    incoming = match_keys(graph, edges.select("src", "dst"), "dst", middles)
+    """``(a, b)``: those of ``edges`` (None: of all) that lead into the middle nodes."""
+    incoming = match_keys(graph, edges, "dst", middles)
     pairs = incoming.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     return pairs.distinct() if distinct else pairs
 
@@ -60,11 +60,13 @@ def _first_pairs(graph: PropertyGraph, middles: Settled, n: int, distinct: bool)
     if distinct:
         # The first n start nodes already give enough different pairs. Finding them
         # takes a shuffle of start nodes, not of edges.
-        starts = _first_edges(graph, edges, middles, False).select("a").distinct()
+        starts = _first_edges(graph, None, middles, False).select("a").distinct()
         last = starts.orderBy("a").limit(n).agg(F.max("a")).first()[0]
         if last is not None:
-            edges = edges.where(F.col("src") <= last)
-    pairs = _first_edges(graph, edges, middles, distinct)
+            within = edges.where(F.col("src") <= last)
+            pairs = _first_edges(graph, within, middles, distinct)
+            return settle(pairs.orderBy("a", "b").limit(n), graph.limits)
+    pairs = _first_edges(graph, None, middles, distinct)
     return settle(pairs.orderBy("a", "b").limit(n), graph.limits)
 
 
@@ -113,7 +115,7 @@ def any_triples(graph: PropertyGraph, category: str, limit: int) -> DataFrame:
     """Some ``limit`` matches, in no order."""
     graph = graph.checked()
     middles = _leading_on(graph, _middles(graph, category))
-    pairs = _first_edges(graph, graph.edges, middles, distinct=False).limit(limit)
+    pairs = _first_edges(graph, None, middles, distinct=False).limit(limit)
     return _extended(graph, settle(pairs, graph.limits), limit, distinct=False)
 
 
@@ -126,8 +128,7 @@ def triple_count(graph: PropertyGraph, category: str) -> DataFrame:
     """
     graph = graph.checked()
     middles = _middles(graph, category)
-    pairs = graph.edges.select("src", "dst")
-    into, out = match_keys(graph, pairs, "dst", middles), match_keys(graph, pairs, "src", middles)
+    into, out = match_keys(graph, None, "dst", middles), match_keys(graph, None, "src", middles)
     incoming = into.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
     outgoing = out.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
     product = F.col("n_in").cast("decimal(19,0)") * F.col("n_out").cast("decimal(19,0)")

@@ -25,7 +25,7 @@ WALKS = "decimal(38,0)"
 
 def _first_step(graph: PropertyGraph, source: int, simple: bool) -> DataFrame:
     """``(node, walks)`` of the edges leaving the source, not yet merged per node."""
-    first = graph.edges.where(F.col("src") == source).select("src", "dst")
+    first = graph.edges_at("src", [source]).select("src", "dst")
     first = first.distinct() if simple else first
     return first.select(F.col("dst").alias("node"), F.lit(1).cast(WALKS).alias("walks"))
 
@@ -88,7 +88,7 @@ def walk_rows(graph: PropertyGraph, source: int, hops: int) -> DataFrame:
 
 def ends(graph: PropertyGraph, source: int, hops: int) -> DataFrame:
     """``(node)``: the set of nodes at the end of a walk of exactly ``hops`` edges."""
-    step = graph.edges.where(F.col("src") == source)
+    step = graph.edges_at("src", [source])
     for hop in range(hops):
         if hop:
             step = leaving(graph, settle(reached, graph.limits))

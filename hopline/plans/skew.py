@@ -61,10 +61,9 @@ def expand(graph, frontier: Settled, weight: str | None = None) -> DataFrame:
     when the frontier is too large to broadcast.
     """
     if frontier.rows <= graph.limits.broadcast_rows:
-        pairs = graph.edges.select("src", "dst")
         literals = frontier.literals("node")
-        if literals is not None:
-            pairs = pairs.where(in_list("src", literals))
+        pairs = graph.edges if literals is None else graph.edges_at("src", literals)
+        pairs = pairs.select("src", "dst")
         return pairs.join(F.broadcast(frontier.df), F.col("src") == F.col("node"))
 
     hub = F.broadcast(graph.split_hubs())
@@ -98,7 +97,7 @@ def expand(graph, frontier: Settled, weight: str | None = None) -> DataFrame:
 def leaving(graph, keys: Settled) -> DataFrame:
     """``(src, dst)`` of every edge whose source is in the ``node`` column of ``keys``."""
     if keys.rows <= graph.limits.broadcast_rows:
-        return match_keys(graph, graph.edges.select("src", "dst"), "src", keys)
+        return match_keys(graph, None, "src", keys).select("src", "dst")
     cold, hot = (part.select("src", "dst") for part in graph.cold_and_hot())
     is_key = F.col("src") == F.col("node")
     hub = F.broadcast(graph.split_hubs())
@@ -109,13 +108,20 @@ def leaving(graph, keys: Settled) -> DataFrame:
 
 
 def match_keys(
-    graph, edges: DataFrame, key: str, keys: Settled, how: str = "left_semi"
+    graph, edges: DataFrame | None, key: str, keys: Settled, how: str = "left_semi"
 ) -> DataFrame:
     """Rows of ``edges`` whose ``key`` is (``left_semi``) or is not (``left_anti``) in ``keys``.
 
-    ``keys`` has a ``node`` column without nulls. Hub keys of a large list are
-    compared with a broadcast of the hubs in it, all others in a shuffled join.
+    None stands for all edges of the graph; those of a short list of keys then come from
+    the graph's layout by that key. ``keys`` has a ``node`` column without nulls. Hub keys
+    of a large list are compared with a broadcast of the hubs in it, all others in a
+    shuffled join.
     """
+    if edges is None:
+        few = keys.literals("node")
+        if few is not None and how == "left_semi":
+            return graph.edges_at(key, few)
+        edges = graph.edges
     is_key = F.col(key) == F.col("node")
     if keys.rows <= graph.limits.broadcast_rows:
         literals = keys.literals("node")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -13,9 +14,11 @@ from hopline.model import (
     EDGE_SCHEMA,
     NODE_SCHEMA,
     VECTOR_NODE_SCHEMA,
+    Layout,
     PropertyGraph,
     conform,
 )
+from hopline.plans.limits import DEFAULT_LIMITS, Limits
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -109,6 +112,43 @@ def split_edges(graph: PropertyGraph, path: str, name: str, buckets: int) -> Pro
     return replace(graph, edges=parts[0].unionByName(parts[1]), parts=parts)
 
 
+def store_graph(graph: PropertyGraph, path: str, buckets: int = 61) -> PropertyGraph:
+    """Store nodes, and edges twice: in buckets by source and in buckets by target.
+
+    A hop from a few nodes, forwards or over ``reversed()``, reads the folders of their
+    buckets only. A crowded bucket is split over files; within them edges are sorted by the
+    key. Buckets are ids modulo ``buckets``, a prime, which spreads ids that rise in steps.
+    The manifest is written last; without it there is no graph at ``path``.
+    """
+    spark = graph.nodes.sparkSession
+    _delete(spark, f"{path}/{MANIFEST}")
+    materialise_clustered(graph.nodes, f"{path}/nodes", ["id"])
+    for key, other in (("src", "dst"), ("dst", "src")):
+        bucket = F.pmod(F.col(key), F.lit(buckets)).cast("int")
+        dealt = graph.edges.withColumn("bucket", bucket).hint("rebalance", "bucket")
+        dealt = dealt.sortWithinPartitions("bucket", key, other)
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/by_{key}")
+    manifest = json.dumps({"buckets": buckets, "endpoints_ok": graph.endpoints_ok})
+    kept = spark.createDataFrame([(manifest,)], "value string")
+    kept.coalesce(1).write.mode("overwrite").text(f"{path}/{MANIFEST}")
+    return open_graph(spark, path, graph.limits)
+
+
+def open_graph(spark: SparkSession, path: str, limits: Limits = DEFAULT_LIMITS) -> PropertyGraph:
+    """A graph that :func:`store_graph` has written, with both its layouts."""
+    manifest = json.loads(spark.read.text(f"{path}/{MANIFEST}").first()[0])
+    layouts = {
+        key: Layout(spark.read.parquet(f"{path}/by_{key}"), manifest["buckets"]) for key in ("src", "dst")
+    }
+    return PropertyGraph(
+        read_nodes(spark, f"{path}/nodes"),
+        conform(layouts["src"].df, EDGE_SCHEMA),
+        endpoints_ok=manifest["endpoints_ok"],
+        limits=limits,
+        layouts=layouts,
+    )
+
+
 def append(df: DataFrame, path: str) -> None:
     """Add a batch of rows to a Parquet table; the partitions are the chunks.
 
@@ -136,42 +176,90 @@ def latest_per_key(
     return latest.select(*[c for c in df.columns if c in {*keys, sequence, *rest}])
 
 
+#: Folder, beside a table's data, of what says which data count.
+MANIFEST = "_manifest"
+
+
+def _place(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
 def _stored_versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the finished versions of a stored keyed table, in order."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    root, files = _place(spark, f"{path}/{MANIFEST}")
     if not files.exists(root):
         return []
     names = [s.getPath().getName() for s in files.listStatus(root)]
-    done = [n for n in names if n.startswith("version-")]
-    mark = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(n[8:]) for n in done if files.exists(mark(f"{path}/{n}/_SUCCESS")))
+    done = [int(n[8:]) for n in names if n.startswith("version=")]
+    finished = [_place(spark, f"{path}/{MANIFEST}/version={n}/_SUCCESS")[0] for n in done]
+    return sorted(n for n, mark in zip(done, finished) if files.exists(mark))
+
+
+def _manifest(spark: SparkSession, path: str, version: int) -> tuple[int, dict[int, int]]:
+    """Number of buckets, and the version in which each bucket was written last."""
+    rows = spark.read.parquet(f"{path}/{MANIFEST}/version={version}").collect()  # a row per bucket
+    return rows[0].buckets, {r.bucket: r.written for r in rows if r.written is not None}
+
+
+def _folder(path: str, version: int, bucket: int) -> str:
+    return f"{path}/version={version}/bucket={bucket}"
 
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
     """The newest finished version of a table that :func:`upsert` keeps."""
-    return spark.read.parquet(f"{path}/version-{_stored_versions(spark, path)[-1]}")
+    version = _stored_versions(spark, path)[-1]
+    written = _manifest(spark, path, version)[1]
+    schema = spark.read.parquet(f"{path}/_schema").schema
+    if not written:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[_folder(path, v, b) for b, v in sorted(written.items())])
 
 
-def upsert(batch: DataFrame, path: str, keys: Sequence[str], sequence: str) -> DataFrame:
+def upsert(
+    batch: DataFrame, path: str, keys: Sequence[str], sequence: str, buckets: int = 64
+) -> DataFrame:
     """Put a batch into a stored table with one row per key, and return the table.
 
-    The new table is written beside the old one and counts once it is finished, so a
-    job that fails leaves the old one, readers of it are not disturbed, and a batch that
-    is delivered twice changes nothing. The version before the last is kept, earlier
-    ones are removed. One writer at a time.
+    Rows are kept in ``buckets`` by a hash of their key (set by the first batch). Only the
+    buckets that the batch has keys of are read and written again, in a folder of the new
+    version; the others stay where they are. A manifest says which version of each bucket
+    counts and is written last, so a job that fails leaves the old table, readers of it are
+    not disturbed, and a batch that is delivered twice changes nothing. The version before
+    the last is kept, what only earlier ones use is removed. One writer at a time.
     """
     spark = batch.sparkSession
     versions = _stored_versions(spark, path)
-    rows = batch
+    written: dict[int, int] = {}
     if versions:
-        rows = read_stored(spark, path).unionByName(batch)
+        buckets, written = _manifest(spark, path, versions[-1])
+    else:
+        batch.limit(0).write.mode("overwrite").parquet(f"{path}/_schema")
     number = versions[-1] + 1 if versions else 1
-    latest_per_key(rows, keys, sequence).write.mode("overwrite").parquet(f"{path}/version-{number}")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for old in versions[:-1]:
-        gone = hadoop(f"{path}/version-{old}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    touched = sorted(r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect())
+    stored = [_folder(path, written[b], b) for b in touched if b in written]
+    rows = batch
+    if stored:
+        rows = spark.read.schema(batch.schema).parquet(*stored).unionByName(batch)
+    newest = latest_per_key(rows, keys, sequence).withColumn("bucket", bucket)
+    newest = newest.hint("rebalance", "bucket").sortWithinPartitions("bucket", *keys)
+    newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+    now = {**written, **dict.fromkeys(touched, number)}
+    manifest = [(buckets, b, v) for b, v in sorted(now.items())] or [(buckets, None, None)]
+    kept = spark.createDataFrame(manifest, "buckets int, bucket int, written int")
+    kept.coalesce(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}/version={number}")
+    if len(versions) > 1:  # what the version before the last still used, and this one and the last do not
+        for b, v in _manifest(spark, path, versions[-2])[1].items():
+            if v not in (now.get(b), written.get(b)):
+                _delete(spark, _folder(path, v, b))
+        _delete(spark, f"{path}/{MANIFEST}/version={versions[-2]}")
     return read_stored(spark, path)
 
 

@@ -1,9 +1,12 @@
 import json
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from graphs import graph_of, hub_edges
 from hopline.model import EDGE_SCHEMA
+from hopline.operators import paths, pattern, traverse
 from hopline.plans.lineage import settle, shared_dir
 from hopline.plans.limits import Limits
 from hopline.sources import results, tables
@@ -111,3 +114,81 @@ def test_settle_knows_the_size(spark):
 def test_scratch_is_in_the_configured_folder(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert configured is None or shared_dir(spark) == configured
+
+
+def files_below(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_upsert_writes_the_touched_buckets_only(spark, tmp_path):
+    rows = lambda ids, seq: spark.createDataFrame([(i, seq, f"v{seq}") for i in ids], "id long, seq long, v string")
+    path = str(tmp_path / "t")
+    assert tables.upsert(rows(range(1_000), 1), path, ["id"], "seq", buckets=50).count() == 1_000
+    before = files_below(tmp_path / "t" / "version=1")
+    batch = rows(range(0, 1_000, 100), 2)  # one percent of the keys
+    got = tables.upsert(batch, path, ["id"], "seq")
+    wanted = {r.b for r in batch.selectExpr("pmod(xxhash64(id), 50) as b").collect()}
+    written = {int(p.name[7:]) for p in (tmp_path / "t" / "version=2").glob("bucket=*")}
+    assert written == wanted and len(written) <= 10
+    assert files_below(tmp_path / "t" / "version=1") == before  # nothing else was written again
+    assert bag(got.groupBy("v").count()) == [("v1", 990), ("v2", 10)]
+    # delivered again, and late: nothing changes
+    want = bag(got)
+    assert bag(tables.upsert(batch, path, ["id"], "seq")) == want
+    assert bag(tables.upsert(rows(range(0, 1_000, 100), 1), path, ["id"], "seq")) == want
+    # folders that no kept version uses are gone
+    assert not [b for b in wanted if (tmp_path / "t" / "version=2" / f"bucket={b}").exists()]
+
+
+def test_upsert_that_failed_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.upsert(spark.createDataFrame([(1, 1)], "id long, seq long"), path, ["id"], "seq", buckets=4)
+    (tmp_path / "t" / "version=2" / "bucket=0").mkdir(parents=True)  # data, but no manifest
+    assert bag(tables.read_stored(spark, path)) == [(1, 1)]
+    assert bag(tables.upsert(spark.createDataFrame([(2, 1)], "id long, seq long"), path, ["id"], "seq")) == [(1, 1), (2, 1)]
+
+
+def test_upsert_of_nothing(spark, tmp_path):
+    path, none = str(tmp_path / "t"), spark.createDataFrame([], "id long, seq long")
+    assert tables.upsert(none, path, ["id"], "seq").count() == 0
+    assert bag(tables.upsert(spark.createDataFrame([(1, 1)], "id long, seq long"), path, ["id"], "seq")) == [(1, 1)]
+    assert bag(tables.upsert(none, path, ["id"], "seq")) == [(1, 1)]
+
+
+def files_read(df):
+    return df.select(F.input_file_name().alias("f")).distinct().count()
+
+
+def test_a_graph_stored_by_both_ends(spark, tmp_path):
+    edges = hub_edges(2) + [(n, 100 + n, "c", n) for n in range(-20, 30)]
+    graph = graph_of(spark, [*range(-20, 130)], edges, endpoints_ok=True)
+    stored = tables.store_graph(graph, str(tmp_path), buckets=11)
+    assert bag(stored.edges) == bag(graph.edges) and stored.endpoints_ok
+    opened = tables.open_graph(spark, str(tmp_path))
+    assert bag(opened.reversed().edges) == bag(graph.reversed().edges)
+    # a hop from a few nodes, either way, scans the folders of their buckets
+    for g, key in ((opened, "src"), (opened.reversed(), "src"), (opened, "dst")):
+        near = g.edges_at(key, [2, -20])
+        assert bag(near) == bag(g.edges.where(F.col(key).isin(2, -20)))
+        plan = near._jdf.queryExecution().toString()
+        assert "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+        scan = near._jdf.queryExecution().executedPlan()
+        near.collect()
+        assert files_read(near) <= 2 * len(list((tmp_path / "by_src").glob("bucket=2/*.parquet"))) + 2 < files_read(g.edges)
+        assert scan is not None
+    for node in (2, 105):
+        assert bag(traverse.walk_rows(opened.reversed(), node, 2)) == bag(traverse.walk_rows(graph.reversed(), node, 2))
+    window = traverse.time_slice(opened, 10, 60)
+    assert bag(window.reversed().edges_at("src", [2])) == bag(window.reversed().edges.where("src = 2"))
+    want = bag(pattern.triples(graph, "x", 50))
+    assert bag(pattern.triples(opened, "x", 50)) == want
+    route = [r.node for r in paths.shortest_route(opened, 1, 102).orderBy("step").collect()]
+    assert route == [r.node for r in paths.shortest_route(graph, 1, 102).orderBy("step").collect()]
+
+
+def test_a_graph_without_manifest_is_none(spark, tmp_path):
+    graph = graph_of(spark, [1, 2], [(1, 2)])
+    tables.store_graph(graph, str(tmp_path))
+    tables._delete(spark, f"{tmp_path}/{tables.MANIFEST}")
+    with pytest.raises(AnalysisException):
+        tables.open_graph(spark, str(tmp_path))
