@@ -212,6 +212,12 @@ NORMALS = f"""WITH k AS (SELECT c_custkey AS id,
   polar AS (SELECT id, pair, sqrt(-2.0 * ln((u + 1.0) / {2**53})) AS radius,
     2.0 * pi() * v / {2**53} AS angle FROM pairs)"""
 
+BATCH = f"""WITH p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS id, {_distance("c.embedding", "q.embedding")} AS distance
+  FROM embeddings q CROSS JOIN embeddings c)
+SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
+FROM p QUALIFY rank <= {K}"""
+
 ORACLE: dict[str, str] = {
     "ing_01": f"{GRAPH} SELECT * FROM n",
     "ing_02": f"{GRAPH} SELECT * FROM e",
@@ -237,6 +243,7 @@ SELECT 'dst', dst, count(*) FROM e WHERE dst NOT IN (SELECT id FROM k) GROUP BY
 SELECT 'src' AS side, src AS node, count(*) AS n FROM e WHERE src NOT IN (SELECT id FROM n) GROUP BY src
 UNION ALL
 SELECT 'dst', dst, count(*) FROM e WHERE dst NOT IN (SELECT id FROM n) GROUP BY dst""",
+    "ing_04_reopened": f"{GRAPH} SELECT src AS node FROM e WHERE dst = {PART}",
     "ing_05_stored": LATEST,
     "ing_09": LATEST,
     "ing_09_chunks": LATEST,
@@ -311,17 +318,15 @@ SELECT id, position, round(CAST(x AS DOUBLE) / len, 6) + 0.0 AS x FROM x""",
     "vec_04": """SELECT vec_id AS id, round(list_inner_product(CAST(embedding AS DOUBLE[]),
   CAST((SELECT embedding FROM embeddings WHERE vec_id = 1) AS DOUBLE[])), 6) + 0.0 AS score
 FROM embeddings""",
-    "vec_05": f"""WITH p AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS id, {_distance("c.embedding", "q.embedding")} AS distance
-  FROM embeddings q CROSS JOIN embeddings c)
-SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
-FROM p QUALIFY rank <= {K}""",
+    "vec_05": BATCH,
+    "vec_05_radius": BATCH,
     "vec_06": "SELECT vec_id AS id, CAST(1 AS BIGINT) AS cells FROM embeddings",
     "vec_06_reopened": NEAREST,
+    "vec_06_appended": NEAREST,
     "vec_07": NEAREST,
     "vec_07_probe": f"""SELECT least(count(*), {K}) AS n_rows, least(count(*), {K}) AS n_ids,
   least(count(*), {K}) AS n_right FROM embeddings""",
-    "vec_08_probe": "SELECT count(*) AS n_queries, true AS enough FROM embeddings",
+    "vec_08_probe": "SELECT count(*) AS n_queries, true AS enough, true AS few FROM embeddings",
     "vec_08": "SELECT vec_id AS query_id, CAST(1.0 AS DOUBLE) AS recall FROM embeddings",
     "hyb_01": f"{HYBRID} SELECT count(DISTINCT dst) AS neighbours FROM h",
     "hyb_02": f"{HYBRID} SELECT count(*) AS neighbours FROM h",
@@ -394,4 +399,4 @@ FROM dist WHERE node IN ({", ".join(str(t) for t in TARGETS)})""",
 }
 
 #: Registered without SQL.
-ROWS_ONLY: tuple[str, ...] = ()
+ROWS_ONLY: tuple[str, ...] = ("vec_08_measured",)
