@@ -266,7 +266,7 @@ def audits(conversations: DataFrame, gone: Column | None = None, held_rows: int
     empty user or assistant turn (5), 5 more for a kept row that breaks off; of equally cheap ones the
     least by ASCII. ``repaired_sha256`` is that of the repaired ``role:text`` lines.
 
-    Null roles and texts count as one space, rows without a conversation id are one conversation.
+    Null roles and texts count as one space, an empty role has no initial and is never kept, rows without a conversation id are one conversation.
     Repeated rows are duplicates, counted before they are shuffled. Rows for which ``gone`` is true do
     not exist, but their conversation does. An empty table gives an empty result. Other columns are not
     read. A conversation is one task, because its digest runs over all its text; the task streams it from
