@@ -10,6 +10,7 @@ step, going back from the target, is returned.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hopline.model import PropertyGraph
 from hopline.plans.limits import Limits
-from hopline.plans.lineage import Settled, cut, settle
+from hopline.plans.lineage import Settled, cut, scratch_path, settle
 from hopline.plans.skew import expand, in_list, leaving
 
 #: Earlier levels are kept as one table once there are more than this many.
@@ -27,24 +28,57 @@ LEVELS_APART = 8
 
 
 class Visited:
-    """``(root, node)`` pairs already reached, as a few tables however many rounds there were."""
+    """``(root, node)`` pairs already reached.
+
+    While they are few they are broadcast. More are kept in a table bucketed by the pair:
+    each level is dealt out to the buckets once, when it is appended, and stays there; later
+    rounds bring their arrivals to the buckets and shuffle nothing that was visited before.
+    Used as a context; the table goes when it ends.
+    """
 
     def __init__(self, limits: Limits):
         self.limits, self.tables, self.rows = limits, [], 0
+        self.spark = self.name = self.path = None
+        self.buckets = 0
+
+    def __enter__(self) -> Visited:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.name:
+            self.spark.sql(f"drop table if exists {self.name}")
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            self.name = None
 
     def add(self, level: Settled) -> None:
-        self.tables.append(level.df.select("root", "node"))
+        pairs = level.df.select("root", "node")
         self.rows += level.rows
-        if len(self.tables) > LEVELS_APART:
+        if self.name:
+            self._store(pairs)
+            return
+        self.tables.append(pairs)
+        if self.rows > self.limits.broadcast_rows:
+            self.spark = level.df.sparkSession
+            self.path = scratch_path(self.spark, "visited")
+            self.name = f"visited_{uuid.uuid4().hex}"
+            self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self._store(reduce(DataFrame.unionByName, self.tables))
+        elif len(self.tables) > LEVELS_APART:
             self.tables = [cut(reduce(DataFrame.unionByName, self.tables))]
 
+    def _store(self, pairs: DataFrame) -> None:
+        dealt = pairs.repartition(self.buckets, "root", "node").write.mode("append")
+        dealt.option("path", self.path).bucketBy(self.buckets, "root", "node").saveAsTable(self.name)
+
     def unseen(self, arrivals: DataFrame) -> DataFrame:
         """Arrivals at pairs that no level holds."""
         if not self.tables:
             return arrivals
-        visited = reduce(DataFrame.unionByName, self.tables)
-        if self.rows <= self.limits.broadcast_rows:
-            visited = F.broadcast(visited)
+        if self.name:
+            visited = self.spark.table(self.name)
+        else:
+            visited = F.broadcast(reduce(DataFrame.unionByName, self.tables))
         return arrivals.join(visited, ["root", "node"], "left_anti")
 
 
@@ -77,10 +111,10 @@ def reach(graph: PropertyGraph, source: int, max_hops: int | None = None) -> Dat
     """
     here = graph.nodes.where(F.col("id") == source)
     levels = [settle(here.select(F.col("id").alias("root"), F.col("id").alias("node")), graph.limits)]
-    seen = Visited(graph.limits)
-    while levels[-1].rows and (max_hops is None or len(levels) <= max_hops):
-        seen.add(levels[-1])
-        levels.append(settle(_next_level(graph, levels[-1], seen, source), graph.limits))
+    with Visited(graph.limits) as seen:
+        while levels[-1].rows and (max_hops is None or len(levels) <= max_hops):
+            seen.add(levels[-1])
+            levels.append(settle(_next_level(graph, levels[-1], seen, source), graph.limits))
     found = [
         level.df.select("node", F.lit(depth).cast("long").alias("distance"))
         for depth, level in enumerate(levels)
@@ -179,10 +213,16 @@ def search_pair(
     the search. Sets ``hit`` on the last level; with ``routes`` unset that level
     tells the length only.
     """
+    with Visited(graph.limits) as ahead, Visited(graph.limits) as behind:
+        return _search_pair(graph, source, target, max_hops, routes, {True: ahead, False: behind})
+
+
+def _search_pair(
+    graph: PropertyGraph, source: int, target: int, max_hops: int | None, routes: bool, seen: dict
+) -> PathSearch:
     spark = graph.nodes.sparkSession
     turned = graph.reversed()
     forward, backward = [_start(spark, source)], [_start(spark, target)]
-    seen = {True: Visited(graph.limits), False: Visited(graph.limits)}
     if not graph.endpoints_ok:
         known = graph.nodes.where(F.col("id").isin(source, target)).select("id").distinct()
         if known.count() < len({source, target}):
@@ -264,6 +304,13 @@ def search_many(
     ``sources`` and ``targets`` are tables with a ``node`` column. The frontier is
     keyed ``(root, node)``; a root whose targets are all found is dropped from it.
     """
+    with Visited(graph.limits) as seen:
+        return _search_many(graph, sources, targets, max_hops, seen)
+
+
+def _search_many(
+    graph: PropertyGraph, sources: DataFrame, targets: DataFrame, max_hops: int | None, seen: Visited
+) -> PathSearch:
     bound = graph.limits.broadcast_rows
     goals = settle(graph.existing(targets.select("node").distinct()), graph.limits)
     starts = settle(
@@ -277,7 +324,6 @@ def search_many(
     goal_flag = goals.df.select("node", F.lit(True).alias("hit"))
     if goals.rows <= bound:
         goal_flag = F.broadcast(goal_flag)
-    seen = Visited(graph.limits)
     while frontier.rows and sum(search.hits) < starts.rows * goals.rows:
         if max_hops is not None and len(search.levels) > max_hops:
             search.bound_hit = True

@@ -96,6 +96,24 @@ def test_lanes_of_many_sources(spark, n_sources, n_targets, limits):
     assert all(r.bound_hit for r in near)
 
 
+def test_visited_nodes_stay_in_their_buckets(spark):
+    """Beyond the broadcast bound only arrivals are shuffled, to the buckets of what was visited."""
+    tables_before = len(spark.catalog.listTables())
+    pair = lambda lo, hi: spark.range(lo, hi).select(F.lit(1).cast("long").alias("root"), F.col("id").alias("node"))
+    with paths.Visited(Limits(broadcast_rows=5)) as seen:
+        for lo, hi in ((0, 3), (3, 9), (9, 20)):
+            seen.add(settle(pair(lo, hi)))
+        new = seen.unseen(pair(15, 25).groupBy("root", "node").agg(F.count("*").alias("n")))
+        assert sorted(r.node for r in new.collect()) == [20, 21, 22, 23, 24]
+        plan = new._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        visited = plan[plan.index("LeftAnti"):]
+        scan = visited[: visited.index("visited_")].splitlines()
+        assert "Bucketed: true" in visited and "SelectedBucketsCount" in visited
+        assert not any("Exchange" in line for line in scan[-4:])
+        assert new._jdf.queryExecution().toString().split("Physical Plan")[1].split("Initial Plan")[0].count("Exchange") == 1
+    assert len(spark.catalog.listTables()) == tables_before
+
+
 def test_a_lane_holds_a_node_once(spark):
     """A row per lane, not per root: 128 roots lead to one node."""
     graph = graph_of(spark, range(200), [(n, 199) for n in range(128)] + [(199, 198)], endpoints_ok=True)
