@@ -230,6 +230,53 @@ def _(spark, sf_dir):
     return results.query_stats(results.read_documents(spark, path)).drop("error")
 
 
+#: Series with a sample over so many milliseconds count as failed.
+FAILED_MS = 350
+
+
+@query("ing_10_errors")
+def _(spark, sf_dir):
+    """Errors written in place of statistics, and read back."""
+    path = scratch_path(spark, "results")
+    summary = _summary(spark, sf_dir)
+    failed = F.col("max_ms") > FAILED_MS
+    kept = [F.when(~failed, F.col(c)).alias(c) for c in summary.columns if c not in ("engine", "size", "query")]
+    error = F.when(failed, F.lit(f"over {FAILED_MS} ms")).alias("error")
+    results.write_results(summary.select("engine", "size", "query", *kept, error), path)
+    return results.error_messages(results.read_documents(spark, path))
+
+
+@query("ing_10_skipped")
+def _(spark, sf_dir):
+    """Runs that were skipped, with the reason, beside those that were not."""
+    path = scratch_path(spark, "results")
+    summary = _summary(spark, sf_dir)
+    small = F.col("size") == "small"
+    skipped = summary.where(small).select("engine", "size", F.lit("too small").alias("reason")).distinct()
+    results.write_results(summary.where(~small), path, skipped)
+    return results.skipped_runs(results.read_documents(spark, path))
+
+
+@query("ing_10_kinds")
+def _(spark, sf_dir):
+    """Average medians of graph runs and of vector runs of the same engines, apart from each other."""
+    path = scratch_path(spark, "results")
+    summary = _summary(spark, sf_dir)
+    as_vectors = F.when(F.col("size") == "small", F.concat(F.lit(results.VECTOR_PREFIX), "engine"))
+    engine = F.coalesce(as_vectors, "engine").alias("engine")
+    rest = [c for c in summary.columns if c != "engine"]
+    results.write_results(summary.select(engine, *rest), path)
+    documents = results.read_documents(spark, path)
+    kinds = [
+        measure.rank_engines(results.query_stats(part(documents)), sizes).withColumn("kind", F.lit(kind))
+        for kind, part, sizes in (
+            ("graph", results.graph_documents, ["medium"]),
+            ("vector", results.vector_documents, ["small"]),
+        )
+    ]
+    return _rounded(kinds[0].unionByName(kinds[1]), "avg_ms")
+
+
 @query("ing_11")
 def _(spark, sf_dir):
     path = scratch_path(spark, "results")
@@ -370,6 +417,17 @@ def _(spark, sf_dir):
     return _long(traverse.walk_count(_slice(spark, sf_dir), START, 3), "walks")
 
 
+@query("tmp_02_curve")
+def _(spark, sf_dir):
+    """The same over edges stored along a curve through sources and times."""
+    graph = _graph(spark, sf_dir)
+    path = scratch_path(spark, "edges_by_curve")
+    tables.materialise_by_curve(graph.edges, path)
+    stored = graph.with_edges(tables.read_edges(spark, path))
+    window = traverse.time_slice(stored, TS_LO, TS_HI)
+    return _long(traverse.walk_count(window, START, 3), "walks")
+
+
 @query("tmp_03")
 def _(spark, sf_dir):
     return traverse.end_count(_slice(spark, sf_dir), START, 3)
@@ -811,7 +869,11 @@ def _(spark, sf_dir):
     graph = _graph(spark, sf_dir)
     some = pattern.any_triples(graph, "supplier", LIMIT)
     suppliers = filters.nodes_in_category(graph, "supplier").select(F.col("id").alias("b"))
+    edges = graph.edges.select("src", "dst")
     matched = some.join(suppliers, "b", "left_semi")
+    for left, right in (("a", "b"), ("b", "c")):
+        pairs = edges.select(F.col("src").alias(left), F.col("dst").alias(right))
+        matched = matched.join(pairs, [left, right], "left_semi")
     return matched.agg(F.count("*").alias("n_matches"))
 
 

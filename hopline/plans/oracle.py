@@ -248,6 +248,14 @@ SELECT 'dst', dst, count(*) FROM e WHERE dst NOT IN (SELECT id FROM n) GROUP BY
     "ing_09": LATEST,
     "ing_09_chunks": LATEST,
     "ing_10": f"{SUMMARY} SELECT * FROM m",
+    "ing_10_errors": f"""{SUMMARY} SELECT engine, size, query, 'over 350 ms' AS message
+FROM m WHERE max_ms > 350""",
+    "ing_10_skipped": f"{SUMMARY} SELECT DISTINCT engine, size, 'too small' AS reason FROM m WHERE size = 'small'",
+    "ing_10_kinds": f"""{SUMMARY}, a AS (
+  SELECT CASE size WHEN 'small' THEN 'vector' ELSE 'graph' END AS kind, engine, avg(median_ms) AS avg_ms, count(*) AS pairs
+  FROM m WHERE size IN ('small', 'medium') GROUP BY ALL)
+SELECT row_number() OVER (PARTITION BY kind ORDER BY avg_ms, engine) AS place, engine, round(avg_ms, 6) AS avg_ms, pairs, kind
+FROM a""",
     "ing_11": f"""{SUMMARY} SELECT engine, size, engine AS db, count(*) AS n_queries
 FROM m GROUP BY ALL""",
     "flt_01": f"{GRAPH} SELECT * FROM n WHERE id = {PART}",
@@ -275,6 +283,7 @@ SELECT node, CAST(min(d) AS BIGINT) AS distance FROM levels GROUP BY node""",
     "tmp_01": f"{SLICE} SELECT * FROM f",
     "tmp_01_by_period": f"{SLICE} SELECT * FROM f",
     "tmp_02": f"{SLICE} {_walks('f', 3, 'count(*) AS walks')}",
+    "tmp_02_curve": f"{SLICE} {_walks('f', 3, 'count(*) AS walks')}",
     "tmp_03": f"{SLICE} {_walks('f', 3, 'count(DISTINCT {last}.dst) AS ends')}",
     "tmp_04": f"{SLICE}, g AS (SELECT DISTINCT src, dst FROM f) {_walks('g', 3, 'count(*) AS walks')}",
     "pat_01": _triples("supplier"),

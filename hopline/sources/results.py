@@ -22,23 +22,30 @@ DOCUMENT_FIELDS = (
 ERRORS_KEY = "_errors"
 
 
-def write_results(summary: DataFrame, path: str) -> None:
+def write_results(summary: DataFrame, path: str, skipped: DataFrame | None = None) -> None:
     """Write ``(engine, size, query, min_ms, …, iters)`` as one document per engine and size.
 
     Each document is a row, found under ``stem=<engine>_<size>/``. The rows gathered
-    into a document are the query names of one engine and size, not the samples.
+    into a document are the query names of one engine and size, not the samples. With an
+    ``error`` column, a query that has one is written with it and without its missing
+    statistics. ``skipped`` rows ``(engine, size, reason)`` become documents of their own.
     """
     stats = [c.strip().split(" ")[0] for c in STAT_FIELDS.split(",")]
+    stats += ["error"] if "error" in summary.columns else []
     entry = F.struct(F.col("query").alias("key"), F.struct(*stats).alias("value"))
     documents = summary.groupBy("engine", "size").agg(
         F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("queries")
     )
+    if skipped is not None:
+        reasons = skipped.select("engine", "size", F.lit(True).alias("skipped"), "reason")
+        documents = documents.unionByName(reasons, allowMissingColumns=True)
+    rest = [c for c in documents.columns if c not in ("engine", "size")]
     (
         documents.select(
             F.concat_ws("_", _escaped("engine"), _escaped("size")).alias("stem"),
             F.col("engine").alias("db"),
             "size",
-            "queries",
+            *rest,
         )
         .write.mode("overwrite")
         .partitionBy("stem")
@@ -98,6 +105,32 @@ def query_stats(documents: DataFrame) -> DataFrame:
 
 
 def error_messages(documents: DataFrame) -> DataFrame:
-    """One row per recorded error: ``engine, size, query, message``."""
-    errors = F.from_json(F.element_at("queries", ERRORS_KEY), "map<string,string>")
-    return documents.select("engine", "size", F.explode(errors).alias("query", "message"))
+    """One row per query with an error: ``engine, size, query, message``.
+
+    The message is the one recorded under ``_errors``, else the one in the query's place.
+    """
+    recorded = F.from_json(F.element_at("queries", ERRORS_KEY), "map<string,string>")
+    recorded = F.coalesce(recorded, F.expr("cast(map() as map<string,string>)"))
+    in_place = F.transform_values(F.map_filter("queries", lambda k, _: k != ERRORS_KEY), lambda _, v: F.get_json_object(v, "$.error"))
+    left = F.map_filter(in_place, lambda k, v: v.isNotNull() & ~F.map_contains_key(recorded, k))
+    return documents.select("engine", "size", F.explode(F.map_concat(recorded, left)).alias("query", "message"))
+
+
+def skipped_runs(documents: DataFrame) -> DataFrame:
+    """One row per engine and size that was not run: ``engine, size, reason``."""
+    return documents.where("skipped").select("engine", "size", "reason")
+
+
+#: Fixed value: what the engine of a vector document begins with.
+VECTOR_PREFIX = "vec_"
+
+
+def graph_documents(documents: DataFrame) -> DataFrame:
+    """The documents of graph runs; those of vector runs of the same engines are no rivals of them."""
+    return documents.where(~F.startswith("engine", F.lit(VECTOR_PREFIX)))
+
+
+def vector_documents(documents: DataFrame) -> DataFrame:
+    """The documents of vector runs, under their engine's own name."""
+    own = F.expr(f"substring(engine, {len(VECTOR_PREFIX) + 1})")
+    return documents.where(F.startswith("engine", F.lit(VECTOR_PREFIX))).withColumn("engine", own)

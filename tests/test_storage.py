@@ -1,10 +1,13 @@
 import json
+import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from graphs import graph_of, hub_edges
+from hopline.functions.text import round_stat
 from hopline.model import EDGE_SCHEMA
 from hopline.operators import paths, pattern, traverse
 from hopline.plans.lineage import settle, shared_dir
@@ -192,3 +195,51 @@ def test_a_graph_without_manifest_is_none(spark, tmp_path):
     tables._delete(spark, f"{tmp_path}/{tables.MANIFEST}")
     with pytest.raises(AnalysisException):
         tables.open_graph(spark, str(tmp_path))
+
+
+def test_one_layout_skips_by_source_and_by_time(spark, tmp_path):
+    """Row groups that can hold edges of a source in a window, of all row groups."""
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200), "a", rng.randrange(10_000)) for _ in range(6_000)]
+    edges += [(7, 8, "a", 5)] * 900 + [(9, n, "b", 10 * n) for n in range(900)] + [(None, 1, "a", None)]
+    graph = graph_of(spark, range(200), edges, endpoints_ok=True)
+    path = str(tmp_path / "curve")
+    stored = tables.materialise_by_curve(graph.edges.repartition(4), path, files=64, bits=5)
+    assert bag(stored.na.fill(-1)) == bag(graph.edges.na.fill(-1))
+    groups = []
+    for file in (tmp_path / "curve").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.schema.column(c).name: meta.row_group(g).column(c).statistics for c in range(4)}
+            groups.append([(s.min, s.max) if s.has_min_max else (1, 0) for s in (columns["src"], columns["ts"])])
+    within = lambda lo, hi, bounds: bounds[0] <= hi and lo <= bounds[1]
+    both = [sum(within(s, s, src) and within(t, t + 500, ts) for src, ts in groups) / len(groups) for s in (3, 50, 120, 9) for t in (1_000, 8_000)]
+    by_source = sum(within(50, 50, src) for src, _ in groups) / len(groups)
+    by_time = sum(within(1_000, 1_500, ts) for _, ts in groups) / len(groups)
+    assert len(groups) >= 40 and max(both) < 0.15 and by_source < 0.5 and by_time < 0.5
+    window = traverse.time_slice(graph.with_edges(tables.read_edges(spark, path)), 1_000, 1_500)
+    plan = window.edges_at("src", [50])._jdf.queryExecution().toString()
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "ts" in pushed and "src" in pushed
+    assert bag(window.edges_at("src", [9])) == bag(graph.edges.where("src = 9 and ts between 1000 and 1500"))
+
+
+def test_errors_are_read_from_both_places(spark, tmp_path):
+    documents = {
+        "a_small.json": {"queries": {"q1": {"min_ms": 1.0}, "q2": {"error": "short"}, "q3": {"error": "lost"}, "_errors": {"q2": "the whole story"}}},
+        "vec_a_small.json": {"queries": {"q1": {"error": "no"}}},
+        "b_small.json": {"skipped": True, "reason": "too large"},
+    }
+    for name, document in documents.items():
+        (tmp_path / name).write_text(json.dumps(document))
+    read = results.read_documents(spark, str(tmp_path))
+    assert bag(results.error_messages(read)) == [("a", "small", "q2", "the whole story"), ("a", "small", "q3", "lost"), ("vec_a", "small", "q1", "no")]
+    assert bag(results.skipped_runs(read)) == [("b", "small", "too large")]
+    assert {r.engine for r in results.graph_documents(read).collect()} == {"a", "b"}
+    assert {r.engine for r in results.vector_documents(read).collect()} == {"a"}
+
+
+def test_rounding_is_of_the_decimal_form(spark):
+    """Ties go away from zero on the digits a number is written with, not on its binary value."""
+    given = spark.createDataFrame([(0.125,), (2.675,), (-0.125,), (1.005,)], "x double")
+    assert [r.r for r in given.select(round_stat(F.col("x"), 2).alias("r")).collect()] == [0.13, 2.68, -0.13, 1.01]
