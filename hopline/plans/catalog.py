@@ -193,6 +193,23 @@ def _(spark, sf_dir):
     return checks.key_violations(_graph(spark, sf_dir).nodes, ["id"])
 
 
+@query("ing_07_batch")
+def _(spark, sf_dir):
+    """Keys that a batch repeats, itself or from a stored graph, of which only suspects are looked up."""
+    graph = _graph(spark, sf_dir)
+    is_new = F.col("ts") % 2 != 0
+    stored = tables.store_graph(graph.where_edges(~is_new), scratch_path(spark, "graph"), buckets=7)
+    known = checks.store_key_filter(stored.edges, scratch_path(spark, "keys"), EDGE_KEY)
+    return checks.batch_key_violations(stored, known, graph.edges.where(is_new))
+
+
+@query("ing_08_batch")
+def _(spark, sf_dir):
+    """Endpoints of a batch that are no node; suppliers are taken out, so that there are some."""
+    known = _without_suppliers(spark, sf_dir)
+    return checks.batch_missing_endpoints(known, known.edges.where(F.col("ts") % 2 != 0))
+
+
 @query("ing_08")
 def _(spark, sf_dir):
     return checks.missing_endpoints(_without_suppliers(spark, sf_dir))

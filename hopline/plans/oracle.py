@@ -235,6 +235,12 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, category DESC, valu
     "ing_07": f"""{GRAPH} SELECT src, dst, edge_type, count(*) AS n FROM e GROUP BY ALL
 HAVING count(*) > 1""",
     "ing_07_nodes": f"{GRAPH} SELECT id, count(*) AS n FROM n GROUP BY id HAVING count(*) > 1",
+    "ing_07_batch": f"""{GRAPH} SELECT src, dst, edge_type, count(*) AS n FROM e GROUP BY ALL
+HAVING count(*) > 1 AND count(*) FILTER (ts % 2 <> 0) > 0""",
+    "ing_08_batch": f"""{GRAPH}, k AS (SELECT id FROM n WHERE category <> 'supplier'), b AS (SELECT * FROM e WHERE ts % 2 <> 0)
+SELECT 'src' AS side, src AS node, count(*) AS n FROM b WHERE src NOT IN (SELECT id FROM k) GROUP BY src
+UNION ALL
+SELECT 'dst', dst, count(*) FROM b WHERE dst NOT IN (SELECT id FROM k) GROUP BY dst""",
     "ing_08": f"""{GRAPH}, k AS (SELECT id FROM n WHERE category <> 'supplier')
 SELECT 'src' AS side, src AS node, count(*) AS n FROM e WHERE src NOT IN (SELECT id FROM k) GROUP BY src
 UNION ALL

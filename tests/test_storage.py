@@ -1,15 +1,16 @@
 import json
 import random
+from dataclasses import replace
 
 import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from graphs import graph_of, hub_edges
+from graphs import TINY, graph_of, hub_edges
 from hopline.functions.text import round_stat
 from hopline.model import EDGE_SCHEMA
-from hopline.operators import paths, pattern, traverse
+from hopline.operators import checks, paths, pattern, traverse
 from hopline.plans.lineage import settle, shared_dir
 from hopline.plans.limits import Limits
 from hopline.sources import results, tables
@@ -243,3 +244,28 @@ def test_rounding_is_of_the_decimal_form(spark):
     """Ties go away from zero on the digits a number is written with, not on its binary value."""
     given = spark.createDataFrame([(0.125,), (2.675,), (-0.125,), (1.005,)], "x double")
     assert [r.r for r in given.select(round_stat(F.col("x"), 2).alias("r")).collect()] == [0.13, 2.68, -0.13, 1.01]
+
+
+def test_a_batch_is_checked_against_stored_keys(spark, tmp_path):
+    rng = random.Random(4)
+    keys = ["src", "dst", "edge_type"]
+    old = [(rng.randrange(300), rng.randrange(300), "a", n) for n in range(2_000)]
+    batch = [*[(s, d, t, 9_000) for s, d, t, _ in old[:5]], (1_000, 1, "a", 1), (1_001, 1, "a", 1), (1_001, 1, "a", 2), (None, 7, "a", 1)]
+    graph = tables.store_graph(graph_of(spark, range(300), old, endpoints_ok=True), str(tmp_path / "g"), buckets=31)
+    checks.store_key_filter(graph.edges, str(tmp_path / "f"), keys)
+    known = checks.open_key_filter(spark, str(tmp_path / "f"))
+    assert bag(known.may_hold(graph.edges)) == bag(graph.edges.select(*keys).distinct())
+    fresh = spark.range(20_000).selectExpr("id + 5000 as src", "id as dst", "'a' as edge_type")
+    assert known.may_hold(fresh).count() <= 60  # about one in 2,000
+    arrived = spark.createDataFrame(batch, EDGE_SCHEMA)
+    whole = checks.key_violations(graph.edges.unionByName(arrived), keys)
+    whole = whole.join(arrived, [whole[k].eqNullSafe(arrived[k]) for k in keys], "left_semi")
+    want = sorted(map(tuple, whole.collect()), key=str)
+    for g in (graph, replace(graph, limits=TINY)):
+        got = checks.batch_key_violations(g, known, arrived)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+    # an added batch is known as well; adding it again changes nothing
+    known.add(arrived).add(arrived)
+    assert known.may_hold(arrived).count() == 8
+    missing = bag(checks.batch_missing_endpoints(graph, arrived.where("src is not null")))
+    assert missing == [("src", 1_000, 1), ("src", 1_001, 2)]
