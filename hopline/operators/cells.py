@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopline.operators.kernels import (
-    Cells,
     group_code_tops,
     group_means,
     task_cells,
@@ -72,8 +71,9 @@ class CellIndex:
         return len(self.centroids)
 
     @property
-    def known(self) -> Cells:
-        return Cells(self.numbers, self.centroids, self.codes)
+    def known(self) -> tuple:
+        """What tasks get by broadcast: plain arrays, since executors need not have this package."""
+        return self.numbers, self.centroids, self.codes
 
     def entries(self, spark: SparkSession) -> DataFrame:
         """``(id, embedding, nth, code, cell)``: ``copies`` rows per row of the corpus."""

@@ -189,22 +189,22 @@ class Cells:
 
 
 def group_code_tops(k: int, dim: int, cells):
-    """:func:`group_tops` over codes instead of vectors; ``cells`` is a broadcast of :class:`Cells`."""
-    return group_tops(k, dim, lambda corpus: cells.value.decode(corpus))
+    """:func:`group_tops` over codes instead of vectors; ``cells`` broadcasts what :class:`Cells` is made of."""
+    return group_tops(k, dim, lambda corpus: Cells(*cells.value).decode(corpus))
 
 
 def task_code_tops(cells, unit, k: int):
     """The function a task runs: ``(id, vector: code, cell)`` in, its rows nearest to one query out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops = Tops(1, k)
+        tops, known = Tops(1, k), Cells(*cells.value)
         for batch in batches:
             own = batch.column("cell").to_numpy()
             for cell in np.unique(own):
                 part = pa.Table.from_batches([batch.take(pa.array(np.flatnonzero(own == cell)))])
                 ids = part.column("id").to_numpy()
                 order = np.argsort(ids, kind="stable")
-                rows = cells.value.decode(part)[order]
+                rows = known.decode(part)[order]
                 tops.add(np.zeros(1, dtype=np.int64), *block_best(ids[order], rows, unit, k))
         found = np.flatnonzero(tops.steps[0] < NO_DISTANCE)
         yield pa.RecordBatch.from_arrays(
@@ -219,7 +219,8 @@ def task_probes(cells, dim: int, nprobe: int):
     """The function a task runs: ``(query_id, vector)`` in, a row per query and probed cell out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ways, numbers = cells.value.centroids.T, cells.value.numbers
+        known = Cells(*cells.value)
+        ways, numbers = known.centroids.T, known.numbers
         for batch in batches:
             units = unit_rows(matrix(batch.column(1), dim))
             choice = np.argsort(-(units @ ways), axis=1, kind="stable")[:, :nprobe]
@@ -248,7 +249,7 @@ def task_cells(cells, dim: int, no_cell: int, copies: int = 1, among=None):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = cells.value
+        known = Cells(*cells.value)
         for batch in batches:
             ids, vectors = batch.columns[:2]
             length = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
@@ -293,10 +294,11 @@ def task_stretches(cells, dim: int, parts: int):
     rows without their centroids, stretch by stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Cells(*cells.value)
         for batch in batches:
             units = unit_rows(matrix(batch.column(1), dim))
-            at = np.argmax(units @ cells.value.centroids.T, axis=1)
-            rest = cells.value.stretches(units - cells.value.centroids[at], parts)
+            at = np.argmax(units @ known.centroids.T, axis=1)
+            rest = known.stretches(units - known.centroids[at], parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(parts, dtype=np.int32)), pa.array([rest[:, m].tobytes() for m in range(parts)], pa.binary())],
                 names=["part", "rows"],

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from hopline.operators.cells import NO_CELL, _rows, _trainable
 from hopline.operators.kernels import (
-    Cells,
     group_means,
     matrix,
     task_block_tops,
@@ -69,7 +68,7 @@ def pack_by_direction(
     ways = ways[~np.isnan(ways).any(axis=1)]
     if not len(ways):
         return Blocks(cut(corpus.sparkSession.createDataFrame([], BLOCKS)), ways, dim)
-    known = context.broadcast(Cells(np.arange(len(ways)), ways))
+    known = context.broadcast((np.arange(len(ways)), ways))
     entries = "id long, embedding array<float>, nth int, code binary, cell int"
     dealt = rows.mapInArrow(task_cells(known, dim, NO_CELL), entries).where(F.col("cell") != NO_CELL)
     order = ["cell", F.xxhash64("id", "embedding")]
