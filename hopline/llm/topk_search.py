@@ -207,13 +207,13 @@ class _Meeting:
     def __init__(self, asked: DataFrame, held: DataFrame, query_buckets: int, row_buckets: int):
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         mine = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        self.asked = asked.withColumn("qb", mine("key", query_buckets)).withColumn("rb", every(row_buckets))
+        self.asked, self.each = asked.withColumn("qb", mine("key", query_buckets)), every(row_buckets)
         self.held = held.withColumn("rb", mine("block", row_buckets)).withColumn("qb", every(query_buckets))
         self.tasks = query_buckets * row_buckets
 
     def apply(self, state: DataFrame, run, schema: str) -> DataFrame:
         by = ["dim", "qb", "rb"]
-        asked = self.asked.join(state, "key").select(*by, "key", "vec_id", "x", "base", "need")
+        asked = self.asked.join(state, "key").withColumn("rb", self.each).select(*by, "key", "vec_id", "x", "base", "need")
         held = self.held.select(*by, "ids", "known", "kind", "x")
         # dealt out here, so that small inputs are not drawn together into few tasks
         tasks = min(self.tasks, 10 * int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")))
