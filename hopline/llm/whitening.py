@@ -101,7 +101,7 @@ def scatter(a: BlockMatrix) -> np.ndarray:
     a = a.persist(StorageLevel.DISK_ONLY)  # read by the listing of blocks and by both sides
     product = a.transpose()._java_matrix_wrapper.call("multiply", a._java_matrix_wrapper._java_model, splits)
     result = BlockMatrix(product, a.colsPerBlock, a.colsPerBlock).toLocalMatrix().toArray()
-    a.blocks.unpersist()
+    a._java_matrix_wrapper._java_model.blocks().unpersist(False)
     return result
 
 
