@@ -13,7 +13,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_registry():
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(q.startswith(n) for q in contract.queries()) == 1 for n in names) and "pipeline" in contract.queries()
 
 
@@ -22,6 +22,29 @@ def test_query_equals_sql(spark, name):
     assert differences(QUERIES[name](spark, SF_DIR), connect(SF_DIR), ORACLE[name]) is None
 
 
+def test_every_stage_takes_odd_rows_and_empty_tables(spark):
+    """Nulls, empty and long texts, repeated rows and clashing columns; all but the last stage keep the columns."""
+    long = " ".join(f"word{n % 97} and" for n in range(6_000)) + "."
+    rows = [(1, None), (2, ""), (3, " \n"), (None, "a few words only"), (4, long), (4, long), (5, "mail me@example.org now " * 30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_key string, root int, _d int, kept int"
+    given = spark.createDataFrame([(i, t, None, None, 1, "k", 2, 3, 4) for i, t in rows], schema)
+    said = lambda df: sorted((str(r.doc_id), r.text) for r in df.filter("text rlike '[a-z]'").collect())
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, given.limit(0), SF_DIR).count() == 0
+        done = stage(spark, given, SF_DIR)
+        if name == "BPE encoding":
+            assert sorted(r.n_tokens > 0 for r in done.collect()) == [False] * 2 + [True] * 5
+            continue
+        assert done.columns == given.columns
+        if name == "n-gram Jaccard join":  # of the repeated row one stays, of the texts without words all
+            assert [i for i, _ in said(done)] == ["4", "5", "None"] and done.count() == 6
+        if name == "benchmark decontamination":
+            assert done.count() == 7
+        if name == "PII":
+            texts = {r.doc_id: r.text for r in done.collect()}
+            assert done.count() == 7 and texts[1] is None and texts[4] == long and "example.org" not in texts[5]
+
+
 def test_stages(spark):
     from tokenizers import Tokenizer
 
