@@ -13,6 +13,7 @@ from hopline.model import EDGE_SCHEMA
 from hopline.operators import checks, paths, pattern, traverse
 from hopline.plans.lineage import settle, shared_dir
 from hopline.plans.limits import Limits
+from hopline.plans.session import PARTITION_BYTES, recommended_settings
 from hopline.sources import results, tables
 from hopline.streaming.append import append_arrivals
 
@@ -269,3 +270,10 @@ def test_a_batch_is_checked_against_stored_keys(spark, tmp_path):
     assert known.may_hold(arrived).count() == 8
     missing = bag(checks.batch_missing_endpoints(graph, arrived.where("src is not null")))
     assert missing == [("src", 1_000, 1), ("src", 1_001, 2)]
+
+
+def test_shuffle_width_follows_the_input():
+    wide = recommended_settings(input_bytes=100 * 10**12)
+    assert int(wide["spark.sql.shuffle.partitions"]) * PARTITION_BYTES >= 100 * 10**12
+    assert recommended_settings(input_bytes=10)["spark.sql.shuffle.partitions"] == "200"
+    assert "spark.sql.shuffle.partitions" not in recommended_settings()
