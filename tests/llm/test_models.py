@@ -149,6 +149,22 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    """Every task of a shuffle leaves files; few edges must not leave them for all partitions."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "x long, y long")
+    wide = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    for k, v in wide.items():
+        spark.conf.set(k, v)
+    try:
+        found = components(edges, "x", "y")
+        assert found.rdd.getNumPartitions() <= 16
+        assert dict(found.collect()) == dict.fromkeys(range(61), 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_html_layouts_and_odd_pages(spark):
     model, rng = html_extract.fit(), random.Random(99)
     right = found = wanted = 0
