@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopline.model import PropertyGraph, missing_ids
@@ -37,9 +37,11 @@ def wrong_vectors(df: DataFrame, column: str, dim: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class KeyFilter:
-    """A stored Bloom filter of keys: ``(word, mask)`` rows, below ``path`` by stretches of words.
+    """A stored Bloom filter of keys: blocks of ``hashes`` words, below ``path`` by stretches of blocks.
 
-    Keys that were added always pass; of others about one in 2,000 does, at 16 bits a key.
+    A key sets one bit in each word of one block, so it is moved once, as its block and one
+    hash that says which bits. Keys that were added always pass; of others about one in 1,000
+    does, at 16 bits a key.
     """
 
     path: str
@@ -47,21 +49,34 @@ class KeyFilter:
     bits: int
     hashes: int
 
-    def _spots(self, keys: DataFrame) -> DataFrame:
-        """``keys`` once for each of their bits, with ``word`` and ``bit``."""
-        spot = [F.pmod(F.xxhash64(F.lit(n), *self.keys), F.lit(self.bits)) for n in range(self.hashes)]
-        each = keys.select("*", F.explode(F.array(*spot)).alias("_spot"))
-        word, bit = F.shiftright("_spot", 6), F.col("_spot").bitwiseAND(F.lit(63)).cast("int")
-        return each.select(*keys.columns, word.alias("word"), bit.alias("bit"))
+    @property
+    def words(self) -> list[str]:
+        return [f"w{n}" for n in range(self.hashes)]
+
+    @property
+    def schema(self) -> str:
+        return ", ".join(f"{name} long" for name in ["block", *self.words, "stretch"])
+
+    def _block(self) -> Column:
+        blocks = max(1, -(-self.bits // (64 * self.hashes)))
+        return F.pmod(F.xxhash64(F.lit(0), *self.keys), F.lit(blocks)).alias("block")
+
+    def _spots(self) -> list[Column]:
+        """Hashes of which every six bits choose the bit of a word."""
+        return [F.xxhash64(F.lit(n + 1), *self.keys).alias(f"spots{n}") for n in range(-(-self.hashes // SPOTS))]
+
+    def _masks(self) -> list[Column]:
+        place = "(shiftrightunsigned(spots{}, {}) & 63L)"
+        return [F.expr(f"shiftleft(1L, cast({place.format(n // SPOTS, 6 * (n % SPOTS))} as int))") for n in range(self.hashes)]
 
     def add(self, rows: DataFrame) -> KeyFilter:
         """Put the keys of ``rows`` in. Adding keys twice changes nothing."""
-        words = self._spots(rows.select(*self.keys).distinct()).groupBy("word")
-        masks = words.agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-        stretch = F.shiftright("word", STRETCH_BITS).alias("stretch")
-        masks.select("word", "mask", stretch).hint("rebalance", "stretch").write.mode("append").partitionBy(
-            "stretch"
-        ).parquet(f"{self.path}/words")
+        # dealt out as hashes; each block's words are put together where its keys have come
+        dealt = rows.select(self._block(), *self._spots()).repartition("block")
+        words = [F.bit_or(mask).alias(word) for word, mask in zip(self.words, self._masks())]
+        stretch = F.shiftright("block", STRETCH_BITS).alias("stretch")
+        blocks = dealt.groupBy("block").agg(*words).select("block", *self.words, stretch)
+        blocks.write.mode("append").partitionBy("stretch").parquet(f"{self.path}/words")
         return self
 
     def may_hold(self, rows: DataFrame) -> DataFrame:
@@ -69,18 +84,17 @@ class KeyFilter:
 
         The probes are brought to the filter's words; what the filter stands for is not read.
         """
-        keys = rows.select(*self.keys).distinct()
-        stored = rows.sparkSession.read.schema("word long, mask long, stretch long").parquet(f"{self.path}/words")
-        masks = stored.groupBy("word").agg(F.bit_or("mask").alias("mask"))
-        found = self._spots(keys).join(masks, "word")
-        found = found.where(F.expr("shiftrightunsigned(mask, bit) & 1L") == 1)
-        # different hashes of a key may share a bit: as many rows as hashes all the same
-        passed = found.groupBy(*self.keys).agg(F.count("*").alias("_n"))
-        return passed.where(F.col("_n") == self.hashes).select(*self.keys)
+        stored = rows.sparkSession.read.schema(self.schema).parquet(f"{self.path}/words")
+        blocks = stored.groupBy("block").agg(*[F.bit_or(word).alias(word) for word in self.words])
+        found = rows.select(*self.keys, self._block(), *self._spots()).join(blocks, "block")
+        holds = [F.col(word).bitwiseAND(mask) != 0 for word, mask in zip(self.words, self._masks())]
+        return found.where(reduce(lambda a, b: a & b, holds)).select(*self.keys).distinct()
 
 
-#: Words of a filter in one folder, as a power of two.
-STRETCH_BITS = 20
+#: Blocks of a filter in one folder, as a power of two.
+STRETCH_BITS = 24
+#: Places among 64 bits that one hash gives.
+SPOTS = 10
 
 
 def store_key_filter(
@@ -90,7 +104,7 @@ def store_key_filter(
     spark = rows.sparkSession
     n = expected if expected is not None else 2 * rows.count()
     made = KeyFilter(path, tuple(keys), max(64, n * bits_per_key), hashes)
-    empty = spark.createDataFrame([], "word long, mask long, stretch long")
+    empty = spark.createDataFrame([], made.schema)
     empty.write.mode("overwrite").parquet(f"{path}/words")
     made.add(rows)
     kept = spark.createDataFrame([(list(keys), made.bits, hashes)], "keys array<string>, bits long, hashes int")

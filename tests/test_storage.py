@@ -272,6 +272,17 @@ def test_a_batch_is_checked_against_stored_keys(spark, tmp_path):
     assert missing == [("src", 1_000, 1), ("src", 1_001, 2)]
 
 
+def test_a_key_is_moved_once_to_a_filter(spark, tmp_path):
+    """One row per key goes to the filter, and one to be compared with it, not one per hash."""
+    rows = spark.range(1_000).selectExpr("id as src", "if(id % 2 = 0, id, null) as dst", "'a' as edge_type")
+    for hashes in (7, 12):
+        known = checks.store_key_filter(rows, str(tmp_path / str(hashes)), ["src", "dst", "edge_type"], hashes=hashes)
+        plan = known.may_hold(rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan
+        assert known.may_hold(rows).count() == 1_000
+        assert known.may_hold(rows.selectExpr("src + 5000 as src", "dst", "edge_type")).count() <= 10
+
+
 def test_shuffle_width_follows_the_input():
     wide = recommended_settings(input_bytes=100 * 10**12)
     assert int(wide["spark.sql.shuffle.partitions"]) * PARTITION_BYTES >= 100 * 10**12
