@@ -22,6 +22,7 @@ from hopline.model import PropertyGraph
 from hopline.plans.limits import Limits
 from hopline.plans.lineage import Settled, cut, scratch_path, settle
 from hopline.plans.skew import expand, in_list, leaving
+from hopline.sources.tables import split_edges
 
 #: Earlier levels are kept as one table once there are more than this many.
 LEVELS_APART = 8
@@ -46,9 +47,7 @@ class Visited:
 
     def __exit__(self, *_) -> None:
         if self.name:
-            self.spark.sql(f"drop table if exists {self.name}")
-            place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            _drop(self.spark, self.name, self.path)
             self.name = None
 
     def add(self, level: Settled) -> None:
@@ -82,15 +81,55 @@ class Visited:
         return arrivals.join(visited, ["root", "node"], "left_anti")
 
 
+class Dealt:
+    """A graph whose edges are dealt out to buckets by source once, for all later rounds.
+
+    While frontiers may be broadcast, the edges are read where they are. The first one that
+    is larger has ``(src, dst)`` of all edges stored by ``split_edges``; from then on rounds
+    shuffle their frontier and arrivals only. Used as a context; the tables go when it ends.
+    """
+
+    #: Edges in a bucket, so that a task sorts them in memory.
+    BUCKET_ROWS = 4_000_000
+
+    def __init__(self, graph: PropertyGraph):
+        self.graph, self.name, self.path = graph, None, None
+
+    def __enter__(self) -> Dealt:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.name:
+            _drop(self.graph.nodes.sparkSession, self.name, self.path)
+            self.name = None
+
+    def before(self, frontier: Settled) -> PropertyGraph:
+        """The graph to extend ``frontier`` in."""
+        if frontier.rows > self.graph.limits.broadcast_rows and self.graph.parts is None:
+            spark = self.graph.nodes.sparkSession
+            pairs = self.graph.with_edges(self.graph.edges.select("src", "dst").where("src is not null"))
+            least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            buckets = max(least, -(-pairs.edges.count() // self.BUCKET_ROWS))
+            self.path, self.name = scratch_path(spark, "dealt"), f"dealt_{uuid.uuid4().hex}"
+            self.graph = split_edges(pairs, self.path, self.name, buckets)
+        return self.graph
+
+
+def _drop(spark: SparkSession, name: str, path: str) -> None:
+    spark.sql(f"drop table if exists {name}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _start(spark: SparkSession, node: int) -> Settled:
     df = spark.sql(f"select {int(node)}L as root, {int(node)}L as node")
     return Settled(df, 1, [Row(root=int(node), node=int(node))])
 
 
 def _next_level(
-    graph: PropertyGraph, frontier: Settled, seen: Visited, root: int | None = None
+    graph: PropertyGraph, frontier: Settled, seen: Visited, root: int | None = None, parents: bool = True
 ) -> DataFrame:
-    """``(root, node, parent)`` first reached one edge beyond the frontier.
+    """``(root, node, parent)`` first reached one edge beyond the frontier, or without ``parent``.
 
     With a single ``root`` the frontier is only a list of sources.
     """
@@ -98,9 +137,28 @@ def _next_level(
         step = expand(graph, frontier)
     else:
         step = leaving(graph, frontier).withColumn("root", F.lit(root).cast("long"))
-    parent = F.min("src").alias("parent")
-    arrivals = step.groupBy("root", F.col("dst").alias("node")).agg(parent)
-    return graph.existing(seen.unseen(arrivals))
+    arrivals = step.select("root", F.col("dst").alias("node"), F.col("src").alias("parent"))
+    if parents:
+        arrivals = arrivals.groupBy("root", "node").agg(F.min("parent").alias("parent"))
+    else:
+        arrivals = arrivals.select("root", "node").distinct()
+    return _existing(graph, seen.unseen(arrivals))
+
+
+def _existing(graph: PropertyGraph, arrivals: DataFrame) -> DataFrame:
+    """Arrivals at nodes of the graph; a few are looked up, and the nodes stay where they are.
+
+    A join with all nodes would bring them to the driver, as a broadcast, in every round of
+    a long search if they are just small enough for one.
+    """
+    if graph.endpoints_ok:
+        return arrivals
+    fresh = settle(arrivals.where("node is not null"), graph.limits)
+    few = fresh.literals("node")
+    if few is None:
+        return graph.existing(fresh.df)
+    known = graph.nodes.where(in_list("id", few)).select("id").distinct()
+    return fresh.df.join(F.broadcast(known), F.col("node") == F.col("id"), "left_semi")
 
 
 def reach(graph: PropertyGraph, source: int, max_hops: int | None = None) -> DataFrame:
@@ -111,10 +169,11 @@ def reach(graph: PropertyGraph, source: int, max_hops: int | None = None) -> Dat
     """
     here = graph.nodes.where(F.col("id") == source)
     levels = [settle(here.select(F.col("id").alias("root"), F.col("id").alias("node")), graph.limits)]
-    with Visited(graph.limits) as seen:
+    with Visited(graph.limits) as seen, Dealt(graph) as dealt:
         while levels[-1].rows and (max_hops is None or len(levels) <= max_hops):
             seen.add(levels[-1])
-            levels.append(settle(_next_level(graph, levels[-1], seen, source), graph.limits))
+            step = _next_level(dealt.before(levels[-1]), levels[-1], seen, source, parents=False)
+            levels.append(settle(step, graph.limits))
     found = [
         level.df.select("node", F.lit(depth).cast("long").alias("distance"))
         for depth, level in enumerate(levels)
@@ -213,15 +272,18 @@ def search_pair(
     the search. Sets ``hit`` on the last level; with ``routes`` unset that level
     tells the length only.
     """
-    with Visited(graph.limits) as ahead, Visited(graph.limits) as behind:
-        return _search_pair(graph, source, target, max_hops, routes, {True: ahead, False: behind})
+    with (
+        Visited(graph.limits) as ahead, Visited(graph.limits) as behind,
+        Dealt(graph) as onward, Dealt(graph.reversed()) as back,
+    ):
+        seen, dealt = {True: ahead, False: behind}, {True: onward, False: back}
+        return _search_pair(graph, source, target, max_hops, routes, seen, dealt)
 
 
 def _search_pair(
-    graph: PropertyGraph, source: int, target: int, max_hops: int | None, routes: bool, seen: dict
+    graph: PropertyGraph, source: int, target: int, max_hops: int | None, routes: bool, seen: dict, dealt: dict
 ) -> PathSearch:
     spark = graph.nodes.sparkSession
-    turned = graph.reversed()
     forward, backward = [_start(spark, source)], [_start(spark, target)]
     if not graph.endpoints_ok:
         known = graph.nodes.where(F.col("id").isin(source, target)).select("id").distinct()
@@ -231,9 +293,9 @@ def _search_pair(
         if max_hops is not None and len(forward) + len(backward) - 2 >= max_hops:
             return PathSearch(forward, [0] * len(forward), bound_hit=True)
         ahead = forward[-1].rows <= backward[-1].rows
-        side, other, g = (forward, backward, graph) if ahead else (backward, forward, turned)
+        side, other = (forward, backward) if ahead else (backward, forward)
         start = source if ahead else target
-        level = settle(_next_level(g, side[-1], seen[ahead], start), graph.limits)
+        level = settle(_next_level(dealt[ahead].before(side[-1]), side[-1], seen[ahead], start), graph.limits)
         side.append(level)
         seen[ahead].add(level)
         if level.rows == 0:
@@ -253,7 +315,7 @@ def _search_pair(
     # backward levels, keeping only nodes that lie on a shortest path.
     here, levels = common, list(forward)
     for nearer in reversed(backward[:-1]):
-        arrivals = _next_level(graph, here, Visited(graph.limits), source)
+        arrivals = _next_level(dealt[True].before(here), here, Visited(graph.limits), source)
         near = nearer.df.select("node")
         near = F.broadcast(near) if nearer.rows <= graph.limits.broadcast_rows else near
         here = settle(arrivals.join(near, "node", "left_semi"), graph.limits)
@@ -304,12 +366,12 @@ def search_many(
     ``sources`` and ``targets`` are tables with a ``node`` column. The frontier is
     keyed ``(root, node)``; a root whose targets are all found is dropped from it.
     """
-    with Visited(graph.limits) as seen:
-        return _search_many(graph, sources, targets, max_hops, seen)
+    with Visited(graph.limits) as seen, Dealt(graph) as dealt:
+        return _search_many(graph, sources, targets, max_hops, seen, dealt)
 
 
 def _search_many(
-    graph: PropertyGraph, sources: DataFrame, targets: DataFrame, max_hops: int | None, seen: Visited
+    graph: PropertyGraph, sources: DataFrame, targets: DataFrame, max_hops: int | None, seen: Visited, dealt: Dealt
 ) -> PathSearch:
     bound = graph.limits.broadcast_rows
     goals = settle(graph.existing(targets.select("node").distinct()), graph.limits)
@@ -328,7 +390,7 @@ def _search_many(
         if max_hops is not None and len(search.levels) > max_hops:
             search.bound_hit = True
             break
-        level = _next_level(graph, frontier, seen)
+        level = _next_level(dealt.before(frontier), frontier, seen)
         level = level.join(goal_flag, "node", "left").select(
             "root", "node", "parent", F.coalesce("hit", F.lit(False)).alias("hit")
         )
@@ -440,6 +502,13 @@ def search_lanes(
     ``roots`` and ``goals`` hold a ``node`` column of distinct nodes. A root that has reached
     all goals is taken out of the frontier.
     """
+    with Dealt(graph) as dealt:
+        return _search_lanes(graph, roots, goals, max_hops, dealt)
+
+
+def _search_lanes(
+    graph: PropertyGraph, roots: Settled, goals: Settled, max_hops: int | None, dealt: Dealt
+) -> LaneSearch:
     bound = graph.limits.broadcast_rows
     numbers = _numbered(roots)
     numbers = F.broadcast(numbers) if roots.rows <= bound else numbers
@@ -453,8 +522,8 @@ def search_lanes(
             search.bound_hit = True
             break
         depth += 1
-        arrivals = expand(graph, frontier).select(F.col("dst").alias("node"), "lane", "bits")
-        level = graph.existing(seen.unseen(arrivals)).join(is_goal, "node", "left")
+        arrivals = expand(dealt.before(frontier), frontier).select(F.col("dst").alias("node"), "lane", "bits")
+        level = _existing(graph, seen.unseen(arrivals)).join(is_goal, "node", "left")
         level = settle(level.withColumn("hit", F.coalesce("hit", F.lit(False))), graph.limits)
         seen.add(level)
         if level.head is not None:

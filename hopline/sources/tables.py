@@ -153,7 +153,7 @@ def split_edges(graph: PropertyGraph, path: str, name: str, buckets: int) -> Pro
     )
     parts = (
         spark.table(name),
-        materialise_clustered(hot, f"{path}/hot", ["src", "dst", "edge_type", "ts"]),
+        materialise_clustered(hot, f"{path}/hot", hot.columns),
     )
     return replace(graph, edges=parts[0].unionByName(parts[1]), parts=parts)
 

@@ -114,6 +114,34 @@ def test_visited_nodes_stay_in_their_buckets(spark):
     assert len(spark.catalog.listTables()) == tables_before
 
 
+def test_edges_are_dealt_out_once(spark, monkeypatch):
+    """Searches with frontiers too large to broadcast shuffle the edges once, not in each round."""
+    stored, real = [], tables.split_edges
+    monkeypatch.setattr(paths, "split_edges", lambda *a: stored.append(a[2]) or real(*a), raising=False)
+    edges, tables_before = hub_edges(seed=6), len(spark.catalog.listTables())
+    graph = graph_of(spark, range(NODES), [*edges, (None, 3)], limits=TINY)
+    brute = Brute(edges)
+    assert pairs(paths.reach(graph, 3)) == brute.distances(3) | {3: 0}
+    assert len(stored) == 1
+    ends = spark.createDataFrame([(n,) for n in (1, 3, 4)], "node long")
+    want = {(a, b): d for a in (1, 3, 4) for b, d in brute.distances(a).items() if b in (1, 3, 4)}
+    found = paths.shortest_lengths(graph, ends, ends).collect()
+    assert {(r.source, r.target): r.length for r in found} == want and len(stored) == 2
+    routes = paths.shortest_routes(graph, ends, ends).groupBy("source", "target").count().collect()
+    assert {(r.source, r.target): r["count"] - 1 for r in routes} == want and len(stored) == 3
+    assert len(spark.catalog.listTables()) == tables_before
+
+
+def test_few_arrivals_are_looked_up_among_the_nodes(spark):
+    """Not joined with all nodes, which Spark may broadcast in each round of a long search."""
+    chain = graph_of(spark, [1, 2, 2, 4], [(1, 2), (1, 3), (1, None), (2, 4)])
+    here = settle(spark.sql("select 1L as root, 1L as node"))
+    for root in (1, None):
+        level = paths._next_level(chain, here, paths.Visited(chain.limits), root)
+        assert [(r.root, r.node, r.parent) for r in level.collect()] == [(1, 2, 1)]
+        assert "IN (2,3)" in level._jdf.queryExecution().analyzed().toString().replace("cast(", "").replace(" as bigint)", "")
+
+
 def test_a_lane_holds_a_node_once(spark):
     """A row per lane, not per root: 128 roots lead to one node."""
     graph = graph_of(spark, range(200), [(n, 199) for n in range(128)] + [(199, 198)], endpoints_ok=True)
