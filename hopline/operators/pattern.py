@@ -39,6 +39,14 @@ def _first_edges(
     return pairs.distinct() if distinct else pairs
 
 
+def _among_targets(graph: PropertyGraph, edges: DataFrame, middles: Settled) -> Settled:
+    """The middle nodes that some edges lead to, if these have few targets; else all middle nodes."""
+    targets = settle(edges.select(F.col("dst").alias("node")).where("node is not null").distinct(), graph.limits)
+    if targets.rows > graph.limits.broadcast_rows:
+        return middles
+    return settle(middles.df.join(F.broadcast(targets.df), "node", "left_semi"), graph.limits)
+
+
 def _first_pairs(graph: PropertyGraph, middles: Settled, n: int, distinct: bool) -> Settled:
     """The first ``n`` pairs by ``(a, b)``.
 
@@ -53,7 +61,8 @@ def _first_pairs(graph: PropertyGraph, middles: Settled, n: int, distinct: bool)
             last, found = starts.limit(n * factor).agg(F.max("src"), F.count("*")).first()
             if found < n * factor:
                 break
-            pairs = _first_edges(graph, edges.where(F.col("src") <= last), middles, distinct)
+            within = edges.where(F.col("src") <= last)
+            pairs = _first_edges(graph, within, _among_targets(graph, within, middles), distinct)
             kept = settle(pairs.orderBy("a", "b").limit(n), graph.limits)
             if kept.rows == n:
                 return kept
@@ -119,19 +128,38 @@ def any_triples(graph: PropertyGraph, category: str, limit: int) -> DataFrame:
     return _extended(graph, settle(pairs, graph.limits), limit, distinct=False)
 
 
+def _degrees(edges: DataFrame) -> DataFrame:
+    """``(node, n_in, n_out)`` of the nodes with edges on both sides, in one scan."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = edges.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("dst").alias("node"), one.alias("n_in"), none.alias("n_out")),
+                F.struct(F.col("src").alias("node"), none.alias("n_in"), one.alias("n_out")),
+            )
+        )
+    )
+    counted = ends.groupBy("node").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
+    return counted.where((F.col("n_in") > 0) & (F.col("n_out") > 0))
+
+
 def triple_count(graph: PropertyGraph, category: str) -> DataFrame:
     """``(matches)``: how many matches there are, without forming any.
 
     A middle node has in-degree times out-degree matches. Edges that do not touch
     a middle node are left out on either side before both degrees are aggregated;
-    the join shares their partitioning.
+    the join shares their partitioning. With more middle nodes than may be broadcast,
+    both degrees of all nodes are counted instead, which moves a row per node and task
+    and no edge.
     """
     graph = graph.checked()
     middles = _middles(graph, category)
+    product = F.col("n_in").cast("decimal(19,0)") * F.col("n_out").cast("decimal(19,0)")
+    total = F.coalesce(F.sum(product.cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+    if middles.rows > graph.limits.broadcast_rows:
+        return _degrees(graph.edges).join(middles.df, "node", "left_semi").agg(total.alias("matches"))
     into, out = match_keys(graph, None, "dst", middles), match_keys(graph, None, "src", middles)
     incoming = into.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
     outgoing = out.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
-    product = F.col("n_in").cast("decimal(19,0)") * F.col("n_out").cast("decimal(19,0)")
-    total = F.coalesce(F.sum(product.cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
     matched = incoming.join(outgoing, "node")
     return matched.agg(total.alias("matches"))

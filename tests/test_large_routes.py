@@ -176,6 +176,26 @@ def test_pattern(case):
     assert len(some) == 20 and set(some) <= set(matches)
 
 
+def test_many_middle_nodes_are_counted_without_moving_edges(spark):
+    """No hubs are looked for and no edges joined: both degrees are added up in each task."""
+    edges = hub_edges(seed=7)
+    graph = graph_of(spark, [(n, "even" if n % 2 == 0 else "odd") for n in range(NODES)], edges, limits=TINY, endpoints_ok=True)
+    want = sum(1 for _, b, *_ in edges if b % 2 == 0 for src, *_ in edges if src == b)
+    assert int(pattern.triple_count(graph, "even").first()[0]) == want
+    assert not graph._hubs
+
+
+def test_first_pairs_of_many_middle_nodes_need_no_hubs(spark):
+    """The first start nodes lead to few middle nodes; only these are compared."""
+    edges = [(a, 100 + a % 40) for a in range(60)] + [(100 + b, b) for b in range(40)]
+    limits = Limits(literal_rows=1, broadcast_rows=20)
+    graph = graph_of(spark, [*range(60), *[(100 + b, "q") for b in range(40)]], edges, limits=limits, endpoints_ok=True)
+    want = sorted((a, 100 + a % 40, a % 40) for a in range(60))[:5]
+    assert [tuple(r) for r in pattern.triples(graph, "q", 5).collect()] == want
+    assert [tuple(r) for r in pattern.distinct_triples(graph, "q", 5).collect()] == want
+    assert not graph._hubs
+
+
 def test_time_slice(case):
     graph, edges, _ = case
     kept = [e for e in edges if 20 <= e[3] <= 70]
