@@ -17,8 +17,8 @@ from hopline.functions.vectors import DISTANCE_DECIMALS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Distances formed at a time inside a task.
-BLOCK = 4_000_000
+#: Products formed at a time when most rows are left out by them, and the first rows, which set bounds.
+TILE, HEAD = 1_000_000, 1_024
 
 #: Distance, in units of the last reported decimal, of rows that cannot be compared.
 NO_DISTANCE = np.iinfo(np.int32).max
@@ -76,23 +76,77 @@ class Tops:
         self.ids[at] = np.take_along_axis(ids, order, axis=1)
 
 
+class Nearest(Tops):
+    """The ``k`` rows nearest to each of the caller's unit vectors, of all that were compared.
+
+    A query's k-th distance so far bounds what is still of interest to it, and so does ``most``
+    (in units of the last decimal) if it is given. Products in single precision, less what
+    rounding can take from them, leave out nearly all rows; the others are compared in double.
+    """
+
+    def __init__(self, units: np.ndarray, k: int, most: np.ndarray | None = None):
+        super().__init__(len(units), k)
+        self.units, self.single = units, units.astype(np.float32)
+        self.most = np.full(len(units), NO_DISTANCE, dtype=np.int64) if most is None else most.copy()
+        self.most[np.isnan(units).any(axis=1)] = -1
+
+    def bounds(self, at: np.ndarray) -> np.ndarray:
+        return np.minimum(self.most[at], self.steps[at, -1])
+
+    def compare(self, at: np.ndarray, ids: np.ndarray, units: np.ndarray) -> None:
+        """Rows, sorted by id, with the queries ``at``. Few rows come first where bounds are missing."""
+        single = units.astype(np.float32)
+        length = np.einsum("ij,ij->i", units, units)
+        longest = np.sqrt(length[~np.isnan(length)].max(initial=1.0))
+        slack = (units.shape[1] + 8) * 2.0**-23 * longest
+        rows = 8 * HEAD
+        first, width = 0, HEAD if (self.bounds(at) == NO_DISTANCE).any() else rows
+        while first < len(ids):
+            part = slice(first, first + width)
+            each = max(1, TILE // min(width, len(ids) - first))
+            for start in range(0, len(at), each):
+                self._compare(at[start : start + each], ids[part], units[part], single[part], slack)
+            first, width = first + width, min(rows, first + width)
+
+    def _compare(self, at, ids, units, single, slack: float) -> None:
+        bounds = self.bounds(at)
+        least = 1.0 - (bounds + 1) / 10.0**DISTANCE_DECIMALS - slack
+        least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+        near = self.single[at] @ single.T >= least[:, None]
+        if np.count_nonzero(near) > near.size // 16:  # no bounds yet, or very many equal distances
+            self.add(at, *block_best(ids, units, self.units[at], self.steps.shape[1]))
+            return
+        own, row = np.divmod(np.flatnonzero(near), len(ids))
+        steps = np.rint((1.0 - np.einsum("ij,ij->i", self.units[at[own]], units[row])) * 10.0**DISTANCE_DECIMALS)
+        kept = np.flatnonzero(steps <= bounds[own])
+        self.merge(at, own[kept], steps[kept].astype(np.int64), ids[row[kept]])
+
+    def merge(self, at: np.ndarray, own: np.ndarray, steps: np.ndarray, ids: np.ndarray) -> None:
+        """Single rows ``(steps, ids)``, each for the query ``at[own]``; ``own`` is sorted."""
+        k = self.steps.shape[1]
+        some, group = np.unique(own, return_inverse=True)
+        to = at[some]
+        group = np.concatenate([np.repeat(np.arange(len(some)), k), group])
+        steps = np.concatenate([self.steps[to].ravel(), steps])
+        ids = np.concatenate([self.ids[to].ravel(), ids])
+        order = np.lexsort((ids, group * 2**32 + steps))
+        begin = np.searchsorted(group[order], np.arange(len(some)))
+        best = order[begin[:, None] + np.arange(k)]
+        self.steps[to], self.ids[to] = steps[best], ids[best]
+
+
 def task_tops(query_ids, query_units, k: int, dim: int):
     """The function a task runs: corpus batches in, its best rows per query out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, units_of = query_ids.value, query_units.value
         everyone = np.arange(len(ids_of))
-        tops = Tops(len(ids_of), k)
+        tops = Nearest(units_of, k)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
             ids, units = ids[order], unit_rows(matrix(batch.column(1), dim))[order]
-            if not len(ids):
-                continue
-            width = max(1, BLOCK // len(ids))
-            for start in range(0, len(everyone), width):
-                at = everyone[start : start + width]
-                tops.add(at, *block_best(ids, units, units_of[at], k))
+            tops.compare(everyone, ids, units)
         query_at, slot = np.nonzero(tops.steps < NO_DISTANCE)
         yield pa.RecordBatch.from_arrays(
             [
@@ -116,19 +170,11 @@ def group_tops(k: int, dim: int, decode=None):
         query_ids = queries.column("query_id").to_numpy()
         tops = Tops(len(query_ids), k)
         if len(query_ids) and corpus.num_rows:
-            query_units = unit_rows(matrix(queries.column("vector"), dim))
+            tops = Nearest(unit_rows(matrix(queries.column("vector"), dim)), k)
             ids = corpus.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             units = decode(corpus) if decode else unit_rows(matrix(corpus.column("vector"), dim))
-            ids, units = ids[order], units[order]
-            everyone = np.arange(len(query_ids))
-            rows = max(1, min(len(ids), BLOCK // 256))
-            width = max(1, BLOCK // rows)
-            for first in range(0, len(ids), rows):
-                part = slice(first, first + rows)
-                for start in range(0, len(everyone), width):
-                    at = everyone[start : start + width]
-                    tops.add(at, *block_best(ids[part], units[part], query_units[at], k))
+            tops.compare(np.arange(len(query_ids)), ids[order], units[order])
         query_at, slot = np.nonzero(tops.steps < NO_DISTANCE)
         return pa.table(
             {
@@ -400,7 +446,12 @@ def task_block_tops(given, k: int, dim: int, count: bool = False):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, units_of, own, bounds = given.value
-        tops = Tops(len(ids_of), k)
+        most = None
+        if bounds is not None:
+            known = np.isfinite(bounds)
+            most = np.full(len(ids_of), NO_DISTANCE, dtype=np.int64)
+            most[known] = np.rint(bounds[known] * 10.0**DISTANCE_DECIMALS)
+        tops = Nearest(units_of, k, most)
         compared = pairs = 0
         for batch in batches:
             for cell, ids, rows, middle, widest in zip(*(c.to_pylist() for c in batch.columns)):
@@ -414,10 +465,8 @@ def task_block_tops(given, k: int, dim: int, count: bool = False):
                     wanted = np.flatnonzero(least <= bounds + SLACK)
                 compared += len(wanted) * len(ids)
                 pairs += len(ids_of) * len(ids)
-                width = max(1, BLOCK // len(ids))
-                for start in range(0, 0 if count else len(wanted), width):
-                    at = wanted[start : start + width]
-                    tops.add(at, *block_best(ids, units, units_of[at], k))
+                if not count:
+                    tops.compare(wanted, ids, units)
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([compared]), pa.array([pairs])], names=["compared", "pairs"])
             return

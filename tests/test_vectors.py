@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hopline.functions.vectors import cosine_distance, l2_normalize, vector_literal
-from hopline.operators import cells, checks, knn, radius
+from hopline.operators import cells, checks, kernels, knn, radius
 from hopline.plans.catalog import CATALOG
 from hopline.plans.limits import Limits
 from hopline.sources import tables
@@ -241,3 +241,48 @@ def test_blocks_of_nothing(spark):
     held = radius.pack_by_direction(corpus(spark, random_rows(2)), DIM, 4)
     assert radius.nearest_many_in_blocks(held, queries, 3).count() == 6
     assert radius.nearest_many_in_blocks(held, queries.limit(0), 3).count() == 0
+
+
+def nearest_by_loop(ids, units, queries, k):
+    """Per query ``(steps, id)`` of its k nearest rows, every pair in double."""
+    found = []
+    for q in queries:
+        steps = np.rint((1.0 - np.einsum("ij,j->i", units, q)) * 1e6)
+        found.append(sorted((int(s), int(i)) for s, i in zip(steps, ids) if s == s)[:k])
+    return found
+
+
+@pytest.mark.parametrize("k", [1, 7])
+@pytest.mark.parametrize("scale", [1.0, 1.5])
+def test_most_rows_are_left_out_by_their_products(monkeypatch, k, scale):
+    """Equal distances, copies, rows and queries without direction; half the rows longer than one."""
+    formed, whole = [], kernels.block_best
+    monkeypatch.setattr(kernels, "block_best", lambda ids, units, queries, k: formed.append(len(ids) * len(queries)) or whole(ids, units, queries, k))
+    rng = np.random.default_rng(5)
+    units = kernels.unit_rows(rng.normal(size=(20_000, DIM)))
+    units[::2] *= scale
+    units[500], units[7_000:7_010], units[12_000] = np.nan, units[3], units[3] + 1e-8
+    ids = np.sort(rng.permutation(90_000)[:20_000])
+    queries = kernels.unit_rows(np.concatenate([rng.normal(size=(50, DIM)), units[[3, 500, 12_000]]]))
+    tops = kernels.Nearest(queries, k)
+    for part in (slice(0, 300), slice(300, 300), slice(300, 20_000)):
+        tops.compare(np.arange(len(queries)), ids[part], units[part])
+    got = [sorted((int(s), int(i)) for s, i in zip(*row) if s < kernels.NO_DISTANCE) for row in zip(tops.steps, tops.ids)]
+    assert got == nearest_by_loop(ids, units, queries, k)
+    assert sum(formed) < len(ids) * len(queries) / 8
+
+
+def test_bounds_of_the_caller_and_equal_rows():
+    """Rows beyond a given bound stay out; when all rows are equal, the smallest ids win."""
+    rng = np.random.default_rng(6)
+    units, ids = kernels.unit_rows(rng.normal(size=(3_000, DIM))), np.arange(3_000)
+    queries, at = units[:5], np.arange(5)
+    want = nearest_by_loop(ids, units, queries, 9)
+    bound = np.array([w[4][0] for w in want])
+    tops = kernels.Nearest(queries, 9, bound)
+    tops.compare(at, ids, units)
+    for w, b, steps, found in zip(want, bound, tops.steps, tops.ids):
+        assert [(s, i) for s, i in w if s <= b] == [(s, i) for s, i in zip(steps, found) if s < kernels.NO_DISTANCE]
+    tops = kernels.Nearest(queries, 4)
+    tops.compare(at, ids, np.repeat(units[:1], 3_000, axis=0))
+    assert (tops.ids == np.arange(4)).all()
