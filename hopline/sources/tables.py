@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from hopline.model import (
     conform,
 )
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
+from hopline.plans.skew import in_list
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -268,6 +269,28 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*[_folder(path, v, b) for b, v in sorted(written.items())])
 
 
+#: Stretches of key hashes whose rows are counted before a batch is dealt out, and rows that one task gets.
+STRETCHES, TASK_ROWS = 4_096, 1_000_000
+
+
+def _by_bucket(rows: DataFrame, keys: Sequence[str], sequence: str, buckets: int, tasks: int) -> DataFrame:
+    """The latest row per key with its ``bucket``, in the order of keys within a task.
+
+    One shuffle deals the rows out by bucket and key hash, one sort in a task puts the versions
+    of a key together. Few keys repeat in a batch, so nothing is combined before.
+    """
+    each = max(1, STRETCHES // buckets)
+    stretch = F.pmod(F.xxhash64(*keys), F.lit(buckets * each))
+    place = (stretch % buckets) * each + F.floor(stretch / buckets)
+    dealt = rows.withColumn("bucket", (stretch % buckets).cast("int"))
+    dealt = dealt.withColumn("_task", F.floor(place * tasks / (buckets * each)).cast("int"))
+    dealt = dealt.repartitionById(tasks, "_task")
+    rest = [c for c in rows.columns if c not in keys and c != sequence]
+    versions = Window.partitionBy(*keys, "bucket", "_task").orderBy(*[F.col(c).desc() for c in (sequence, *rest)])
+    nth = F.row_number().over(versions)
+    return dealt.withColumn("_nth", nth).where(F.col("_nth") == 1).drop("_nth", "_task")
+
+
 def upsert(
     batch: DataFrame, path: str, keys: Sequence[str], sequence: str, buckets: int = 64
 ) -> DataFrame:
@@ -288,15 +311,27 @@ def upsert(
     else:
         batch.limit(0).write.mode("overwrite").parquet(f"{path}/_schema")
     number = versions[-1] + 1 if versions else 1
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    touched = sorted(r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect())
+    stretch = F.pmod(F.xxhash64(*keys), F.lit(buckets * max(1, STRETCHES // buckets)))
+    counted = batch.groupBy(stretch.alias("stretch")).count().collect()  # a row per stretch of hashes
+    touched = sorted({r.stretch % buckets for r in counted})
     stored = [_folder(path, written[b], b) for b in touched if b in written]
-    rows = batch
+    given = sum(r["count"] for r in counted)
+    # keys with very many versions, and what shares their stretch, are combined where they are
+    most = max(TASK_ROWS, 8 * given // STRETCHES)
+    crowded = [r.stretch for r in counted if r["count"] > most]
+    rows, total = batch, given
+    if crowded:
+        apart = in_list("_stretch", crowded)
+        marked = batch.withColumn("_stretch", stretch)
+        many = marked.where(apart).drop("_stretch")
+        rows = marked.where(~apart).drop("_stretch").unionByName(latest_per_key(many, keys, sequence))
     if stored:
-        rows = spark.read.schema(batch.schema).parquet(*stored).unionByName(batch)
-    newest = latest_per_key(rows, keys, sequence).withColumn("bucket", bucket)
-    newest = newest.hint("rebalance", "bucket").sortWithinPartitions("bucket", *keys)
-    newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+        held = spark.read.schema(batch.schema).parquet(*stored)
+        rows, total = held.unionByName(rows), total + held.count()
+    if touched:
+        tasks = -(-total * buckets // (TASK_ROWS * len(touched)))
+        newest = _by_bucket(rows, keys, sequence, buckets, tasks)
+        newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
     now = {**written, **dict.fromkeys(touched, number)}
     manifest = [(buckets, b, v) for b, v in sorted(now.items())] or [(buckets, None, None)]
     kept = spark.createDataFrame(manifest, "buckets int, bucket int, written int")

@@ -145,6 +145,40 @@ def test_upsert_writes_the_touched_buckets_only(spark, tmp_path):
     assert not [b for b in wanted if (tmp_path / "t" / "version=2" / f"bucket={b}").exists()]
 
 
+def test_upsert_deals_rows_out_once(spark, tmp_path, monkeypatch):
+    """Small tasks and a key with very many versions, nulls in keys and sequence, against a loop."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    plain, combined = tables._by_bucket, []
+    plans = []
+
+    def spied(*args):
+        newest = plain(*args)
+        plans.append(newest._jdf.queryExecution().executedPlan().toString())
+        return newest
+
+    monkeypatch.setattr(tables, "_by_bucket", spied)
+    whole = tables.latest_per_key
+    monkeypatch.setattr(tables, "latest_per_key", lambda df, *a: combined.append(df.count()) or whole(df, *a))
+    rng = random.Random(4)
+    some = lambda n, of: [None if rng.random() < 0.05 else rng.randrange(of) for _ in range(n)]
+    given = list(zip(some(3_000, 400), some(3_000, 3), some(3_000, 50), some(3_000, 9)))
+    given += [(7, 1, s, 0) for s in range(900)]  # one key, many versions
+    schema, path = "a long, b long, seq long, v long", str(tmp_path / "t")
+    low = lambda x: (x is not None, x or 0)
+    best = {}
+    for half in (given[::2], given[1::2], given[::2]):
+        got = tables.upsert(spark.createDataFrame(half, schema).repartition(3), path, ["a", "b"], "seq", buckets=5)
+        for r in half:
+            if r[:2] not in best or [low(x) for x in r[2:]] > [low(x) for x in best[r[:2]][2:]]:
+                best[r[:2]] = r
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(best.values(), key=str)
+    assert len(combined) == 3 and all(450 <= n < 1_000 for n in combined)
+    # without a key of many versions: one shuffle, no hash table of keys, one sort
+    plans.clear()
+    tables.upsert(spark.createDataFrame([(i, 0, 0, 0) for i in range(3_000)], schema), path, ["a", "b"], "seq")
+    assert plans[0].count("Exchange") == 1 and "HashAggregate" not in plans[0] and plans[0].count("Sort [") == 1
+
+
 def test_upsert_that_failed_leaves_the_old_table(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.upsert(spark.createDataFrame([(1, 1)], "id long, seq long"), path, ["id"], "seq", buckets=4)
