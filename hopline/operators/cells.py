@@ -31,7 +31,7 @@ from hopline.operators.kernels import (
     task_units,
     unit_rows,
 )
-from hopline.operators.knn import meet, nearest, pair_distances, ranked, usable_queries
+from hopline.operators.knn import meet, meet_chosen, nearest, pair_distances, ranked, usable_queries
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
 from hopline.plans.lineage import settle
 from hopline.plans.skew import in_list
@@ -138,6 +138,7 @@ def _learn_codes(rows: DataFrame, index: CellIndex, parts: int, sample: int) ->
     width = index.dim // parts
     learned = (
         some.mapInArrow(run, "part int, rows binary")
+        .repartition(parts, "part")  # few bytes, much work
         .groupBy("part")
         .applyInArrow(group_means("part", CODE_VALUES, width), "part int, values array<double>")
     )
@@ -323,10 +324,11 @@ def candidates_in_cells(
     held = index.entries(spark).where("code is not null")
     held = held.select("id", F.col("code").alias("vector"), "cell")
     asked = usable_queries(queries, query_id, query_vector, index.dim)
-    run = group_code_tops(rerank, index.dim, spark.sparkContext.broadcast(index.known))
-    found = meet(_probing(spark, index, asked, nprobe), held, rerank, index.dim, ["cell"], limits, run)
+    known = spark.sparkContext.broadcast(index.known)
+    run = group_code_tops(rerank, index.dim, known, nprobe, distinct=index.copies > 1)
+    found = meet(asked, held, rerank, index.dim, [], limits, run, held_bytes=len(index.codes) + 16)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    best = _once(found, index).withColumn("_nth", F.row_number().over(order))
+    best = _once(found.repartition("query_id"), index).withColumn("_nth", F.row_number().over(order))
     return best.where(F.col("_nth") <= rerank).select("query_id", "id")
 
 
@@ -351,15 +353,15 @@ def compared_in_full(
     The corpus is read in place while there are few enough candidates to broadcast.
     """
     asked = usable_queries(queries, query_id, query_vector, index.dim)
+    chosen = settle(candidates, limits)
+    held = index.corpus(spark).select("id", F.col("embedding").alias("vector"))
+    if chosen.rows > limits.broadcast_rows:
+        held = held.where(F.size("vector") == index.dim)
+        return ranked(meet_chosen(asked, held, chosen.df, chosen.rows, k, index.dim, limits), k)
     asked = asked.select("query_id", F.col("vector").alias("asked"))
     if asked.count() <= limits.query_rows:
         asked = F.broadcast(asked)
-    chosen = settle(candidates, limits)
-    held = index.corpus(spark).select("id", F.col("embedding").alias("vector"))
-    if chosen.rows <= limits.broadcast_rows:
-        pairs = held.join(F.broadcast(chosen.df), "id")
-    else:
-        pairs = held.join(chosen.df, "id")
+    pairs = held.join(F.broadcast(chosen.df), "id")
     return ranked(pair_distances(pairs.join(asked, "query_id"), index.dim), k)
 
 

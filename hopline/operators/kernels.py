@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 from hopline.functions.vectors import DISTANCE_DECIMALS
@@ -62,15 +63,23 @@ def block_best(ids: np.ndarray, units: np.ndarray, queries: np.ndarray, k: int):
 
 
 class Tops:
-    """The ``k`` best rows one task has seen so far for each query."""
+    """The ``k`` best rows one task has seen so far for each query.
 
-    def __init__(self, queries: int, k: int):
+    With ``distinct`` an id takes one place, with its least distance.
+    """
+
+    def __init__(self, queries: int, k: int, distinct: bool = False):
         self.steps = np.full((queries, k), NO_DISTANCE, dtype=np.int64)
         self.ids = np.zeros((queries, k), dtype=np.int64)
+        self.distinct = distinct
 
     def add(self, at: np.ndarray, steps: np.ndarray, ids: np.ndarray) -> None:
         steps = np.concatenate([self.steps[at], steps], axis=1)
         ids = np.concatenate([self.ids[at], ids], axis=1)
+        if self.distinct:
+            order = np.lexsort((steps, ids), axis=-1)
+            steps, ids = (np.take_along_axis(x, order, axis=1) for x in (steps, ids))
+            steps[:, 1:][ids[:, 1:] == ids[:, :-1]] = NO_DISTANCE
         order = np.lexsort((ids, steps), axis=-1)[:, : self.steps.shape[1]]
         self.steps[at] = np.take_along_axis(steps, order, axis=1)
         self.ids[at] = np.take_along_axis(ids, order, axis=1)
@@ -84,8 +93,8 @@ class Nearest(Tops):
     rounding can take from them, leave out nearly all rows; the others are compared in double.
     """
 
-    def __init__(self, units: np.ndarray, k: int, most: np.ndarray | None = None):
-        super().__init__(len(units), k)
+    def __init__(self, units: np.ndarray, k: int, most: np.ndarray | None = None, distinct: bool = False):
+        super().__init__(len(units), k, distinct)
         self.units, self.single = units, units.astype(np.float32)
         self.most = np.full(len(units), NO_DISTANCE, dtype=np.int64) if most is None else most.copy()
         self.most[np.isnan(units).any(axis=1)] = -1
@@ -129,6 +138,10 @@ class Nearest(Tops):
         group = np.concatenate([np.repeat(np.arange(len(some)), k), group])
         steps = np.concatenate([self.steps[to].ravel(), steps])
         ids = np.concatenate([self.ids[to].ravel(), ids])
+        if self.distinct:
+            order = np.lexsort((steps, ids, group))
+            group, steps, ids = group[order], steps[order], ids[order]
+            steps[1:][(ids[1:] == ids[:-1]) & (group[1:] == group[:-1])] = NO_DISTANCE
         order = np.lexsort((ids, group * 2**32 + steps))
         begin = np.searchsorted(group[order], np.arange(len(some)))
         best = order[begin[:, None] + np.arange(k)]
@@ -160,11 +173,19 @@ def task_tops(query_ids, query_units, k: int, dim: int):
     return run
 
 
-def group_tops(k: int, dim: int, decode=None):
-    """The function of one group: its queries and its corpus rows in, the best rows per query out.
+def _best_rows(query_ids: np.ndarray, tops: Tops) -> pa.Table:
+    query_at, slot = np.nonzero(tops.steps < NO_DISTANCE)
+    return pa.table(
+        {
+            "query_id": pa.array(query_ids[query_at], pa.int64()),
+            "id": pa.array(tops.ids[query_at, slot]),
+            "distance": pa.array(tops.steps[query_at, slot] / 10.0**DISTANCE_DECIMALS),
+        }
+    )
 
-    ``decode`` makes row vectors from the corpus table, if they are not in its ``vector`` column.
-    """
+
+def group_tops(k: int, dim: int):
+    """The function of one group: its queries and its corpus rows in, the best rows per query out."""
 
     def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
         query_ids = queries.column("query_id").to_numpy()
@@ -173,16 +194,51 @@ def group_tops(k: int, dim: int, decode=None):
             tops = Nearest(unit_rows(matrix(queries.column("vector"), dim)), k)
             ids = corpus.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            units = decode(corpus) if decode else unit_rows(matrix(corpus.column("vector"), dim))
+            units = unit_rows(matrix(corpus.column("vector"), dim))
             tops.compare(np.arange(len(query_ids)), ids[order], units[order])
-        query_at, slot = np.nonzero(tops.steps < NO_DISTANCE)
-        return pa.table(
-            {
-                "query_id": pa.array(query_ids[query_at], pa.int64()),
-                "id": pa.array(tops.ids[query_at, slot]),
-                "distance": pa.array(tops.steps[query_at, slot] / 10.0**DISTANCE_DECIMALS),
-            }
-        )
+        return _best_rows(query_ids, tops)
+
+    return run
+
+
+#: Pairs, or rows of codes, whose vectors are formed at a time.
+SLICE = 65_536
+
+
+def group_pairs(k: int, dim: int):
+    """The function of one group: its queries, and its corpus rows and chosen pairs, in; the best
+    pairs per query out. Pairs ``(query_id, id)`` have an empty vector, corpus rows no query."""
+
+    def run(queries: pa.Table, held: pa.Table) -> pa.Table:
+        query_ids = queries.column("query_id").to_numpy()
+        is_pair = held.column("query_id").is_valid()
+        rows, pairs = held.filter(pc.invert(is_pair)), held.filter(is_pair)
+        tops = Tops(len(query_ids), k)
+        if len(query_ids) and rows.num_rows and pairs.num_rows:
+            asked, units = (unit_rows(matrix(t.column("vector"), dim)) for t in (queries, rows))
+            by_query, ids = np.argsort(query_ids, kind="stable"), rows.column("id").to_numpy()
+            by_id = np.argsort(ids, kind="stable")
+            query_of, id_of = (pairs.column(c).to_numpy() for c in ("query_id", "id"))
+            at = np.searchsorted(query_ids, query_of, sorter=by_query)
+            known = query_ids[by_query[np.minimum(at, len(query_ids) - 1)]] == query_of
+            query_of, id_of = by_query[at[known]], id_of[known]
+            first, last = (np.searchsorted(ids, id_of, side, sorter=by_id) for side in ("left", "right"))
+            times = last - first  # an id may have several rows
+            begin = np.cumsum(times) - times
+            row_of = by_id[np.arange(times.sum()) + np.repeat(first - begin, times)]
+            query_of = np.repeat(query_of, times)
+            steps = np.empty(len(row_of))
+            for start in range(0, len(row_of), SLICE):
+                part = slice(start, start + SLICE)
+                cosine = np.einsum("ij,ij->i", asked[query_of[part]], units[row_of[part]])
+                steps[part] = np.rint((1.0 - cosine) * 10.0**DISTANCE_DECIMALS)
+            usable = np.flatnonzero(~np.isnan(steps))
+            order = usable[np.lexsort((ids[row_of[usable]], steps[usable], query_of[usable]))]
+            group = query_of[order]
+            nth = np.arange(len(order)) - np.searchsorted(group, group)
+            order, group, nth = order[nth < k], group[nth < k], nth[nth < k]
+            tops.steps[group, nth], tops.ids[group, nth] = steps[order], ids[row_of[order]]
+        return _best_rows(query_ids, tops)
 
     return run
 
@@ -224,19 +280,49 @@ class Cells:
             codes[:, m] = np.argmin((values**2).sum(1) - 2.0 * rest[:, m] @ values.T, axis=1)
         return codes
 
-    def decode(self, corpus: pa.Table) -> np.ndarray:
-        """Near enough unit vectors of rows ``(vector: code, cell)``, all of one cell."""
-        parts = len(self.values)
-        raw = b"".join(corpus.column("vector").to_pylist())
-        codes = np.frombuffer(raw, dtype=np.uint8).reshape(-1, parts)
-        at = np.flatnonzero(self.numbers == corpus.column("cell")[0].as_py())[0]
-        rest = self.values[np.arange(parts), codes].reshape(len(codes), -1)
-        return self.centroids[at] + rest
+    def decode(self, codes: np.ndarray, at: int) -> np.ndarray:
+        """Near enough unit vectors of rows of codes, all of the cell at one place."""
+        return self.centroids[at] + self.values[np.arange(len(self.values)), codes].reshape(len(codes), -1)
+
+    def raw(self, column) -> np.ndarray:
+        """A binary column of codes as rows of bytes."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset :]
+        data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
+        return data[ends[0] : ends[len(column)]].reshape(len(column), len(self.values))
+
+    def nearest(self, units: np.ndarray, n: int) -> np.ndarray:
+        """Per unit vector, the places of the ``n`` cells with the nearest centroids."""
+        return np.argsort(-(units @ self.centroids.T), axis=1, kind="stable")[:, :n]
 
 
-def group_code_tops(k: int, dim: int, cells):
-    """:func:`group_tops` over codes instead of vectors; ``cells`` broadcasts what :class:`Cells` is made of."""
-    return group_tops(k, dim, lambda corpus: Cells(*cells.value).decode(corpus))
+def group_code_tops(k: int, dim: int, cells, nprobe: int, distinct: bool):
+    """The function of one group: its queries, and codes of rows of all cells, in; the best rows per query out.
+
+    ``cells`` broadcasts what :class:`Cells` is made of. A query is compared with the rows of its
+    ``nprobe`` nearest cells; what it has found in one bounds what is of interest in the next.
+    """
+
+    def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        query_ids = queries.column("query_id").to_numpy()
+        tops = Tops(len(query_ids), k)
+        if len(query_ids) and corpus.num_rows:
+            known, units = Cells(*cells.value), unit_rows(matrix(queries.column("vector"), dim))
+            tops = Nearest(units, k, distinct=distinct)
+            probed = np.zeros((len(units), len(known.numbers)), dtype=bool)
+            np.put_along_axis(probed, known.nearest(units, nprobe), True, axis=1)
+            probed[np.isnan(units).any(axis=1)] = False
+            ids, own = (corpus.column(c).to_numpy() for c in ("id", "cell"))
+            codes, order = known.raw(corpus.column("vector")), np.lexsort((ids, own))
+            for at, number in enumerate(known.numbers):
+                first, last = (np.searchsorted(own, number, side, sorter=order) for side in ("left", "right"))
+                wanted = np.flatnonzero(probed[:, at])
+                for start in range(first, last if len(wanted) else first, SLICE):
+                    rows = order[start : min(last, start + SLICE)]
+                    tops.compare(wanted, ids[rows], known.decode(codes[rows], at))
+        return _best_rows(query_ids, tops)
+
+    return run
 
 
 def task_code_tops(cells, unit, k: int):
@@ -247,10 +333,11 @@ def task_code_tops(cells, unit, k: int):
         for batch in batches:
             own = batch.column("cell").to_numpy()
             for cell in np.unique(own):
-                part = pa.Table.from_batches([batch.take(pa.array(np.flatnonzero(own == cell)))])
+                part = batch.take(pa.array(np.flatnonzero(own == cell)))
                 ids = part.column("id").to_numpy()
                 order = np.argsort(ids, kind="stable")
-                rows = known.decode(part)[order]
+                at = np.flatnonzero(known.numbers == cell)[0]
+                rows = known.decode(known.raw(part.column("vector")), at)[order]
                 tops.add(np.zeros(1, dtype=np.int64), *block_best(ids[order], rows, unit, k))
         found = np.flatnonzero(tops.steps[0] < NO_DISTANCE)
         yield pa.RecordBatch.from_arrays(
@@ -266,10 +353,10 @@ def task_probes(cells, dim: int, nprobe: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Cells(*cells.value)
-        ways, numbers = known.centroids.T, known.numbers
+        numbers = known.numbers
         for batch in batches:
             units = unit_rows(matrix(batch.column(1), dim))
-            choice = np.argsort(-(units @ ways), axis=1, kind="stable")[:, :nprobe]
+            choice = known.nearest(units, nprobe)
             usable = np.flatnonzero(~np.isnan(units).any(axis=1))
             at = pa.array(np.repeat(usable, choice.shape[1]))
             cell = pa.array(numbers[choice[usable].ravel()].astype(np.int32))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopline.operators.kernels import group_tops, task_pairs, task_tops, unit_rows
+from hopline.operators.kernels import group_pairs, group_tops, task_pairs, task_tops, unit_rows
 from hopline.plans.limits import DEFAULT_LIMITS, Limits
 
 
@@ -45,7 +45,14 @@ def usable_queries(queries: DataFrame, query_id: str, query_vector: str, dim: in
 
 
 def meet(
-    asked: DataFrame, held: DataFrame, k: int, dim: int, keys: list[str], limits: Limits, run=None
+    asked: DataFrame,
+    held: DataFrame,
+    k: int,
+    dim: int,
+    keys: list[str],
+    limits: Limits,
+    run=None,
+    held_bytes: int | None = None,
 ) -> DataFrame:
     """``(query_id, id, distance)``: the best rows of every block of queries and block of corpus.
 
@@ -53,7 +60,8 @@ def meet(
     bounded size by hash; every block of queries is sent to every block of corpus
     rows of its keys, in a shuffle, and a group returns ``k`` rows per query. Neither
     side passes through the driver or is broadcast. ``run`` is the function of a group,
-    if it is not the exact one.
+    if it is not the exact one, over corpus rows of ``held_bytes``. The fewer blocks these
+    fill, the fewer rows come back, so then queries are cut into enough groups instead.
     """
     context = asked.sparkSession.sparkContext
     most = lambda df: (
@@ -63,14 +71,17 @@ def meet(
     n_asked, n_held = most(asked), most(held)
     rows = max(1, min(limits.query_rows, limits.block_bytes // row_bytes))
     asked_blocks = max(1, -(-n_asked // rows))
-    held_blocks = max(1, -(-n_held // max(1, limits.block_bytes // row_bytes)))
-    if not keys:  # enough groups for all tasks, unless the corpus is tiny
+    held_blocks = max(1, -(-n_held // max(1, limits.block_bytes // (held_bytes or row_bytes))))
+    if held_bytes:
+        asked_blocks = max(asked_blocks, min(-(-4 * context.defaultParallelism // held_blocks), n_asked // 500))
+    elif not keys:  # enough groups for all tasks, unless the corpus is tiny
         held_blocks = max(held_blocks, min(context.defaultParallelism, n_held // 500))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     mine = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
     asked = asked.withColumn("_q", mine(asked_blocks, "query_id")).withColumn("_c", every(held_blocks))
     held = held.withColumn("_c", mine(held_blocks, "id", "vector")).withColumn("_q", every(asked_blocks))
-    by = [*keys, "_q", "_c"]
+    # one number per pair of blocks: rows are then sorted by their prefix alone
+    by = [*keys, (F.col("_q").cast("long") * held_blocks + F.col("_c")).alias("_g")]
     return (
         asked.groupBy(*by)
         .cogroup(held.groupBy(*by))
@@ -100,6 +111,39 @@ def nearest_many(
     return ranked(meet(asked, rows, k, dim, [], limits), k)
 
 
+def meet_chosen(
+    asked: DataFrame, held: DataFrame, chosen: DataFrame, pairs: int, k: int, dim: int, limits: Limits
+) -> DataFrame:
+    """``(query_id, id, distance)``: the best of the ``chosen`` pairs ``(query_id, id)``.
+
+    Queries and rows are cut into blocks as in :func:`meet` and sent to the blocks of the other
+    side, where their pairs come as ids: a vector moves once per block, not once per pair.
+    """
+    parallel = asked.sparkSession.sparkContext.defaultParallelism
+    rows = max(1, limits.block_bytes // (4 * dim + 16))
+    asked_blocks = max(1, -(-asked.count() // rows))
+    groups = max(2 * parallel, -(-16 * pairs // limits.block_bytes))
+    held_blocks = max(1, -(-held.count() // rows), -(-groups // asked_blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q, c = mine(asked_blocks, "query_id").alias("_q"), mine(held_blocks, "id").alias("_c")
+    asked = asked.select("query_id", "vector", q, every(held_blocks).alias("_c"))
+    asked = asked.where("query_id is not null")
+    # an empty vector, as nulls are slow to write as Arrow lists
+    no_query, no_vector = F.lit(None).cast("long"), F.array().cast(held.schema["vector"].dataType)
+    held = held.where("id is not null").select(
+        no_query.alias("query_id"), "id", "vector", every(asked_blocks).alias("_q"), c
+    )
+    chosen = chosen.where("query_id is not null and id is not null")
+    both = held.unionByName(chosen.select("query_id", "id", no_vector.alias("vector"), q, c))
+    by = (F.col("_q").cast("long") * held_blocks + F.col("_c")).alias("_g")
+    return (
+        asked.groupBy(by)
+        .cogroup(both.groupBy(by))
+        .applyInArrow(group_pairs(k, dim), "query_id long, id long, distance double")
+    )
+
+
 def block_tops(rows: DataFrame, ids, units, k: int, dim: int) -> DataFrame:
     """``(query_id, id, distance)``: every task's best rows for a query vector of the caller."""
     context = rows.sparkSession.sparkContext

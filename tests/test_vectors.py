@@ -286,3 +286,43 @@ def test_bounds_of_the_caller_and_equal_rows():
     tops = kernels.Nearest(queries, 4)
     tops.compare(at, ids, np.repeat(units[:1], 3_000, axis=0))
     assert (tops.ids == np.arange(4)).all()
+
+
+def test_codes_bring_back_the_best_rows_only(spark, coded, monkeypatch):
+    """A group compares a query with all probed cells and returns each row once; a plain loop finds the same."""
+    met = []
+    one = cells.meet
+    monkeypatch.setattr(cells, "meet", lambda *a, **b: met.append(one(*a, **b)) or met[-1])
+    asked, (nprobe, rerank) = random_rows(12, 3) + [(77, [0.0] * DIM)], (4, 10)
+    queries = spark.createDataFrame(asked, "query_id long, query_vector array<float>")
+    chosen = cells.candidates_in_cells(spark, coded, queries, nprobe, rerank)
+    found = met[0].groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).collect()
+    assert len(found) == 12 and {(r.n, r.ids) for r in found} == {(rerank, rerank)}
+    known, want = kernels.Cells(*coded.known), set()
+    entries = coded.entries(spark).where("code is not null").select("id", "code", "cell").collect()
+    for query_id, vector in asked[:12]:
+        unit = kernels.unit_rows(np.asarray(vector, dtype=np.float32).astype(np.float64)[None, :])
+        best = {}
+        for r in entries:
+            if r.cell in coded.probe(unit, nprobe)[0]:
+                row = known.decode(np.frombuffer(r.code, dtype=np.uint8)[None, :], r.cell)
+                best[r.id] = min(best.get(r.id, 9.0), round(float(1 - unit[0] @ row[0]), 6))
+        want |= {(query_id, i) for _, i in sorted((d, i) for i, d in best.items())[:rerank]}
+    assert set(map(tuple, chosen.collect())) == want
+
+
+@pytest.mark.parametrize("block_bytes", [32_000_000, 2_000])
+def test_many_chosen_pairs_meet_by_blocks(spark, tmp_path, block_bytes):
+    """Ids of pairs move to blocks of vectors; an id with several rows, odd rows and unknown ids among them."""
+    rows = random_rows(60) + random_rows(9, seed=2) + ODD
+    index = cells.build_cells(corpus(spark, rows), str(tmp_path), 3, DIM)
+    asked = random_rows(14, 3) + [(77, [0.0] * DIM), (None, [1.0] * DIM)]
+    queries = spark.createDataFrame(asked, "query_id long, query_vector array<float>")
+    pairs = [(q, i) for q, _ in asked for i, _ in rows if i < 901 and (q is None or (q * 7 + i) % 3)] + [(0, 5_000), (888, 1), (1, None)]
+    chosen = spark.createDataFrame(pairs, "query_id long, id long").repartition(3)
+    few, many = (
+        cells.compared_in_full(spark, index, queries, chosen, 5, limits=Limits(broadcast_rows=n, block_bytes=block_bytes, literal_rows=10))
+        for n in (10_000, 10)
+    )
+    assert "CoGroup" in many._jdf.queryExecution().toString()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and many.count() == 70
