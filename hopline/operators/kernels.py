@@ -108,7 +108,7 @@ class Nearest(Tops):
         length = np.einsum("ij,ij->i", units, units)
         longest = np.sqrt(length[~np.isnan(length)].max(initial=1.0))
         slack = (units.shape[1] + 8) * 2.0**-23 * longest
-        rows = 8 * HEAD
+        rows = max(8 * HEAD, 512 * self.steps.shape[1])  # the more are kept, the more a merge costs
         first, width = 0, HEAD if (self.bounds(at) == NO_DISTANCE).any() else rows
         while first < len(ids):
             part = slice(first, first + width)

@@ -206,21 +206,35 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def latest_per_key(
-    df: DataFrame, keys: Sequence[str], sequence: str, columns: Sequence[str] | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    sequence: str,
+    columns: Sequence[str] | None = None,
+    combine: bool = False,
 ) -> DataFrame:
     """Keyed upsert: one row per key, the one with the highest ``sequence``.
 
-    Rows with equal sequence are told apart by the other columns. A plain maximum
-    is combined on the map side, so a key with very many versions sends one row
-    per task.
+    Rows with equal sequence are told apart by the other columns. Rows are counted by
+    stretches of key hashes first: keys with very many versions are combined on the map
+    side and send one row per task (with ``combine`` all are), the others are dealt out once, a
+    million rows to a task, and combined there, so that no hash table grows with the table.
     """
-    rest = [c for c in (columns or df.columns) if c not in keys and c != sequence]
+    kept = {*keys, sequence, *(columns or df.columns)}
+    rows = df.select(*[c for c in df.columns if c in kept])
+    task = []
+    if not combine:
+        counted, stretch = _stretches(rows, keys, 1)
+        tasks = max(1, -(-sum(r["count"] for r in counted) // TASK_ROWS))
+        rows = _crowds_combined(rows, counted, stretch, keys, sequence)
+        task = ["_task"]
+        rows = rows.withColumn("_task", F.floor(stretch * tasks / STRETCHES).cast("int")).repartitionById(tasks, *task)
+    rest = [c for c in rows.columns if c not in (*keys, sequence, *task)]
     if not rest:
-        latest = df.groupBy(*keys).agg(F.max(sequence).alias(sequence))
+        latest = rows.groupBy(*keys, *task).agg(F.max(sequence).alias(sequence))
     else:
         newest = F.max(F.struct(sequence, *rest)).alias("_newest")
-        latest = df.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
-    return latest.select(*[c for c in df.columns if c in {*keys, sequence, *rest}])
+        latest = rows.groupBy(*keys, *task).agg(newest).select(*keys, "_newest.*")
+    return latest.select(*[c for c in rows.columns if c not in task])
 
 
 #: Folder, beside a table's data, of what says which data count.
@@ -273,6 +287,24 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame:
 STRETCHES, TASK_ROWS = 4_096, 1_000_000
 
 
+def _stretches(rows: DataFrame, keys: Sequence[str], buckets: int):
+    """Rows ``(stretch, count)`` per stretch of key hashes, and the column that tells a row's stretch."""
+    stretch = F.pmod(F.xxhash64(*keys), F.lit(buckets * max(1, STRETCHES // buckets)))
+    return rows.groupBy(stretch.alias("stretch")).count().collect(), stretch
+
+
+def _crowds_combined(rows: DataFrame, counted: list, stretch, keys: Sequence[str], sequence: str) -> DataFrame:
+    """Keys with very many versions, and what shares their stretch, are combined where they are."""
+    most = max(TASK_ROWS, 8 * sum(r["count"] for r in counted) // STRETCHES)
+    crowded = [r.stretch for r in counted if r["count"] > most]
+    if not crowded:
+        return rows
+    apart = in_list("_stretch", crowded)
+    marked = rows.withColumn("_stretch", stretch)
+    many = marked.where(apart).drop("_stretch")
+    return marked.where(~apart).drop("_stretch").unionByName(latest_per_key(many, keys, sequence, None, True))
+
+
 def _by_bucket(rows: DataFrame, keys: Sequence[str], sequence: str, buckets: int, tasks: int) -> DataFrame:
     """The latest row per key with its ``bucket``, in the order of keys within a task.
 
@@ -311,20 +343,11 @@ def upsert(
     else:
         batch.limit(0).write.mode("overwrite").parquet(f"{path}/_schema")
     number = versions[-1] + 1 if versions else 1
-    stretch = F.pmod(F.xxhash64(*keys), F.lit(buckets * max(1, STRETCHES // buckets)))
-    counted = batch.groupBy(stretch.alias("stretch")).count().collect()  # a row per stretch of hashes
+    counted, stretch = _stretches(batch, keys, buckets)
     touched = sorted({r.stretch % buckets for r in counted})
     stored = [_folder(path, written[b], b) for b in touched if b in written]
     given = sum(r["count"] for r in counted)
-    # keys with very many versions, and what shares their stretch, are combined where they are
-    most = max(TASK_ROWS, 8 * given // STRETCHES)
-    crowded = [r.stretch for r in counted if r["count"] > most]
-    rows, total = batch, given
-    if crowded:
-        apart = in_list("_stretch", crowded)
-        marked = batch.withColumn("_stretch", stretch)
-        many = marked.where(apart).drop("_stretch")
-        rows = marked.where(~apart).drop("_stretch").unionByName(latest_per_key(many, keys, sequence))
+    rows, total = _crowds_combined(batch, counted, stretch, keys, sequence), given
     if stored:
         held = spark.read.schema(batch.schema).parquet(*stored)
         rows, total = held.unionByName(rows), total + held.count()

@@ -322,3 +322,27 @@ def test_shuffle_width_follows_the_input():
     assert int(wide["spark.sql.shuffle.partitions"]) * PARTITION_BYTES >= 100 * 10**12
     assert recommended_settings(input_bytes=10)["spark.sql.shuffle.partitions"] == "200"
     assert "spark.sql.shuffle.partitions" not in recommended_settings()
+
+
+def test_latest_rows_are_combined_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Nulls and a key of very many versions, against a loop; other rows move before they are combined."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    rng = random.Random(5)
+    some = lambda n, of: [None if rng.random() < 0.05 else rng.randrange(of) for _ in range(n)]
+    given = list(zip(some(2_000, 400), some(2_000, 3), some(2_000, 50), some(2_000, 9)))
+    given += [(7, 1, s, 0) for s in range(900)]  # one key, many versions
+    low = lambda x: (x is not None, x or 0)
+    for width in (3, 4):
+        best = {}
+        for r in (r[:width] for r in given):
+            if r[:2] not in best or [low(x) for x in r[2:]] > [low(x) for x in best[r[:2]][2:]]:
+                best[r[:2]] = r
+        rows = spark.createDataFrame(given, "a long, b long, seq long, v long").repartition(3)
+        got = tables.latest_per_key(rows, ["a", "b"], "seq", ["a", "b", "seq", "v"][:width])
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(best.values(), key=str)
+    spread = spark.range(3_000).selectExpr("id AS a", "id % 7 AS seq")
+    got = tables.latest_per_key(spread, ["a"], "seq")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("Aggregate") < plan.index("Exchange")
+    assert got.rdd.getNumPartitions() == 30 and got.count() == 3_000
+    assert tables.latest_per_key(spread.limit(0), ["a"], "seq").count() == 0
