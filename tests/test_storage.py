@@ -260,6 +260,45 @@ def test_one_layout_skips_by_source_and_by_time(spark, tmp_path):
     assert bag(window.edges_at("src", [9])) == bag(graph.edges.where("src = 9 and ts between 1000 and 1500"))
 
 
+def test_a_curve_takes_odd_rows_and_its_bounds_part_all_rows_evenly(spark, tmp_path):
+    """Also where a column has no values, few or infinite ones, and over more columns than a long has bits for."""
+    inf, nan = float("inf"), float("nan")
+    rows = [(inf, 1.0), (-inf, 2.0), (nan, 3.0), (None, 4.0), (1.0, None), (1.0, None), (None, None)]
+    odd = {
+        "empty": spark.createDataFrame([], "src long, ts long"),
+        "nulls": spark.createDataFrame([(None, None)] * 3, "src long, ts long"),
+        "same": spark.createDataFrame([(5, 5)] * 3, "src long, ts long"),
+        "floats": spark.createDataFrame(rows, "src double, ts double"),
+    }
+    for name, given in odd.items():
+        stored = tables.materialise_by_curve(given, str(tmp_path / name))
+        assert sorted(map(str, stored.collect())) == sorted(map(str, given.collect()))
+    few = [(s, t) for s in (1, 2) for t in range(3_000)]
+    few = spark.createDataFrame(few, "src long, ts long").repartition(4)
+    for columns in (("src", "ts"), ("src", "ts", "far"), ("src", "ts", "far", "wide", "low", "a", "b", "c")):
+        given = few.selectExpr("*", "-ts * ts far", "src + ts wide", "ts % 7 low", "1 a", "ts b", "-ts c")
+        stored = tables.materialise_by_curve(given, str(tmp_path / str(len(columns))), columns)
+        assert sorted(map(str, stored.collect())) == sorted(map(str, given.collect()))
+    shares = tables._shares(spark.range(100_000).selectExpr("id", "id % 10 low", "null none"), ["id", "low", "none"], 64)
+    assert all(abs(x - 100_000 * i / 64) < 3 * 100_000 / 64 for i, x in enumerate(shares[0], 1))
+    assert sorted(set(shares[1])) == list(range(10)) and shares[2] == []
+
+
+def test_places_on_a_curve_rise_with_each_column():
+    """In a sort key, narrower stretches follow the curve's; no two pairs of them share a key."""
+    for bits, finer in ((2, 2), (3, 0)):
+        parts = 2 ** (bits + finer) + 1
+        src, ts = ([tables._curve(s, i, 2, bits, finer) for s in range(parts)] for i in range(2))
+        keys = {(s, t): src[s] + ts[t] for s in range(parts) for t in range(parts)}
+        assert len(set(keys.values())) == parts**2
+        for s, t in keys:
+            assert s == 0 or keys[s - 1, t] < keys[s, t]
+            assert t == 0 or keys[s, t - 1] < keys[s, t]
+        turns = sorted(keys, key=keys.get)
+        cells = [(s >> finer, t >> finer) for s, t in turns]
+        assert sum(a != b for a, b in zip(cells, cells[1:])) + 1 == len(set(cells))
+
+
 def test_errors_are_read_from_both_places(spark, tmp_path):
     documents = {
         "a_small.json": {"queries": {"q1": {"min_ms": 1.0}, "q2": {"error": "short"}, "q3": {"error": "lost"}, "_errors": {"q2": "the whole story"}}},
