@@ -133,6 +133,24 @@ def test_jaccard_of_repeated_rows_and_an_empty_table(documents):
     assert jaccard.near_duplicates(documents([]).limit(0)).count() == 0
 
 
+def test_jaccard_leaves_no_shuffle_files_behind_its_steps(spark, documents, monkeypatch):
+    """Shuffles that still have files, counted where links are looked for."""
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    known = lambda: set(map(int, str(held.keySet().mkString(" ")).split()))
+    before, left, links = known(), [], jaccard._links
+
+    def seen(*args):
+        left.append(len(known() - before))
+        return links(*args)
+
+    monkeypatch.setattr(jaccard, "_links", seen)
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"{base} x{i}") for i in range(40)] + [(100 + i, f"{base} y{i // 2} z") for i in range(20)]
+    got = jaccard.near_duplicates(documents(rows), few=2, piece=2, block=3, frequent_least=4)
+    assert len(left) == 3 and max(left) <= 12, left  # of small tables that are counted; 26 while each step left its own
+    assert {r.component_id for r in got.collect()} == {0}
+
+
 def test_trie_finds_exactly_the_similar_sets():
     rng, similar = random.Random(6), jaccard.Similarity(80)
     sets = [np.array(sorted(rng.sample(range(30), rng.randint(1, 20))), np.uint64) for _ in range(150)]
