@@ -151,6 +151,16 @@ def test_jaccard_leaves_no_shuffle_files_behind_its_steps(spark, documents, monk
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_documents_are_not_shuffled_to_drop_copies(documents):
+    rows = [(i, f"a b c d e f g{i // 2}") for i in range(20)] + [(1, "a b c d e f g0"), (50, "z z"), (50, "z z"), (51, None), (51, None)]
+    for given in (documents(rows[:20]), documents(rows)):
+        left = jaccard.one_of_each(given)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert "SortMergeJoin" not in plan and len(moved) == (given.count() > 20), plan  # of the repeated keys alone
+    assert sorted(r.doc_id for r in left.collect()) == [*range(0, 20, 2), 50, 51, 51]
+
+
 def test_trie_finds_exactly_the_similar_sets():
     rng, similar = random.Random(6), jaccard.Similarity(80)
     sets = [np.array(sorted(rng.sample(range(30), rng.randint(1, 20))), np.uint64) for _ in range(150)]
